@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.core.tables import table
-from corpusmill.llm import encoding, leakage, mixing, packing, splits
+from corpusmill.llm import boilerplate, encoding, leakage, mixing, packing, splits
 
 CAPACITY = 4096
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -23,6 +23,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.frames(table(spark, sf_dir, "documents"), table(spark, sf_dir, "citations"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(_items(spark, sf_dir), table(spark, sf_dir, "documents")).select("item_id", "doc_id")
 
@@ -66,4 +70,4 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_coverage, p4_found, p4_splits, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers)}
