@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.core.tables import table
-from corpusmill.llm import boilerplate, encoding, leakage, mixing, packing, splits
+from corpusmill.llm import boilerplate, encoding, forms, leakage, mixing, packing, splits
 
 CAPACITY = 4096
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -69,5 +69,13 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(encoding.token_counts(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "form_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.not_prose(p9_quality(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p9_found, p9_quality)}
