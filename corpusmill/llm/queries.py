@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.core.tables import table
-from corpusmill.llm import boilerplate, encoding, forms, leakage, mixing, packing, splits
+from corpusmill.llm import boilerplate, encoding, forms, leakage, mixing, packing, pii, splits
 
 CAPACITY = 4096
 SHARES = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -43,6 +43,14 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_examples(spark, sf_dir), SHARES)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "data_sources"))
+
+
+def p5_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scrub(table(spark, sf_dir, "documents"), table(spark, sf_dir, "data_sources"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     text = F.col("text")
     words = F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+")))
@@ -78,4 +86,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p9_found, p9_quality)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p5_found, p5_scrubbed, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p9_found, p9_quality)}
