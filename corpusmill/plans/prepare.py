@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus
 
-MANIFEST = "manifest.json"
+MANIFEST = "_manifest.json"  # names with an underscore are no data to Spark
 
 
 def fingerprint(inputs: dict) -> str:
@@ -35,7 +35,7 @@ def decide(target: str | Path, kind: str, print_: str, force: bool = False) -> s
 
 def write_manifest(target: str | Path, payload: dict) -> None:
     """Written last, by a rename: its presence says that the stage is complete."""
-    tmp = Path(target) / f".{MANIFEST}.tmp"
+    tmp = Path(target) / f"_tmp{MANIFEST}"
     tmp.write_text(json.dumps(payload, indent=2, sort_keys=True))
     tmp.rename(Path(target) / MANIFEST)
 
