@@ -6,13 +6,32 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="corpusmill-code-")
+    _WRITTEN.append(folder)
+    archive = f"{folder}/corpusmill_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(archive)
+    context._corpusmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append(path)

