@@ -12,7 +12,6 @@ repeated rows. No text is ever shuffled, only word positions and distinct words.
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,17 +147,45 @@ def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_
     return _joined(documents, tokenizer).mapInArrow(_expand(True), "doc_id long, n_tokens long")
 
 
-def decode(encoded: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+def _pieces_of(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_, pieces = shared.value
+        size = int(ids_.max()) + 1 if len(ids_) else 0
+        row = np.full(size + 1, -1, np.int64)
+        row[ids_] = np.arange(len(ids_))
+        table = pa.array(pieces, pa.binary())
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = row[np.clip(flat, 0, size)]
+            if (at < 0).any():
+                raise ValueError("an id is not in the vocabulary")
+            found = table.take(pa.array(at))  # one buffer: the pieces of all texts end to end
+            ends = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+            data = found.buffers()[2].to_pybytes() if len(found) else b""
+            n = np.asarray(lists.value_lengths().fill_null(0))
+            cuts = ends[np.concatenate([[0], np.cumsum(n)])]
+            texts = [data[x:y].decode() if ok else None for x, y, ok in zip(cuts[:-1], cuts[1:], lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", *, max_pieces: int = 1 << 20) -> DataFrame:
     """(doc_id, text): ids joined to the pieces of the vocabulary file, put together by position.
 
-    The vocabulary is a file of at most `2**20` pieces, checked before it is broadcast.
+    A vocabulary of at most `max_pieces` is sent to the workers and joined by index, document by document;
+    a larger one is joined by a shuffle of ids. Null ids give a null text; an unknown id is an error in
+    the first way and missing from the text in the second.
     """
     spark = encoded.sparkSession
     with open(tokenizer, "rb") as f:
         pieces = [(int(r), base64.b64decode(p)) for p, r in map(bytes.split, f)]
-    small = len(pieces) <= 1 << 20 and os.path.getsize(tokenizer) <= 64 << 20
+    if len(pieces) <= max_pieces:
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in pieces], np.int64), [p for _, p in pieces]))
+        return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_pieces_of(shared), "doc_id long, text string")
     vocabulary = spark.createDataFrame(pieces, "id int, piece binary")
-    ids = encoded.select("doc_id", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = ids.join(F.broadcast(vocabulary) if small else vocabulary, "id", "left")
+    ids = encoded.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
+    joined = ids.join(vocabulary, "id", "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))), lambda x: x["piece"]), "")
-    return joined.groupBy("doc_id").agg(F.decode(F.unhex(text), "utf-8").alias("text"))
+    return joined.groupBy("_row", "doc_id").agg(F.decode(F.unhex(text), "utf-8").alias("text")).drop("_row")

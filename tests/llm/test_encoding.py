@@ -36,6 +36,8 @@ def test_odd_texts_and_round_trip(spark):
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(ODD)}
     back = {r.doc_id: r.text for r in encoding.decode(encoded).collect()}
     assert back == {i: x or "" for i, x in enumerate(ODD)}
+    few = encoded.where("doc_id < 12")
+    assert {r.doc_id: r.text for r in encoding.decode(few, max_pieces=10).collect()} == {r.doc_id: r.text for r in encoding.decode(few).collect()}
 
 
 def test_repeated_rows_and_empty_table(spark):
