@@ -44,15 +44,16 @@ def clean(documents: DataFrame, config: DataFrame, *, least: int = 128, most: in
 def exact_dedup(documents: DataFrame, text: str, order: list[Column], among: Column | None = None) -> DataFrame:
     """Keeps the first of equal texts. Rows outside `among` neither look nor are looked at.
 
-    Groups shuffle by a hash of the text: the first row of a group is found by a partial aggregate, so a
-    text repeated without end costs one row a partition. The text itself is not shuffled.
+    A partial aggregate over hashes finds the texts that repeat and their first rows, so a text repeated
+    without end costs one row a partition. Only the table of repeated texts is joined back: where it is
+    short, Spark sends it to the documents and no text is shuffled.
     """
-    h = F.sha2(F.col(text), 256)
-    rows = documents.withColumn("_h", h)
+    rows = documents.withColumn("_h", F.sha2(F.col(text), 256))
     looked = rows if among is None else rows.where(among)
-    first = looked.groupBy("_h").agg(F.min(F.struct(*order)).alias("_first"))
-    kept = looked.withColumn("_me", F.struct(*order)).join(first, "_h").where(F.col("_me") == F.col("_first")).drop("_me", "_first", "_h")
-    return kept if among is None else kept.unionByName(rows.where(~among).drop("_h"))
+    repeated = looked.groupBy("_h").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    mine = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
+    kept = rows.withColumn("_me", F.struct(*order)).withColumn("_in", mine).join(repeated, "_h", "left")
+    return kept.where(~F.col("_in") | F.col("_first").isNull() | (F.col("_me") == F.col("_first"))).drop("_h", "_me", "_in", "_first")
 
 
 def dedup_against(documents: DataFrame, prior: DataFrame, text: str) -> DataFrame:

@@ -42,17 +42,23 @@ def fuzzy_score(query: Column, fields: list[Column]) -> Column:
     return score
 
 
-def search(queries: DataFrame, rows: DataFrame, score: "callable", fields: list[str], k: int, *, qid: str = "qid", query: str = "query", ord_: str = "ord", min_score: float = 0.0) -> DataFrame:
-    """The k best rows of each query, ties in scan order. Queries are a stated set, checked to be small before they are sent to the rows.
+def search(queries: DataFrame, rows: DataFrame, score: "callable", fields: list[str], k: int, *, qid: str = "qid", query: str = "query", ord_: str = "ord", min_score: float = 0.0, block: int = 2_000) -> DataFrame:
+    """The k best rows of each query, ties in scan order.
 
-    Top k is kept per partition of rows first, so what is shuffled is k rows a query and partition.
+    Queries are a stated set; they go to the rows in blocks of about `block`, and top k is kept per
+    partition of rows first, so what is shuffled is k rows a query and partition.
     """
-    scored = rows.join(F.broadcast(queries), F.lit(True)).withColumn("score", score(F.col(query), [F.col(f) for f in fields])).where(F.col("score") > min_score)
-    best = scored.withColumn("_p", F.spark_partition_id())
-    local = Window.partitionBy(qid, "_p").orderBy(F.col("score").desc(), F.col(ord_))
-    best = best.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).drop("_r", "_p")
+    n_blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(n_blocks):
+        part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == b)
+        scored = rows.join(F.broadcast(part), F.lit(True)).withColumn("score", score(F.col(query), [F.col(f) for f in fields])).where(F.col("score") > min_score)
+        best = scored.withColumn("_p", F.spark_partition_id())
+        local = Window.partitionBy(qid, "_p").orderBy(F.col("score").desc(), F.col(ord_))
+        best = best.withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k).drop("_r", "_p")
+        out = best if out is None else out.unionByName(best)
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(ord_))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def prefer_titles(hits: DataFrame, preferred: Column, k: int, *, qid: str = "qid", rank: str = "rank") -> DataFrame:

@@ -72,8 +72,9 @@ def compare_versions(left: DataFrame, right: DataFrame, key: str, fields: list[s
     for i in range(len(fields)):
         same = same & F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}"))
     status = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~same, "changed")
-    both = a.agg(F.count(F.lit(1)).alias("_na")).crossJoin(b.agg(F.count(F.lit(1)).alias("_nb"))).where("_na > 0 and _nb > 0")  # one row each
-    out = a.join(b, key, "full_outer").select(key, status.alias("status")).where("status is not null").crossJoin(F.broadcast(both)).drop("_na", "_nb")
+    out = a.join(b, key, "full_outer").select(key, status.alias("status")).where("status is not null")
+    if left.isEmpty() or right.isEmpty():
+        out = out.limit(0)
     return out.withColumn("_r", F.row_number().over(Window.partitionBy("status").orderBy(key))).where(F.col("_r") <= limit).drop("_r")
 
 
@@ -83,11 +84,20 @@ def quality(sections: DataFrame, snapshot: str = "snapshot_id", mode: str = "ext
 
 
 def first_policy(pages: DataFrame, policies: DataFrame, text: Column, key: str, default: str = "generic") -> DataFrame:
-    """(key, page_type): the first policy (least ord) whose needle stands in the text. policies: (needle, page_type, ord), a small table."""
-    p = F.broadcast(policies.where("trim(needle) <> ''"))
-    hits = pages.select(key, F.lower(text).alias("_t")).join(p, F.contains(F.col("_t"), F.lower(F.trim(F.col("needle")))))
-    best = hits.groupBy(key).agg(F.min_by("page_type", "ord").alias("page_type"))
-    return pages.select(key).join(best, key, "left").withColumn("page_type", F.coalesce("page_type", F.lit(default)))
+    """(key, page_type): the first policy (least ord) whose needle stands in the text. policies: (needle, page_type, ord).
+
+    Policies are configuration of at most 10,000 rows, more is an error; they become one expression, so
+    pages are neither joined nor shuffled.
+    """
+    rules = policies.where("trim(needle) <> ''").orderBy("ord").limit(10_001).collect()
+    if len(rules) > 10_000:
+        raise ValueError("more than 10,000 policies")
+    t = F.lower(text)
+    table = F.array(*(F.struct(F.lit(r.needle.strip().lower()).alias("needle"), F.lit(r.page_type).alias("page_type")) for r in rules)) if rules else None
+    if table is None:
+        return pages.select(key, F.lit(default).alias("page_type"))
+    first = F.get(F.filter(table, lambda r: F.contains(t, r["needle"])), F.lit(0))
+    return pages.select(key, F.coalesce(F.when(t.isNotNull(), first["page_type"]), F.lit(default)).alias("page_type"))
 
 
 #: what a page address tells of the page, in the order of the tests (fixed values)
