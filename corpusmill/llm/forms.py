@@ -357,8 +357,8 @@ def labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
 
 def fit(documents: DataFrame, labels: DataFrame, frames: boilerplate.Frames | None, max_labelled: int) -> Model:
     """documents: (doc_id, text, mark)."""
-    chosen = labelled(labels, max_labelled)
-    rows = documents.join(chosen, "doc_id").where(F.length("text") <= 100_000).collect()
+    chosen = labelled(labels, max_labelled)  # at most max_labelled rows
+    rows = documents.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= 100_000).collect()
     rows = sorted({r.doc_id: r for r in rows if r.text and r.text.strip()}.values(), key=lambda r: r.doc_id)
     extra = made_up([r.text for r in rows])
     x = _body([boilerplate.fold(t) for t in [*(r.text for r in rows), *(t for t, _ in extra)]], [*(r.mark for r in rows), *(False if frames else None for _ in extra)], frames)

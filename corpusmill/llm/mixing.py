@@ -89,6 +89,6 @@ def mix(documents: DataFrame, sources: DataFrame, size: Column, quality: Column,
     got = mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("drawn_size"), F.max("copies").alias("epochs"))
     report = spark.createDataFrame([(n, float(w) if w is not None else None, float(plan[n][0]), int(s)) for n, w, s in listed], "source string, weight double, target_share double, pool_size long").join(got, "source", "left")
     report = report.withColumn("drawn_size", F.coalesce("drawn_size", F.lit(0).cast("long"))).withColumn("epochs", F.coalesce("epochs", F.lit(0)))
-    whole = mixed.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)).alias("_t"))
-    report = report.crossJoin(F.broadcast(whole)).withColumn("actual_share", F.when(F.col("_t") > 0, F.col("drawn_size") / F.col("_t")).otherwise(F.lit(0.0))).drop("_t")
+    whole = mixed.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0))).first()[0]
+    report = report.withColumn("actual_share", F.col("drawn_size") / F.lit(whole) if whole else F.lit(0.0))
     return mixed, report
