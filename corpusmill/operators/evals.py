@@ -51,16 +51,94 @@ def generation_quality(text: Column) -> dict[str, Column]:
     }
 
 
-def answer_score(response: Column, reference: Column, expected: Column, forbidden: Column | None = None) -> Column:
-    """Share of the expected parts (1 for an equal reference without any), less the share of the forbidden; never below 0."""
-    equal = (T.normalize_text(response) == T.normalize_text(reference)) & reference.isNotNull()
-    parts = F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0
-    score = F.when(parts, T.matched_share(F.coalesce(response, F.lit("")), expected)).otherwise(F.when(equal, 1.0).otherwise(0.0))
+#: closing phrases of an answer that says nothing, and of one that abstains (fixed values)
+FILLERS = ["what would you like to work on", "what would you like help with", "how can i help today", "tell me what you want to figure out"]
+ABSTENTIONS = [
+    "i don't know", "i do not know", "not enough information", "insufficient information", "i cannot confirm", "i can't confirm", "could not find", "couldn't find", "cannot verify", "don't want to guess", "not listed",
+]
+
+
+def cites(response: Column) -> Column:
+    return T.contains_any(F.lower(response), ["[source:", "<|citation|>"])
+
+
+def abstains(response: Column) -> Column:
+    return T.contains_any(F.lower(response), ABSTENTIONS)
+
+
+def degenerate_reasons(text: Column) -> Column:
+    """Names of the form faults of a generated text, in order; from the statistics of generation_quality."""
+    q = generation_quality(text)
+    dense = F.length(F.regexp_replace(T.squeeze_ends(F.coalesce(text, F.lit(""))), T.WS, ""))
+    words = F.size(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), T.WS + "+"), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")), lambda x: x != ""))
+    faults = [
+        ("separator_spam", q["separator_bursts"] >= 2), ("low_alphabetic_ratio", (dense >= 40) & (q["alpha_ratio"] < 0.45)), ("too_many_short_fragments", (q["tokens"] >= 12) & (q["short_fragment_ratio"] > 0.55)),
+        ("malformed_token_dump", (q["tokens"] >= 12) & (q["punctuation_suffix_ratio"] > 0.55)), ("repeated_token_burst", q["repeated_token_run"] >= 4), ("comma_spam", (dense >= 40) & (q["comma_ratio"] > 0.12)), ("low_token_variety", (words >= 12) & (q["unique_token_ratio"] < 0.3)),
+    ]
+    return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in faults)), lambda x: x.isNotNull())
+
+
+def answer_score(response: Column, reference: Column, expected: Column, forbidden: Column | None = None, wants_citation: Column | None = None) -> Column:
+    """1 for an equal reference, the share of expected parts, less one a forbidden part, less the form penalties; never below 0.
+
+    A null reference or list asks nothing. With wants_citation, half a point for or against.
+    """
+    r = F.coalesce(response, F.lit(""))
+    score = F.when(T.squeeze_ends(r) == T.squeeze_ends(reference), 1.0).otherwise(0.0) + T.matched_share(r, expected)
     if forbidden is not None:
-        score = score - T.matched_share(F.coalesce(response, F.lit("")), forbidden)
+        score = score - F.coalesce(F.size(F.filter(forbidden, lambda p: F.contains(F.lower(r), F.lower(p)))), F.lit(0))
+    repeated = F.rlike(r, F.lit(r"([,.;:!?])(?:\s*\1){4,}")) | F.rlike(F.lower(r), F.lit(r"\b(and|or)\b(?:\s+\1){3,}"))
+    score = score - F.when(repeated, 2.0).otherwise(0.0) - F.when(T.contains_any(F.lower(r), FILLERS), 1.0).otherwise(0.0) - F.when(T.contains_any(r, ["</s>", "<|assistant|>", "<|user|>"]), 2.0).otherwise(0.0)
+    if wants_citation is not None:
+        score = score + F.when(F.coalesce(wants_citation, F.lit(False)), F.when(cites(r), 0.5).otherwise(-0.5)).otherwise(0.0)
     return F.greatest(score, F.lit(0.0))
 
 
+def grounded_exact(response: Column, expects_abstention: Column, all_of: list[Column], any_of: Column) -> Column:
+    """Whether an answer has all parts of every list and one of any_of (or abstains where it should); without any list, whether it says anything."""
+    r = F.lower(F.coalesce(response, F.lit("")))
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(x, none) for x in all_of]
+    some = F.coalesce(any_of, none)
+    ok = F.lit(True)
+    for x in lists:
+        ok = ok & F.forall(x, lambda p: F.contains(r, F.lower(p)))
+    ok = ok & ((F.size(some) == 0) | F.exists(some, lambda p: F.contains(r, F.lower(p))))
+    asked = F.size(some)
+    for x in lists:
+        asked = asked + F.size(x)
+    return F.when(F.coalesce(expects_abstention, F.lit(False)), abstains(r)).when(asked == 0, T.squeeze_ends(r) != "").otherwise(ok)
+
+
+def early_stopping(history: DataFrame, by: str, step: str, value: str, min_delta: float = 0.0) -> DataFrame:
+    """(.., best, best_step, no_improvement, worsening) after each evaluation of a run, in step order; null values change nothing.
+
+    A fold over a run's evaluations, which are few; runs are folded side by side.
+    """
+    import math
+
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step).reset_index(drop=True)
+        best, best_step, last, flat, worse, rows = math.inf, None, math.nan, 0, 0, []
+        for s, v in zip(pdf[step], pdf[value]):
+            if v is not None and not math.isnan(v):
+                if v < best - min_delta:
+                    best, best_step, flat = v, s, 0
+                else:
+                    flat += 1
+                worse = worse + 1 if not math.isnan(last) and v > last else 0
+                last = v
+            rows.append((None if math.isinf(best) else best, best_step, flat, worse))
+        out = pdf[[by, step, value]].copy()
+        out[["best", "best_step", "no_improvement", "worsening"]] = pd.DataFrame(rows, columns=["best", "best_step", "no_improvement", "worsening"])
+        return out
+
+    kinds = dict(history.dtypes)
+    return history.select(by, step, value).groupBy(by).applyInPandas(fold, f"{by} {kinds[by]}, {step} {kinds[step]}, {value} {kinds[value]}, best double, best_step {kinds[step]}, no_improvement long, worsening long")
+
+
 def lanes(results: DataFrame, names: dict[str, tuple[str, ...]], by: list[str] | None = None) -> DataFrame:
     """Unpivots score columns lane -> (metric columns) to (lane, metric, n, mean) over all rows."""
     rows = [F.struct(F.lit(lane).alias("lane"), F.lit(metric).alias("metric"), F.col(column).cast("double").alias("value")) for lane, columns in names.items() for metric, column in (c.split("=") for c in columns)]

@@ -584,7 +584,7 @@ def w11_repeated_run(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", q["repeated_token_run"].alias("longest_run"), q["separator_bursts"].alias("separator_bursts"))
 
 
-_SCORED = f"(SELECT item_id, pass_score, requires_citation, reference, CASE WHEN len(expected_substrings) > 0 THEN len(list_filter(expected_substrings, lambda p: contains(lower(coalesce(reference, '')), lower(p)))) / len(expected_substrings) WHEN reference IS NOT NULL THEN 1.0 ELSE 0.0 END AS score FROM assistant)"
+_SCORED = f"(SELECT item_id, pass_score, requires_citation, reference, CASE WHEN reference IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN len(expected_substrings) > 0 THEN len(list_filter(expected_substrings, lambda p: contains(lower(coalesce(reference, '')), lower(p)))) / len(expected_substrings) ELSE 0.0 END AS score FROM assistant)"
 
 
 @query(f"SELECT item_id, CAST(score AS DOUBLE) AS score, coalesce(score >= coalesce(pass_score, 1.0), false) AS passed FROM {_SCORED}")
@@ -686,8 +686,11 @@ def r10_hourly_events(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    import corpusmill.more_queries  # noqa: F401  registers itself
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

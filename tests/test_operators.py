@@ -164,3 +164,22 @@ def test_gates_and_rates(spark):
     assert (empty.r, empty.w, empty.g) == (0.0, 0.0, None)
     r = spark.createDataFrame([("lol lol lol a, b!!! x-",)], "t string").select(*(c.alias(n) for n, c in evals.generation_quality(F.col("t")).items())).first()
     assert r.repeated_token_run == 3 and r.tokens == 6 and r.unique_token_ratio == pytest.approx(4 / 6, abs=1e-4)
+
+
+def test_answer_scores(spark):
+    schema = "r string, ref string, exp array<string>, bad array<string>, cite boolean"
+    rows = spark.createDataFrame(
+        [("yes", " yes ", None, None, None), ("A and B", None, ["a", "c"], ["b"], None), ("a [Source: x]", None, ["a"], [], True), ("a", None, ["a"], None, True), ("how can I help today", None, None, None, None), ("a !!!!! b", "a !!!!! b", ["a"], None, None), (None, "x", None, None, None)], schema
+    )
+    got = [r.s for r in rows.select(evals.answer_score(F.col("r"), F.col("ref"), F.col("exp"), F.col("bad"), F.col("cite")).alias("s")).collect()]
+    assert got == [1.0, 0.0, 1.5, 0.5, 0.0, 0.0, 0.0]
+    g = spark.createDataFrame([("A b", False, ["a", "b"], None), ("A b", False, ["a", "c"], None), ("x", None, None, ["y", "x"]), (" ", None, None, None), ("I don't know.", True, ["a"], None), ("", True, None, None)], "r string, abst boolean, every array<string>, some array<string>")
+    assert [r.e for r in g.select(evals.grounded_exact(F.col("r"), F.col("abst"), [F.col("every")], F.col("some")).alias("e")).collect()] == [True, False, True, False, True, False]
+    t = spark.createDataFrame([("a b c " * 10,), ("word " * 12,), ("plain words in a normal sentence",), (",,,, .... ///",), (None,)], "t string")
+    assert [r.x for r in t.select(evals.degenerate_reasons(F.col("t")).alias("x")).collect()] == [["too_many_short_fragments", "low_token_variety"], ["repeated_token_burst", "low_token_variety"], [], ["separator_spam"], []]
+
+
+def test_early_stopping_fold(spark):
+    h = spark.createDataFrame([("r", 1, 2.0), ("r", 2, 1.95), ("r", 3, None), ("r", 4, 2.5), ("r", 5, 1.0), ("q", 1, None)], "run string, step int, loss double")
+    got = {(r.run, r.step): (r.best, r.best_step, r.no_improvement, r.worsening) for r in evals.early_stopping(h, "run", "step", "loss", 0.1).collect()}
+    assert got[("r", 2)] == (2.0, 1, 1, 0) and got[("r", 3)] == (2.0, 1, 1, 0) and got[("r", 4)] == (2.0, 1, 2, 1) and got[("r", 5)] == (1.0, 5, 0, 0) and got[("q", 1)] == (None, None, 0, 0)
