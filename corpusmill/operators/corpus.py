@@ -33,12 +33,12 @@ def clean(documents: DataFrame, config: DataFrame, *, least: int = 128, most: in
 
     The configuration joins by name; Spark broadcasts it by its size.
     """
-    flags = config.select(F.col("name").alias("source"), *(F.coalesce(F.col(c), F.lit(True)).alias(c) for c in ("quality_filter", "deduplicate", "pii_scrub")))
+    flags = config.select(F.col("name").alias("source"), *(F.coalesce(F.col(c), F.lit(True)).alias(f"_{c}") for c in ("quality_filter", "deduplicate", "pii_scrub")))
     joined = documents.where(F.col("text").isNotNull()).join(flags.dropDuplicates(["source"]), "source", "left")
-    on = lambda c: F.coalesce(F.col(c), F.lit(True))
+    on = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(True))
     plain = T.normalize_whitespace(F.col("text"))
     out = joined.withColumn("clean_text", plain).withColumn("clean_text", F.when(on("pii_scrub"), T.scrub(F.col("clean_text"))).otherwise(F.col("clean_text")))
-    return out.withColumn("dropped_reason", F.when(on("quality_filter") & ~T.quality_ok(F.col("clean_text"), least, most), F.lit("quality_filter"))).withColumn("deduplicate", on("deduplicate"))
+    return out.withColumn("dropped_reason", F.when(on("quality_filter") & ~T.quality_ok(F.col("clean_text"), least, most), F.lit("quality_filter"))).withColumn("deduplicate", on("deduplicate")).drop("_quality_filter", "_deduplicate", "_pii_scrub")
 
 
 def exact_dedup(documents: DataFrame, text: str, order: list[Column], among: Column | None = None) -> DataFrame:
@@ -48,12 +48,12 @@ def exact_dedup(documents: DataFrame, text: str, order: list[Column], among: Col
     without end costs one row a partition. Only the table of repeated texts is joined back: where it is
     short, Spark sends it to the documents and no text is shuffled.
     """
-    rows = documents.withColumn("_h", F.sha2(F.col(text), 256))
+    rows = documents.withColumn("__mill_h", F.sha2(F.col(text), 256))
     looked = rows if among is None else rows.where(among)
-    repeated = looked.groupBy("_h").agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    repeated = looked.groupBy("__mill_h").agg(F.min(F.struct(*order)).alias("__mill_first"), F.count(F.lit(1)).alias("__mill_n")).where("__mill_n > 1").drop("__mill_n")
     mine = F.lit(True) if among is None else F.coalesce(among, F.lit(False))
-    kept = rows.withColumn("_me", F.struct(*order)).withColumn("_in", mine).join(repeated, "_h", "left")
-    return kept.where(~F.col("_in") | F.col("_first").isNull() | (F.col("_me") == F.col("_first"))).drop("_h", "_me", "_in", "_first")
+    kept = rows.withColumn("__mill_me", F.struct(*order)).withColumn("__mill_in", mine).join(repeated, "__mill_h", "left")
+    return kept.where(~F.col("__mill_in") | F.col("__mill_first").isNull() | (F.col("__mill_me") == F.col("__mill_first"))).drop("__mill_h", "__mill_me", "__mill_in", "__mill_first")
 
 
 def dedup_against(documents: DataFrame, prior: DataFrame, text: str) -> DataFrame:

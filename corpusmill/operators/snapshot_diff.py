@@ -160,13 +160,13 @@ def snapshot_changes(
     if last is None:
         last = -1
     keyed = records.withColumn("_snap_key", F.lower(F.trim(F.col(snapshot)))).withColumn("_key", F.coalesce(key, F.lit("")))
-    joined = keyed.join(snaps.select(F.col("snap_key").alias("_snap_key"), "snap"), "_snap_key")
+    joined = keyed.join(snaps.select(F.col("snap_key").alias("_snap_key"), F.col("snap").alias("_snap")), "_snap_key")
     hashed = lambda c: (F.xxhash64(c), F.xxhash64(F.lit("second"), c))
     k1, k2 = hashed(F.col("_key"))
     time = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**63)))
     # nulls are skipped by xxhash64, so each compared value carries its own marker
     marked = [x for c in content for x in (c.isNull(), c)]
-    compact = joined.select(k1.alias("k1"), k2.alias("k2"), "snap", time.alias("at"), F.xxhash64(*marked).alias("row"))
+    compact = joined.select(k1.alias("k1"), k2.alias("k2"), F.col("_snap").alias("snap"), time.alias("at"), F.xxhash64(*marked).alias("row"))
     bucketed = compact.mapInArrow(_bucketed(n_buckets), "bucket int, entries binary")
     found = bucketed.groupBy("bucket").applyInArrow(_compare(last), "k1 long, k2 long, snap int, change_kind string")
     found = found.join(snaps.select("snap", "snapshot_id"), "snap").drop("snap")
