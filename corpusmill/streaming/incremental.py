@@ -39,3 +39,38 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+
+
+def pack_stream(sizes: DataFrame, capacity: int) -> DataFrame:
+    """(lane, ord, row, offset, part) of next-fit packing on a stream of (lane, ord, n): the open row of a lane is its state.
+
+    Within a micro-batch documents come in the order of ord. Rows are numbered as they are opened, so a
+    long document's own rows may follow the number of the row that is open; the groups are those of the
+    batch operator over the same order.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        row, used, opened = state.get if state.exists else (0, 0, -1)
+        out = []
+        whole = pd.concat(list(batches)).sort_values("ord")
+        for o, n in zip(whole["ord"].tolist(), whole["n"].tolist()):
+            if n <= 0:
+                continue
+            if n > capacity:
+                parts = -(-n // capacity)
+                out += [(o, row + k, 0, k) for k in range(parts)]
+                row += parts
+                continue
+            if opened < 0 or used + n > capacity:
+                opened, used, row = row, 0, row + 1
+            out.append((o, opened, used, 0))
+            used += n
+        state.update((row, used, opened))
+        pdf = pd.DataFrame(out, columns=["ord", "row", "offset", "part"])
+        pdf.insert(0, "lane", key[0])
+        yield pdf
+
+    rows = sizes.select(F.col("lane").cast("long"), F.col("ord").cast("long"), F.col("n").cast("long"))
+    return rows.groupBy("lane").applyInPandasWithState(step, "lane long, ord long, row long, offset long, part long", "row long, used long, opened long", "append", GroupStateTimeout.NoTimeout)
