@@ -143,9 +143,12 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
     return [cap[2 * i + 1] for i in range(len(arcs))]
 
 
-def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float]) -> list[list[int]]:
+def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float], most: int = 2_000) -> list[list[int]]:
     """How many components of each bundle (size, label counts, components) go to each split.
 
+    The `most` bundles with the most records take part in the flow; lighter ones take their even shares
+    and are rounded with the rest.
+
     Flow: source -> bundle -> split -> sink in records. A split takes its quota free of charge and more
     at a cost that rises with the excess (twice and further beyond); taking a bundle's label profile
     evenly costs least. The integral flow is rounded down to whole components; what is left goes, the
@@ -155,23 +158,26 @@ def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float
     quotas = [int(total * x / sum(shares)) for x in shares]
     quotas[quotas.index(max(quotas))] += total - sum(quotas)
     k, b = len(shares), len(bundles)
-    source, sink = b + k, b + k + 1
+    even = [[int(n * x / sum(shares)) for x in shares] for _, _, n in bundles]
+    heavy = sorted(range(b), key=lambda i: (-bundles[i][0] * bundles[i][2], i))[:most]
+    light_sent = [sum(even[i][s] * bundles[i][0] for i in set(range(b)) - set(heavy)) for s in range(k)]
+    h = len(heavy)
+    source, sink = h + k, h + k + 1
     arcs = []
-    for i, (size, _, n) in enumerate(bundles):
-        arcs.append((source, i, size * n, 0.0))
+    for j, i in enumerate(heavy):
+        size, _, n = bundles[i]
+        arcs.append((source, j, size * n, 0.0))
         for s in range(k):
-            even = int(size * n * shares[s] / sum(shares)) // size * size
-            arcs += [(i, b + s, even, 0.0), (i, b + s, size * n, 0.01)]  # off the even share of the profile costs a little
+            arcs += [(j, h + s, even[i][s] * size, 0.0), (j, h + s, size * n, 0.01)]  # off the even share of the profile costs a little
     for s in range(k):
-        arcs += [(b + s, sink, quotas[s], 0.0), (b + s, sink, max(1, quotas[s] // 10), 1.0), (b + s, sink, total, 4.0)]
-    flow = min_cost_flow(b + k + 2, arcs, source, sink, total) if total else [0] * len(arcs)
-    out, filled, at = [], [0] * k, 0
-    for size, _, n in bundles:
-        sent = [flow[at + 1 + 2 * s] + flow[at + 2 + 2 * s] for s in range(k)]
-        at += 1 + 2 * k
-        out.append([x // size for x in sent])
-        for s in range(k):
-            filled[s] += out[-1][s] * size
+        arcs += [(h + s, sink, max(0, quotas[s] - light_sent[s]), 0.0), (h + s, sink, max(1, quotas[s] // 10), 1.0), (h + s, sink, total, 4.0)]
+    amount = sum(bundles[i][0] * bundles[i][2] for i in heavy)
+    flow = min_cost_flow(h + k + 2, arcs, source, sink, amount) if amount else [0] * len(arcs)
+    out = [list(x) for x in even]
+    for j, i in enumerate(heavy):
+        at = j * (1 + 2 * k)
+        out[i] = [(flow[at + 1 + 2 * s] + flow[at + 2 + 2 * s]) // bundles[i][0] for s in range(k)]
+    filled = [sum(out[i][s] * bundles[i][0] for i in range(b)) for s in range(k)]
     for i in sorted(range(b), key=lambda i: -bundles[i][0]):
         size, _, n = bundles[i]
         for _ in range(n - sum(out[i])):
