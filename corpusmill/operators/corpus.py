@@ -71,7 +71,7 @@ def running(df: DataFrame, values: list[str], ord_: str, n_ranges: int = 256) ->
     bounds = df.agg(F.min(ord_).alias("lo"), F.max(ord_).alias("hi")).first()
     lo, hi = (bounds.lo or 0), (bounds.hi or 0)
     width = max(1, -(-(hi - lo + 1) // n_ranges))
-    ranged = df.withColumn("_range", F.floor((F.col(ord_) - lo) / width).cast("int"))
+    ranged = df.withColumn("_range", F.least(F.floor((F.col(ord_).cast("double") - float(lo)) / width), F.lit(n_ranges)).cast("int"))
     sums = ranged.groupBy("_range").agg(*(F.sum(v).alias(f"_s_{v}") for v in values))
     w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("_range", *(F.coalesce(F.sum(f"_s_{v}").over(w), F.lit(0)).alias(f"_o_{v}") for v in values))
