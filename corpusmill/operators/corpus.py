@@ -62,12 +62,13 @@ def dedup_against(documents: DataFrame, prior: DataFrame, text: str) -> DataFram
     return documents.withColumn("_h", F.sha2(F.col(text), 256)).join(seen, "_h", "left_anti").drop("_h")
 
 
-def running(df: DataFrame, values: list[str], ord_: str, n_ranges: int = 256) -> DataFrame:
+def running(df: DataFrame, values: list[str], ord_: str, n_ranges: int | None = None) -> DataFrame:
     """Adds before_<value>: the sum over all rows before, in the order of a unique long ordinal.
 
     Rows are summed in ranges of the ordinal first; one small row a range is ordered in one place, the
-    rows themselves only within their range.
+    rows themselves only within their range. n_ranges is four per shuffle partition by default, at least 256.
     """
+    n_ranges = n_ranges or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.agg(F.min(ord_).alias("lo"), F.max(ord_).alias("hi")).first()
     lo, hi = (bounds.lo or 0), (bounds.hi or 0)
     width = max(1, -(-(hi - lo + 1) // n_ranges))
