@@ -24,15 +24,20 @@ def rate(flag: Column) -> Column:
     return F.count_if(flag) / F.greatest(F.count(F.lit(1)), F.lit(1))
 
 
-def generation_quality(text: Column) -> dict[str, Column]:
-    """Form statistics of a generated text, ratios to four places."""
-    t = T.squeeze_ends(F.coalesce(text, F.lit("")))
-    dense = F.regexp_replace(t, T.WS, "")
+def _parts(text: Column) -> dict[str, Column]:
+    """The steps from a text to its words, each by the one before."""
+    return {"t": T.squeeze_ends(F.coalesce(text, F.lit("")))} | {
+        "dense": lambda c: F.regexp_replace(c["t"], T.WS, ""),
+        "raw": lambda c: F.filter(F.split(c["t"], T.WS + "+"), lambda x: x != ""),
+        "plain": lambda c: F.transform(c["raw"], lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")),
+        "words": lambda c: F.filter(c["plain"], lambda x: x != ""),
+    }
+
+
+def _metrics(c: dict[str, Column]) -> dict[str, Column]:
+    t, dense, raw, plain, words = (c[k] for k in ("t", "dense", "raw", "plain", "words"))
     n = F.length(dense)
-    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(F.lit(0.0))
-    raw = F.filter(F.split(t, T.WS + "+"), lambda x: x != "")
-    plain = F.transform(raw, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""))
-    words = F.filter(plain, lambda x: x != "")
+    ratio = lambda a, b: F.coalesce(F.round(F.try_divide(a, b), 4), F.lit(0.0))
     run = F.aggregate(
         words,
         F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(1).alias("top")),
@@ -51,6 +56,23 @@ def generation_quality(text: Column) -> dict[str, Column]:
     }
 
 
+def generation_quality(text: Column) -> dict[str, Column]:
+    """Form statistics of a generated text, ratios to four places."""
+    c: dict[str, Column] = {}
+    for name, step in _parts(text).items():
+        c[name] = step if isinstance(step, Column) else step(c)
+    return _metrics(c)
+
+
+def with_generation_quality(df: DataFrame, text: str) -> DataFrame:
+    """df and the statistics of a text column; the steps are projections of their own, so none is computed twice."""
+    c: dict[str, Column] = {}
+    for name, step in _parts(F.col(text)).items():
+        df = df.withColumn(f"__mill_{name}", step(c) if not isinstance(step, Column) else step)
+        c[name] = F.col(f"__mill_{name}")
+    return df.withColumns(_metrics(c)).drop(*(f"__mill_{n}" for n in c))
+
+
 #: closing phrases of an answer that says nothing, and of one that abstains (fixed values)
 FILLERS = ["what would you like to work on", "what would you like help with", "how can i help today", "tell me what you want to figure out"]
 ABSTENTIONS = [

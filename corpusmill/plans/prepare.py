@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.core.tables import materialise
 from corpusmill.operators import corpus
 
 MANIFEST = "_manifest.json"  # names with an underscore are no data to Spark
@@ -41,8 +42,12 @@ def write_manifest(target: str | Path, payload: dict) -> None:
 
 
 def cleaned(documents: DataFrame, config: DataFrame, *, least: int = 128, most: int = 100_000, order: list[Column] | None = None) -> DataFrame:
-    """Documents that pass cleaning and exact deduplication, in their sources' switches."""
-    rows = corpus.clean(documents, config, least=least, most=most).where("dropped_reason is null")
+    """Documents that pass cleaning and exact deduplication, in their sources' switches.
+
+    The clean texts are written once: what follows reads them more than once, and a filter on the reason
+    would have Catalyst compute the whole chain of replacements again for each of its terms.
+    """
+    rows = materialise(corpus.clean(documents, config, least=least, most=most).drop("text"), "clean").where("dropped_reason is null")
     return corpus.exact_dedup(rows, "clean_text", order or [F.col("doc_id")], F.col("deduplicate"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import table
+from corpusmill.core.tables import materialise, table
 from corpusmill.functions import hashing
 from corpusmill.functions import text as T
 from corpusmill.operators import corpus, evals, examples, retrieval, snapshot_diff, snapshots
@@ -118,7 +118,7 @@ def f03_quality_filter(spark, d):
 
 @query(f"WITH {_CLEANED} SELECT coalesce(why, 'kept') AS reason, count(*) AS n FROM final GROUP BY 1")
 def f05_drop_reasons(spark, d):
-    rows = corpus.clean(table(spark, d, "documents"), table(spark, d, "data_sources"))
+    rows = materialise(corpus.clean(table(spark, d, "documents"), table(spark, d, "data_sources")).select("doc_id", "clean_text", "dropped_reason", "deduplicate"), "clean")
     kept = corpus.exact_dedup(rows.where("dropped_reason is null"), "clean_text", [F.col("doc_id")], F.col("deduplicate")).select("doc_id", F.lit("kept").alias("_k"))
     out = rows.select("doc_id", "dropped_reason").join(kept, "doc_id", "left")
     return out.groupBy(F.coalesce("dropped_reason", "_k", F.lit("duplicate")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -574,14 +574,14 @@ def u03_except(spark, d):
   round(CASE WHEN len(list_filter(p, lambda x: x <> '')) > 0 THEN len(list_distinct(list_filter(p, lambda x: x <> ''))) / len(list_filter(p, lambda x: x <> '')) ELSE 0 END, 4) AS unique_token_ratio FROM w"""
 )
 def x21_generation_quality(spark, d):
-    q = evals.generation_quality(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", *(q[n].alias(n) for n in ("alpha_ratio", "tokens", "short_fragment_ratio", "unique_token_ratio")))
+    rows = evals.with_generation_quality(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text")
+    return rows.select("doc_id", "alpha_ratio", "tokens", "short_fragment_ratio", "unique_token_ratio")
 
 
 @query()
 def w11_repeated_run(spark, d):
-    q = evals.generation_quality(F.col("text"))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", q["repeated_token_run"].alias("longest_run"), q["separator_bursts"].alias("separator_bursts"))
+    rows = evals.with_generation_quality(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.col("repeated_token_run").alias("longest_run"), "separator_bursts")
 
 
 _SCORED = f"(SELECT item_id, pass_score, requires_citation, reference, CASE WHEN reference IS NOT NULL THEN 1.0 ELSE 0.0 END + CASE WHEN len(expected_substrings) > 0 THEN len(list_filter(expected_substrings, lambda p: contains(lower(coalesce(reference, '')), lower(p)))) / len(expected_substrings) ELSE 0.0 END AS score FROM assistant)"
