@@ -273,11 +273,12 @@ def made_up(texts: list[str], n: int = 12, seed: int = 7) -> list[tuple[str, str
         "junk": [
             lambda: lines(lambda k: words_(6, 14).capitalize() + "."), lambda: (rng.choice(sentences) + ". ") * rng.randint(6, 25), lambda: (rng.choice([word(), "and", "la", "ok"]) + " ") * rng.randint(25, 90),
             lambda: lines(lambda k: damaged(rng.choice(sentences))), lambda: base64.encodebytes(rng.randbytes(rng.randint(150, 500))).decode(), lambda: ", ".join(rng.choices([words_(1, 2) for _ in range(5)], k=rng.randint(10, 30))),
-            lambda: lines(lambda k: f"[{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02}] {rng.choice(['INFO', 'WARN', 'DEBUG', 'ERROR'])} {word()}.{word()} id=0x{hexes(8)} took={rng.randint(1, 900)}ms"),
-            lambda: lines(lambda k: f"var {word()}{k}={{a:{rng.randint(0, 9)},b:'{word()}'}};if(!x){{return {rng.randint(0, 99)}}}"), lambda: rng.choice([",", "=-", ".", "_*", "#"]) * rng.randint(30, 120),
+            lambda: lines(lambda k: f"{rng.choice(['', '2024-05-0' + str(k % 9) + ' '])}{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02} {rng.choice(['INFO', 'WARN', 'DEBUG', 'ERROR'])} {word()}.{word()} {hexes(8)} {word()}={rng.randint(1, 900)}"),
+            lambda: lines(lambda k: rng.choice([f"{word()} = {word()}({rng.randint(0, 99)}, {word()}.{word()});", f"if ({word()}[{k}] > {rng.randint(0, 99)}) {{ return !{word()}; }}", f"def {word()}({word()}): return {{'{word()}': {k}}}", f'<div class="{word()}" id={word()}{k}><b>{word()}</b></div>'])), lambda: rng.choice([",", "=-", ".", "_*", "#"]) * rng.randint(3, 120),
+            *[lambda: (rng.choice(sentences).rstrip(".") + ". ") * rng.randint(4, 25)] * 5,
         ],
         "list": [
-            lambda: lines(lambda k: f"- {words_(1, 3)}"), lambda: lines(lambda k: f"{k}. {words_(1, 2)}: {words_(1, 2)}"), lambda: lines(lambda k: f"[ ] {words_(1, 2)} / {words_(1, 2)}"), lambda: lines(lambda k: f"* {words_(2, 3)}, {k}x"),
+            lambda: lines(lambda k: f"- {words_(1, 3)}"), lambda: lines(lambda k: f"{k}. {words_(1, 2)}: {words_(1, 2)}"), lambda: lines(lambda k: f"[{rng.choice(' x')}] {words_(1, 4)}"), lambda: lines(lambda k: f"* {words_(2, 3)} ({k})"),
             lambda: lines(lambda k: f"{words_(1, 2)} .......... {rng.randint(1, 300)}"), lambda: lines(lambda k: f"{words_(1, 2).capitalize()} ({words_(1, 2)})"), lambda: lines(lambda k: f"{rng.randint(7, 19)}:{rng.choice(['00', '15', '30', '45'])} {words_(1, 2)} - the {words_(1, 2)}"),
         ],
         "table": [
