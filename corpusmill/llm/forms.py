@@ -66,6 +66,8 @@ _KIND = np.full(256, _SYMBOL, np.uint8)
 _KIND[:33] = _SPACE
 _KIND[ord("a") : ord("z") + 1] = _LETTER
 _KIND[ord("0") : ord("9") + 1] = _DIGIT
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b"|;,\t")] = True
 _EDGE = np.zeros((2, 256), np.uint8)
 _EDGE[:] = 6
 _EDGE[:, ord("a") : ord("z") + 1] = 0
@@ -101,8 +103,10 @@ class Lines:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], alnum, [False]]).astype(np.int8)))
         longest = np.zeros(n, np.int64)
         if len(edge):
-            np.maximum.at(longest, np.searchsorted(at, edge[0::2], "right") - 1, edge[1::2] - edge[0::2])
-        separator = np.isin(blob, np.frombuffer(b"|;,\t", np.uint8))
+            of = np.searchsorted(at, edge[0::2], "right") - 1
+            first_of = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            longest[of[first_of]] = np.maximum.reduceat(edge[1::2] - edge[0::2], first_of)
+        separator = _SEPARATOR[blob]
         gap = np.zeros(len(blob), bool)
         gap[2:] = (kind[2:] != _SPACE) & (blob[1:-1] == 32) & (blob[:-2] == 32)
         # word triples that the document has had before
@@ -156,9 +160,10 @@ class Model:
 
     def path(self, x: Lines, lean: np.ndarray | None = None) -> np.ndarray:
         """The most probable states, all documents at once, line by line."""
-        e = self.scores(x)
+        e = self.scores(x).astype(np.float32)
         if lean is not None:
-            e += lean
+            e += lean.astype(np.float32)
+        move = self.move.astype(np.float32).T.copy()  # [to, from]: the sums run along the last axis
         n = len(e)
         if not n:
             return np.zeros(0, np.int64)
@@ -170,9 +175,10 @@ class Model:
         best[start] += self.first
         for t in range(1, length[0]):
             at = start[: np.searchsorted(-length, -t, "left")] + t  # documents longer than t lines
-            via = best[at - 1][:, :, None] + self.move[None]
-            back[at] = via.argmax(1)
-            best[at] += via.max(1)
+            via = best[at - 1][:, None, :] + move[None]
+            came = via.argmax(2)
+            back[at] = came
+            best[at] += np.take_along_axis(via, came[:, :, None], 2)[:, :, 0]
         state = np.zeros(n, np.int64)
         state[start + length - 1] = best[start + length - 1].argmax(1)
         for t in range(length[0] - 1, 0, -1):
@@ -296,7 +302,7 @@ def _body(texts: list[bytes], marks: list, frames: boilerplate.Frames | None) ->
     else:
         s = boilerplate.Stream(texts)
         keep, _ = frames.lines(s, np.array(marks, bool), *boilerplate.SHARES)
-        dropped = {(int(d), int(n)) for d, n in zip(s.doc[s.begin[keep]], s.line[s.begin[keep]])}
+        dropped = set(zip(s.doc[s.begin[keep]].tolist(), s.line[s.begin[keep]].tolist()))
     lines, doc = [], []
     for d, t in enumerate(texts):
         filled = [(n, line) for n, line in enumerate(t.split(b"\n"), 1) if line and not line.isspace()]
@@ -338,7 +344,7 @@ def _rate(model_, repeats):
                 for part, v in zip(held, (i, boilerplate.fold(t), mark, len(t.strip()))):
                     part.append(v)
                 size += len(t)
-                if size >= 2_000_000:
+                if size >= 600_000:
                     yield rows(*held)
                     held, size = ([], [], [], []), 0
         if held[0]:
