@@ -11,9 +11,10 @@ words that ends in the page's title; in a text without a url
 only if at least `least_lines` of its lines are. Digit runs are compared both masked (dates, years) and as they are (a host's own
 address and phone). The rest of a page, its unique runs, is the main body.
 
-A host with many pages is cut into parts of a bounded number of pages by a hash; a part is worked off
-in chunks of a bounded number of tokens. Counts of all parts and hosts are added up, and cover all
-documents. The repeats found go to the workers in blocks of at most `block` hashes.
+A host with many pages is cut into parts of a bounded number of pages by a hash of the page; a part is
+worked off in chunks of a bounded number of tokens. Texts without a url are cut like one more host.
+A cut host gives the counts of all its substrings, single ones too; least numbers of pages are asked
+only of the sums over its parts. Copies of a page meet in one part and count once. The repeats found go to the workers in blocks of at most `block` hashes.
 
 Defined cases: null and blank texts have no lines; blank lines are never reported; lines of more than
 62 tokens are main body; texts without a url are searched with the repeats of all hosts; repeated
@@ -22,6 +23,7 @@ record ids give each row's lines (once per distinct line number); an empty table
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -160,10 +162,10 @@ def suffix_array(token: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndar
     return order, new
 
 
-def _page_counts(stream: Stream, least: int, least_exact: float) -> tuple[np.ndarray, np.ndarray]:
-    """(substring hash, pages it stands on) of the substrings on at least `least` pages, `least_exact` where digits count."""
+def _page_counts(stream: Stream, least: int, least_exact: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(substring hash, pages it stands on, whether digits count) of the substrings on at least `least` pages, `least_exact` where digits count."""
     at, _ = stream.windows()
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, counts, exact = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for token, of, depth, salt in _families(stream, at) if len(at) else ():
         if not len(of):
             continue
@@ -177,7 +179,8 @@ def _page_counts(stream: Stream, least: int, least_exact: float) -> tuple[np.nda
         keep = n >= (least_exact if salt == 2 else least)
         hashes.append(_hash(token, own[order][first][keep], depth, salt))
         counts.append(n[keep])
-    return np.concatenate(hashes), np.concatenate(counts)
+        exact.append(np.full(int(keep.sum()), salt == 2))
+    return np.concatenate(hashes), np.concatenate(counts), np.concatenate(exact)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes], list[int]]]:
@@ -197,42 +200,55 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
         yield keys, texts, []
 
 
-def _counted(least: int, exact_share: float = 0.0):
-    """Counts of the texts in a stream of batches, chunk by chunk."""
+_COUNTS = "host string, h long, pages long, exact boolean"
 
-    def rows(texts: list[bytes]) -> pa.RecordBatch:
-        texts = list(dict.fromkeys(texts))  # copies of a page are one page
-        h, n = _page_counts(Stream(texts), least, max(least, exact_share * len(texts)))
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(np.full(len(h), len(texts)))], ["h", "pages", "of"])
 
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, _ in _texts(batches):
-            yield rows(texts)
+def _counted(least: int, exact_share: float):
+    """Counts of the pages of a (host, parts, part), chunk by chunk.
+
+    Only a host that is one chunk is held to the least numbers here; otherwise all counts come out,
+    and a row without h has the number of pages.
+    """
+
+    def rows(host: str, texts: list[bytes], whole: bool) -> pa.RecordBatch:
+        h, n, exact = _page_counts(Stream(texts), least if whole else 1, max(least, exact_share * len(texts)) if whole else 1)
+        columns = [pa.array(h.view(np.int64)), pa.array(n), pa.array(exact)]
+        if not whole:
+            columns = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in zip(columns, (None, len(texts), False))]
+        return pa.RecordBatch.from_arrays([pa.array([host] * len(columns[0]), pa.string()), *columns], ["host", "h", "pages", "exact"])
 
     def of_group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        host, whole = key[0].as_py(), key[1].as_py() == 1
+        held, size, seen = [], 0, set()
         for b in batches:
             for t in b.column("page").to_pylist():
-                held.append(pa.decompress(t[4:], int.from_bytes(t[:4], "little"), "zstd", asbytes=True))
-                size += len(held[-1])
+                digest = hashlib.blake2b(t, digest_size=16).digest()
+                if digest in seen:  # copies of a page are one page
+                    continue
+                seen.add(digest)
                 if size >= _CHUNK * 2:
-                    yield rows(held)
+                    whole = False
+                    yield rows(host, held, whole)
                     held, size = [], 0
+                held.append(pa.decompress(t[4:], int.from_bytes(t[:4], "little"), "zstd", asbytes=True))
+                size += len(held[-1])
         if held:
-            yield rows(held)
+            yield rows(host, held, whole)
 
-    return of_texts, of_group
+    return of_group
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages without their long lines, folded and compressed: what a host's suffix array needs of them."""
+    """Pages without their long lines, folded and compressed, copies of a batch once: what a host's suffix array needs of them."""
     for b in batches:
-        out = []
-        for t in b.column("text").to_pylist():
-            lines = [x for x in fold(t).split(b"\n") if x.strip() and len(x) <= 12 * MAX_TOKENS]
+        out: dict[tuple[str, bytes], None] = {}
+        for host, t in zip(*(b.column(c).to_pylist() for c in ("host", "text"))):
+            # a line of more fields is longer than MAX_TOKENS, even without the marks at its ends
+            lines = [x for x in fold(t).split(b"\n") if x.strip() and (len(x) <= 12 * MAX_TOKENS or len(x.split()) <= MAX_TOKENS + 4)]
             raw = b"\n".join(lines)
-            out.append(len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
-        yield pa.RecordBatch.from_arrays([b.column("host"), b.column("h"), pa.array(out, pa.binary())], ["host", "h", "page"])
+            out[host, len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)] = None
+        hosts, pages = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary())], ["host", "page"])
 
 
 def host(url: Column) -> Column:
@@ -242,20 +258,21 @@ def host(url: Column) -> Column:
 
 def frame_repeats(documents: DataFrame, *, pages_per_part: int = 2000, least_in_host: int = 2, own_share: float = 0.15, least_pages: int = 4, ratio: float = 8.0) -> DataFrame:
     """(h, web, plain): hashes of the substrings that are frame, with the numbers of pages in and out of the web."""
-    docs = documents.select("doc_id", "text", host(F.col("url")).alias("host")).where(F.length(F.trim("text")) > 0)
-    web = docs.where(F.col("host").isNotNull())
-    # only hosts with more pages than a part holds are cut, so the table of parts is short
-    parts = web.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_part).alias("parts")).where("parts > 1")
-    pages = web.select("host", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_pages, "host string, h long, page binary")
-    placed = pages.join(parts, "host", "left").select("host", F.pmod(F.col("h"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "page")
-    of_texts = _counted(2)[0]
-    schema = "h long, pages long, of long"
-    of_group = _counted(least_in_host, own_share)[1]
-    found = placed.groupBy("host", "part").applyInArrow(of_group, schema)
-    plain = docs.where(F.col("host").isNull()).select("text").mapInArrow(of_texts, schema)
-    kinds = found.withColumn("web", F.lit(1)).unionByName(plain.withColumn("web", F.lit(0)))
-    n_pages = docs.agg(F.count_if(F.col("host").isNotNull()).alias("w"), F.count_if(F.col("host").isNull()).alias("p")).first()
-    counts = kinds.groupBy("h").agg(F.sum(F.col("pages") * F.col("web")).alias("web"), F.sum(F.col("pages") * (1 - F.col("web"))).alias("plain"))
+    docs = documents.select(F.coalesce(host(F.col("url")), F.lit("")).alias("host"), "text").where(F.length(F.trim("text")) > 0)
+    is_web = F.col("host") != ""
+    # only hosts with more pages than a part holds are cut: at most a row for pages_per_part pages, and so for the
+    # hosts below; a join by shuffle would bring all pages of a host to one task
+    parts = docs.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / pages_per_part).alias("parts")).where("parts > 1")
+    pages = docs.mapInArrow(_pages, "host string, page binary").join(F.broadcast(parts), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = pages.select("host", "parts", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int").alias("part"), "page")
+    found = materialise(placed.groupBy("host", "parts", "part").applyInArrow(_counted(least_in_host, own_share), _COUNTS), "counts")
+    # hosts that are one chunk have no row without h: they are through with the least numbers
+    cut = found.where("h is null").groupBy("host").agg(F.sum("pages").alias("of"))
+    sums = found.where("h is not null").groupBy("host", "h", "exact").agg(F.sum("pages").alias("pages")).join(F.broadcast(cut), "host", "left")
+    least = F.when(F.col("exact"), F.greatest(F.lit(float(least_in_host)), own_share * F.coalesce("of", F.lit(0)))).otherwise(float(least_in_host))
+    kept = sums.where(~is_web | (F.col("pages") >= least)).withColumn("web", is_web.cast("int"))
+    n_pages = docs.agg(F.count_if(is_web).alias("w"), F.count_if(~is_web).alias("p")).first()
+    counts = kept.groupBy("h").agg(F.sum(F.col("pages") * F.col("web")).alias("web"), F.sum(F.col("pages") * (1 - F.col("web"))).alias("plain"))
     w, p = max(n_pages.w, 1), max(n_pages.p, 1)
     return counts.where((F.col("web") >= least_pages) & (F.col("web") / w >= ratio * (F.col("plain") + 0.25) / p))
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from conftest import SF2
 from corpusmill.core.tables import table
 from corpusmill.llm import boilerplate
@@ -53,3 +54,25 @@ def test_reported_lines_are_not_blank(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF2, "documents").collect()}
     rows = boilerplate.frames(table(spark, SF2, "documents"), table(spark, SF2, "citations")).where("record_table = 'documents'").collect()
     assert rows and all(docs[r.record_id].split("\n")[r.line_no - 1].strip() for r in rows)
+
+
+def _repeats(docs, **k):
+    return {tuple(r) for r in boilerplate.frame_repeats(docs, **k).collect()}
+
+
+def test_repeats_do_not_depend_on_parts_and_partitions(spark):
+    menu, prose = "Home | Staff | Visit us", "they mend the old kiln"
+    rows = [(i, f"https://h.example/{i}", f"{menu}\n{prose}\nday {i} of many\n" + ("Fair in the park {i}\nring 555 0100 now" if i % 4 == 0 else "")) for i in range(24)]
+    rows += [(100 + i, None, f"{prose}\nnote {i} on canoes {'x' * i}") for i in range(24)]
+    rows += [(200 + i, "https://h.example/copy", "Copied page of all\nsame as ever") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    # the same counts by hand: distinct pages of the host, distinct texts without a url
+    want = _repeats(docs.coalesce(1))
+    tokens = lambda line: boilerplate.Stream([line]).token[1:1 + boilerplate.DEPTH]
+    h = lambda line: int(boilerplate._hash(tokens(line), np.array([0]), boilerplate.DEPTH, 1).view(np.int64)[0])
+    by_hash = {r[0]: r[1:] for r in want}
+    assert by_hash[h(b"home | staff")] == (24, 0) and by_hash[h(b"fair in the")] == (6, 0)
+    assert h(b"they mend the") not in by_hash and h(b"copied page of") not in by_hash
+    assert _repeats(docs.repartition(48)) == want
+    assert _repeats(docs.repartition(7), pages_per_part=1) == want
+    assert _repeats(docs, pages_per_part=5) == want
