@@ -296,8 +296,8 @@ class Frames:
             hit[maybe] = self.known[np.minimum(at, len(self.known) - 1)] == h[maybe]
         return hit
 
-    def masks(self, s: Stream) -> np.ndarray:
-        """For each short line the bits of its tokens that frame repeats cover."""
+    def coverage(self, s: Stream) -> np.ndarray:
+        """For each short line the bits of its tokens that these repeats cover; coverages of several blocks may be joined bit by bit."""
         at, line = s.windows()
         mask = np.zeros(len(s.begin), np.uint64)
         found = []
@@ -312,7 +312,11 @@ class Frames:
         # a teaser cut short: dots, then a frame's closing words up to the line's end
         teaser = line[(s.token[at] == _DOTS) & (at + DEPTH >= s.end[line] - 1)]
         mask[teaser] = (np.uint64(1) << (s.end - s.begin)[teaser].astype(np.uint64)) - np.uint64(1)
-        # a path of frame words, the page's own title last: all is covered up to the last separator
+        return mask
+
+    @staticmethod
+    def heads(s: Stream) -> np.ndarray:
+        """For each short line with two separators or more the bits of its tokens up to the last one, else 0."""
         marks = np.flatnonzero(s.mark)
         of = np.searchsorted(s.begin, marks, "right") - 1
         inside = (of >= 0) & (marks < s.end[np.maximum(of, 0)]) if len(s.begin) else np.zeros(len(marks), bool)
@@ -320,7 +324,13 @@ class Frames:
         last, n_marks = np.zeros(len(s.begin), np.int64), np.bincount(of, minlength=len(s.begin))
         np.maximum.at(last, of, marks - s.begin[of])
         head = (np.uint64(1) << np.minimum(last + 1, 63).astype(np.uint64)) - np.uint64(1)
-        path = (n_marks >= 2) & ((mask & head) == head)
+        return np.where(n_marks >= 2, head, np.uint64(0))
+
+    def masks(self, s: Stream) -> np.ndarray:
+        """For each short line the bits of its tokens that frame repeats cover, these being all repeats."""
+        mask, head = self.coverage(s), self.heads(s)
+        # a path of frame words, the page's own title last: all is covered up to the last separator
+        path = (head > 0) & ((mask & head) == head)
         mask[path] = (np.uint64(1) << (s.end - s.begin)[path].astype(np.uint64)) - np.uint64(1)
         return mask
 
@@ -335,21 +345,23 @@ class Frames:
 
 
 def _lines(blocks, share: float, plain_share: float, least_lines: int, whole: bool):
-    """Lines with the mask of their covered tokens; with all repeats in one block, only the frame lines."""
+    """The frame lines; unless the block has all repeats (whole), all lines it touches, with what tells frame lines once the blocks are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = Frames(blocks.value)
         for keys, texts, _ in _texts(batches):
             s = Stream(texts)
-            keep, mask = frames.lines(s, np.array([w for *_, w in keys], bool), share, plain_share, least_lines)
-            if not whole:
+            if whole:
+                keep, mask = frames.lines(s, np.array([w for *_, w in keys], bool), share, plain_share, least_lines)
+            else:
+                mask = frames.coverage(s)
                 keep = np.flatnonzero(mask)
             doc = s.doc[s.begin[keep]]
-            kinds, ids, webs = zip(*(keys[d] for d in doc)) if len(doc) else ((), (), ())
-            n = s.weighed()
+            kinds, ids, rows, webs = zip(*(keys[d] for d in doc)) if len(doc) else ((), (), (), ())
+            n, size, head = s.weighed(), s.end - s.begin, Frames.heads(s)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), pa.array(s.line[s.begin[keep]].astype(np.int32)), pa.array(mask[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(webs, pa.bool_())],
-                ["record_table", "record_id", "line_no", "mask", "n", "web"],
+                [pa.array(kinds, pa.string()), pa.array(ids, pa.int64()), pa.array(s.line[s.begin[keep]].astype(np.int32)), pa.array(mask[keep].view(np.int64)), pa.array(n[keep].astype(np.int32)), pa.array(webs, pa.bool_()), pa.array(rows, pa.int64()), pa.array(head[keep].view(np.int64)), pa.array(size[keep].astype(np.int32))],
+                ["record_table", "record_id", "line_no", "mask", "n", "web", "row", "head", "size"],
             )
 
     return run
@@ -364,16 +376,23 @@ def frame_lines(texts: DataFrame, repeats: DataFrame, *, share: float = SHARES[0
     spark = texts.sparkSession
     repeats = materialise(repeats.select("h"), "repeats")
     n_blocks = max(1, -(-repeats.count() // block))
-    schema = "record_table string, record_id long, line_no int, mask long, n int, web boolean"
+    schema = "record_table string, record_id long, line_no int, mask long, n int, web boolean, row long, head long, size int"
+    # rows of one id are told apart by their text
+    texts = texts.select("record_table", "record_id", (F.xxhash64("text") if n_blocks > 1 else F.lit(0).cast("long")).alias("row"), "web", "text")
     out = None
     for k in range(n_blocks):
         rows = repeats if n_blocks == 1 else repeats.where(F.pmod(F.col("h"), F.lit(n_blocks)) == k)
         hashes = rows.toPandas()["h"].to_numpy(np.int64)
-        found = texts.select("record_table", "record_id", "web", "text").mapInArrow(_lines(spark.sparkContext.broadcast(hashes.tobytes()), share, plain_share, least_lines, n_blocks == 1), schema)
+        found = texts.mapInArrow(_lines(spark.sparkContext.broadcast(hashes.tobytes()), share, plain_share, least_lines, n_blocks == 1), schema)
         out = found if out is None else out.unionByName(found)
     if n_blocks > 1:
-        out = out.groupBy("record_table", "record_id", "line_no").agg(F.bit_or("mask").alias("mask"), F.max("n").alias("n"), F.first("web").alias("web")).where(F.bit_count("mask") >= F.when(F.col("web"), share).otherwise(plain_share) * F.col("n"))
-        lines = F.count(F.lit(1)).over(Window.partitionBy("record_table", "record_id"))
+        text = ["record_table", "record_id", "row", "web"]
+        out = out.groupBy(*text, "line_no").agg(F.bit_or("mask").alias("mask"), *(F.first(c).alias(c) for c in ("n", "head", "size")))
+        # the path rule of Frames.masks, asked of what all blocks cover together
+        path = (F.col("head") != 0) & (F.col("mask").bitwiseAND(F.col("head")) == F.col("head"))
+        covered = F.when(path, F.col("size")).otherwise(F.bit_count("mask"))
+        out = out.where(covered >= F.when(F.col("web"), share).otherwise(plain_share) * F.col("n"))
+        lines = F.count(F.lit(1)).over(Window.partitionBy(*text))
         out = out.withColumn("_lines", lines).where(F.col("web") | (F.col("_lines") >= least_lines))
         return out.select("record_table", "record_id", "line_no")
     return out.select("record_table", "record_id", "line_no")

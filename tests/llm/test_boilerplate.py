@@ -76,3 +76,24 @@ def test_repeats_do_not_depend_on_parts_and_partitions(spark):
     assert _repeats(docs.repartition(48)) == want
     assert _repeats(docs.repartition(7), pages_per_part=1) == want
     assert _repeats(docs, pages_per_part=5) == want
+
+
+def test_paths_and_teasers_are_told_by_all_blocks_together(spark):
+    docs = table(spark, SF2, "documents")
+    from pyspark.sql import functions as F
+
+    repeats = boilerplate.frame_repeats(docs)
+    texts = docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), boilerplate.host(F.col("url")).isNotNull().alias("web"), "text")
+    a, b = ({tuple(r) for r in boilerplate.frame_lines(texts, repeats, **k).collect()} for k in ({}, {"block": 300}))
+    assert len(a) > 1000 and a == b
+
+
+def test_a_path_in_several_blocks(spark):
+    path = b"home > visit us > the old and very long title of this page"
+    s = boilerplate.Stream([path])
+    at, _ = s.windows()
+    known = [boilerplate._hash(token, at[of], depth, salt)[at[of] < 5] for token, of, depth, salt in boilerplate._families(s, at)]
+    repeats = spark.createDataFrame([(int(h),) for h in np.concatenate(known).view(np.int64)], "h long")
+    texts = spark.createDataFrame([("t", 3, True, path.decode()), ("t", 1, True, path.decode()), ("t", 1, True, "home > visit us\nno frame words"), ("t", 2, True, "nothing of the kind")], "record_table string, record_id long, web boolean, text string")
+    one, many = (sorted(map(tuple, boilerplate.frame_lines(texts, repeats, block=k).collect())) for k in (1000, 1))
+    assert ("t", 3, 1) in many and one == many
