@@ -248,8 +248,11 @@ def hash_(text: str) -> int:
     return h ^ (h >> 29)
 
 
-def names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, score) of name candidates: given name or initial with family name, in either order."""
+def names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]], runs: list | None = None) -> list[tuple[int, int, float]]:
+    """(start, end, score) of name candidates that their own score carries: given name or initial with family name, in either order.
+
+    The tokens of all runs go to `runs`.
+    """
     out = []
     lower = text.islower()
     run, part = (LOWER_RUN, LOWER_PART) if lower else (RUN, PART)
@@ -264,6 +267,8 @@ def names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[tup
             if lower and not initial and not lexicon.exact(word):
                 score = -9.0
             tokens.append((a, e, initial, score))
+        if runs is not None:
+            runs.append(tokens)
         i, n = 0, len(tokens)
         while i < n:
             before = ""
@@ -283,18 +288,67 @@ def names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[tup
     return out
 
 
+def _name_words(text: str) -> tuple[str, ...]:
+    """Folded words of a name, an initial as its letter."""
+    return tuple(w for w in re.split(r"\W+", folded(text)) if w)
+
+
+def _agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether two names may be one: each word of the shorter has its own partner in the longer, equal or an initial of it, and a full one is equal."""
+    short, rest = sorted(a, key=len, reverse=True), sorted(b, key=len, reverse=True)
+    if len(short) > len(rest):
+        short, rest = rest, short
+    if not any(len(w) > 1 and w in rest for w in short):
+        return False
+    for w in short:
+        match = w if w in rest else next((x for x in rest if min(len(w), len(x)) == 1 and w[0] == x[0]), None)
+        if match is None:
+            return False
+        rest.remove(match)
+    return True
+
+
+def mentions(text: str, runs: list, strong: list[tuple[int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[int, int, float, int]]:
+    """(start, end, score, index in strong) of the names that their own words do not carry but that may be a mention of one in `strong`.
+
+    Equal words are one piece of evidence, which stands with the strong mention: the score here is only
+    that of the form, and the skip edge decides. Names without such a partner stay others whatever
+    their edges, so they need no node.
+    """
+    if not strong:
+        return []
+    known = [_name_words(text[a:e]) for a, e, _ in strong]
+    full = {w for words in known for w in words if len(w) > 1}
+    spans = [*taken, *((a, e) for a, e, _ in strong)]
+    out = []
+    for tokens in runs:
+        told = [initial or not full.isdisjoint(_name_words(text[a:e])) for a, e, initial, _ in tokens]
+        i = 0
+        while i < len(tokens):
+            found = _name_at(text, tokens, i, 0.0, False) if told[i] else None
+            if found is not None:
+                a, e = tokens[i][0], tokens[found[0]][1]
+                words = _name_words(text[a:e])
+                partner = next((k for k, other in enumerate(known) if _agree(words, other)), None)
+                if partner is not None and not any(x < e and a < y for x, y in spans):
+                    out.append((a, e, -1.0 if any(len(w) == 1 for w in words) else 0.0, partner))
+                    i = found[0]
+            i += 1
+    return out
+
+
 _LAST_WORD = re.compile(rf"({_W}+)\W{{1,2}}$")
 
 
-def _name_at(text: str, tokens: list, i: int, bonus: float) -> tuple[int, float] | None:
-    """Last token and score of the name that begins at token i; bonus for the word before it."""
+def _name_at(text: str, tokens: list, i: int, bonus: float, carried: bool = True) -> tuple[int, float] | None:
+    """Last token and score of the name that begins at token i; bonus for the word before it. Unless `carried`, its form is enough, whatever its score."""
     n = len(tokens)
 
     def sep(k: int) -> str:
         return text[tokens[k - 1][1] : tokens[k][0]]
 
     a, e, initial, score = tokens[i]
-    if not initial and score < -4.8:
+    if carried and not initial and score < -4.8:
         return None
     j, initials = i + 1, 0
     comma = j < n and sep(j).startswith(",")
@@ -304,7 +358,7 @@ def _name_at(text: str, tokens: list, i: int, bonus: float) -> tuple[int, float]
         initials += 1
         j += 1
         if comma:  # family name, initial
-            return (j - 1, score) if score > 1.5 else None
+            return (j - 1, score) if score > 1.5 or not carried else None
     if j >= n or initials > 2 or initial and initials:
         return None
     s = sep(j)
@@ -320,9 +374,9 @@ def _name_at(text: str, tokens: list, i: int, bonus: float) -> tuple[int, float]
     if "\n" in s:
         # a name broken by a line end: both words must be clear, and the line must go on before it
         line = text.rfind("\n", 0, a) + 1
-        if least < 2.5 or not text[line:a].strip() or comma:
+        if carried and least < 2.5 or not text[line:a].strip() or comma:
             return None
-    if least < (-4.8 if max(score, other) > 5 or bonus > 2 else -1.5) or total < 0.5 or total < 1.5 and (initial or comma):
+    if carried and (least < (-4.8 if max(score, other) > 5 or bonus > 2 else -1.5) or total < 0.5 or total < 1.5 and (initial or comma)):
         return None
     end = j
     if comma and j + 1 < n and tokens[j + 1][2] and sep(j + 1) == " ":
@@ -382,9 +436,13 @@ class Nodes:
             for a, e, p, i in numbers(text, taken):
                 taken.append((a, e))
                 found.append((a, e, [0, -9, -9, p, i, -9], re.sub(r"\D", "", text[a:e])))
-        for a, e, score in names(text, lexicon, taken):
-            words = sorted(w for w in re.split(r"\W+", folded(text[a:e])) if len(w) > 1)
-            found.append((a, e, [0, score, -9, -9, -9, -9], " ".join(words)))
+        runs: list = []
+        strong = names(text, lexicon, taken, runs)
+        contents = [" ".join(sorted(w for w in _name_words(text[a:e]) if len(w) > 1)) for a, e, _ in strong]
+        for (a, e, score), content in zip(strong, contents):
+            found.append((a, e, [0, score, -9, -9, -9, -9], content))
+        for a, e, score, k in mentions(text, runs, strong, taken):
+            found.append((a, e, [0, score, -9, -9, -9, -9], contents[k]))
         for a, e, unary, content in sorted(found):
             self.doc.append(doc)
             self.span.append((a, e))

@@ -70,3 +70,14 @@ def test_edge_cases(spark):
     got = sorted(tuple(r) for r in pii.items(docs, sources).collect())
     assert [r for r in got if r[1] == "email"] in ([(3, "email", "x@y.example")], [(3, "email", "x@y.example")] * 2)
     assert pii.items(docs.limit(0), sources).count() == 0 and pii.scrub(docs, sources.limit(0)).count() == 5
+
+
+def test_a_clear_mention_settles_the_others():
+    # rare words: only the title carries the first mention
+    lexicon = pii.Lexicon([("mira", 3, 0), ("tamsin", 9, 9)], 100)
+    lexicon.cache.update({"ada": -1.4, "quill": -1.4, "brisk": -1.4, "harbour": -1.4})
+    text = "Ask Dr. Ada Quill first. Later Ada Quill was seen, then Quill, Ada and A. Quill too. The Brisk Harbour stayed. Ada Quill Library is shut."
+    got = [text[a:e] for _, a, e, k in sorted(pii.find([text], lexicon)) if pii.LABELS[k] == "name"]
+    assert got == ["Ada Quill", "Ada Quill", "Quill, Ada", "A. Quill"]
+    bare = text.replace("Dr. ", "")
+    assert pii.find([bare], lexicon) == []
