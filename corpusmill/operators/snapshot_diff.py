@@ -1,9 +1,9 @@
 """What changed between consecutive full snapshots.
 
 Records become compact (snapshot ordinal, key hash, time, content hash) arrays that are cut into
-hash buckets before the only shuffle of the whole table; a bucket is sorted in numpy and consecutive
-snapshots are compared by searchsorted set differences. Full values are read again only for the keys
-that differ.
+hash buckets before the only shuffle of all its records; a bucket is sorted in numpy and consecutive
+snapshots are compared by searchsorted set differences. What differs is written; names and full values
+are read again only for the keys that differ, by a semi-join before anything else.
 
 Defined cases: a record twice in a snapshot counts with its latest time (null time: before all
 others; equal times: the larger content hash). Null keys are a record of their own under an empty
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from corpusmill.core.tables import materialise, ship
 from corpusmill.functions.wordform import word_sequence
 
 _ENTRY = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("snap", "<i4"), ("at", "<i8"), ("row", "<i8")])
@@ -104,7 +105,9 @@ def _differences(x: np.ndarray, last_snap: int) -> list[tuple[int, np.ndarray, n
     new = np.ones(len(x), bool)
     new[1:] = (keys[1:] != keys[:-1])
     rank = np.cumsum(new) - 1
-    by_snap = [np.flatnonzero(x["snap"] == s) for s in range(last_snap + 1)]
+    order = np.argsort(x["snap"], kind="stable")
+    cuts = np.searchsorted(x["snap"][order], np.arange(last_snap + 2))
+    by_snap = [order[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
     for s in range(1, last_snap + 1):
         old, now = by_snap[s - 1], by_snap[s]
         at = np.searchsorted(rank[old], rank[now])
@@ -124,9 +127,12 @@ def _differences(x: np.ndarray, last_snap: int) -> list[tuple[int, np.ndarray, n
 
 def _compare(last_snap: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = np.zeros(0, _ENTRY)
-        for b in batches:  # merged as they come: a key delivered over and over stays one entry a snapshot
-            x = _latest(np.concatenate([x, *(np.frombuffer(v.as_buffer(), _ENTRY) for v in b.column("entries"))]))
+        x, held = np.zeros(0, _ENTRY), []
+        for b in batches:  # a key delivered over and over stays one entry a snapshot; merged when as much waits as is there
+            held += [np.frombuffer(v.as_buffer(), _ENTRY) for v in b.column("entries")]
+            if sum(map(len, held)) > max(len(x), 200_000):
+                x, held = _latest(np.concatenate([x, *held])), []
+        x = _latest(np.concatenate([x, *held]))
         for s, kind, rows in _differences(x, last_snap):
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
@@ -148,11 +154,14 @@ def snapshot_changes(
     values: list[str] | None = None,
     n_buckets: int | None = None,
 ) -> DataFrame:
-    """(snapshot_id, record_key, change_kind, + values of the row that stands) between consecutive completed snapshots.
+    """(snapshot_id, record_key, change_kind, + old_<value> and new_<value> of each of values) between consecutive completed snapshots.
 
     key is the comparable key, content the comparable forms of the compared columns. n_buckets
-    (default four per shuffle partition) bounds what one task sorts.
+    (default four per shuffle partition) bounds what one task sorts. An old value is that of the row that
+    stands in the snapshot before, null for added records; a new one that of the later snapshot, null
+    for removed records. Full rows are read only for the differing keys of their two snapshots.
     """
+    ship(records.sparkSession)
     spark = records.sparkSession
     n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     snaps = completed_snapshots(headers)
@@ -161,19 +170,27 @@ def snapshot_changes(
         last = -1
     keyed = records.withColumn("_snap_key", F.lower(F.trim(F.col(snapshot)))).withColumn("_key", F.coalesce(key, F.lit("")))
     joined = keyed.join(snaps.select(F.col("snap_key").alias("_snap_key"), F.col("snap").alias("_snap")), "_snap_key")
-    hashed = lambda c: (F.xxhash64(c), F.xxhash64(F.lit("second"), c))
-    k1, k2 = hashed(F.col("_key"))
+    hashed = lambda c: (F.xxhash64(c).alias("k1"), F.xxhash64(F.lit("second"), c).alias("k2"))
     time = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**63)))
     # nulls are skipped by xxhash64, so each compared value carries its own marker
     marked = [x for c in content for x in (c.isNull(), c)]
-    compact = joined.select(k1.alias("k1"), k2.alias("k2"), F.col("_snap").alias("snap"), time.alias("at"), F.xxhash64(*marked).alias("row"))
+    compact = joined.select(*hashed(F.col("_key")), F.col("_snap").alias("snap"), time.alias("at"), F.xxhash64(*marked).alias("row"))
     bucketed = compact.mapInArrow(_bucketed(n_buckets), "bucket int, entries binary")
-    found = bucketed.groupBy("bucket").applyInArrow(_compare(last), "k1 long, k2 long, snap int, change_kind string")
-    found = found.join(snaps.select("snap", "snapshot_id"), "snap").drop("snap")
-    names = keyed.select(*(x.alias(n) for x, n in zip(hashed(F.col("_key")), ("k1", "k2"))), F.col("_key").alias("record_key"), *(F.struct(time, *values).alias("_values") for _ in [0] if values))
-    names = names.groupBy("k1", "k2").agg(F.first("record_key").alias("record_key"), *(F.max("_values").alias("_values") for _ in [0] if values))
-    out = found.join(names, ["k1", "k2"])
-    return out.select("snapshot_id", "record_key", "change_kind", *(F.col(f"_values.{v}").alias(v) for v in values or []))
+    found = materialise(bucketed.groupBy("bucket").applyInArrow(_compare(last), "k1 long, k2 long, snap int, change_kind string"), "changes")
+    out = found.join(snaps.select("snap", "snapshot_id"), "snap")
+    keys = found.select("k1", "k2").distinct()
+    if not values:
+        names = keyed.select(*hashed(F.col("_key")), F.col("_key").alias("record_key")).join(keys, ["k1", "k2"], "left_semi")
+        names = names.groupBy("k1", "k2").agg(F.min("record_key").alias("record_key"))
+        return out.join(names, ["k1", "k2"]).select("snapshot_id", "record_key", "change_kind")
+    kept = joined.select(*hashed(F.col("_key")), "*").join(keys, ["k1", "k2"], "left_semi")
+    stands = F.max_by(F.struct(F.col("_key").alias("key"), *values), F.struct(time, F.xxhash64(*marked)))
+    rows = materialise(kept.groupBy("k1", "k2", F.col("_snap").alias("snap")).agg(stands.alias("v")), "values")
+    new = rows.withColumnRenamed("v", "new")
+    old = rows.select("k1", "k2", (F.col("snap") + 1).alias("snap"), F.col("v").alias("old"))
+    out = out.join(new, ["k1", "k2", "snap"], "left").join(old, ["k1", "k2", "snap"], "left")
+    shown = [x for v in values for x in (F.col(f"old.{v}").alias(f"old_{v}"), F.col(f"new.{v}").alias(f"new_{v}"))]
+    return out.select("snapshot_id", F.coalesce("new.key", "old.key").alias("record_key"), "change_kind", *shown)
 
 
 def course_key() -> Column:
@@ -181,9 +198,16 @@ def course_key() -> Column:
     return F.concat(F.coalesce(F.col("institution_id"), F.lit("")), F.lit("/"), code)
 
 
+COURSE_COLUMNS = ("snapshot_id", "institution_id", "code", "title", "description", "credits", "ingested_at")
+
+
+def course_changes(courses: DataFrame, headers: DataFrame, values: list[str] | None = None) -> DataFrame:
+    return snapshot_changes(courses.select(*COURSE_COLUMNS), headers, course_key(), [F.col("credits"), words_of("title"), words_of("description")], values=values)
+
+
 def p1_found(courses: DataFrame, grounding: DataFrame, headers: DataFrame) -> DataFrame:
     """Changes of courses and of grounded answers between consecutive completed snapshots."""
-    a = snapshot_changes(courses.select("snapshot_id", "institution_id", "code", "title", "description", "credits", "ingested_at"), headers, course_key(), [F.col("credits"), words_of("title"), words_of("description")])
+    a = course_changes(courses, headers)
     route = F.coalesce(F.trim("route"), F.lit(""))
     b = snapshot_changes(
         grounding.select("snapshot_id", "query_key", "route", "hits", "created_at"), headers, F.col("query_key").cast("string"), [route, word_set_of(F.col("hits.title"))], at="created_at"

@@ -404,6 +404,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.p1_found(t("courses"), t("grounding_results"), t("knowledge_snapshots"))
 
 
+@query(
+    f"""WITH s AS (SELECT lower(trim(id)) AS k, id, row_number() OVER (ORDER BY CAST(created_at AS TIMESTAMPTZ), lower(trim(id))) - 1 AS o FROM knowledge_snapshots WHERE completed),
+ r AS (SELECT o, coalesce(institution_id, '') || '/' || upper(regexp_replace(coalesce(code, ''), '[^\\pL\\p{{Nd}}]', '', 'g')) AS key, ingested_at AS t,
+   {{'v': coalesce(CAST(credits AS VARCHAR), '-') || chr(1) || {_folded('title')} || chr(1) || {_folded('description')}, 'd': description, 'c': credits}} AS v FROM courses JOIN s ON lower(trim(snapshot_id)) = s.k),
+ l AS (SELECT o, key, arg_max(v, t) AS v FROM r GROUP BY 1, 2),
+ d AS (SELECT coalesce(b.o, a.o + 1) AS o, coalesce(b.key, a.key) AS record_key, CASE WHEN a.o IS NULL THEN 'added' WHEN b.o IS NULL THEN 'removed' WHEN a.v.v <> b.v.v THEN 'changed' END AS change_kind,
+   a.v.d AS old_description, b.v.d AS new_description, a.v.c AS old_credits, b.v.c AS new_credits FROM l a FULL JOIN l b ON a.key = b.key AND b.o = a.o + 1)
+ SELECT s.id AS snapshot_id, record_key, change_kind, old_description, new_description, old_credits, new_credits FROM d JOIN s USING (o) WHERE o > 0 AND change_kind IS NOT NULL"""
+)
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed courses with the description and credits before and after."""
+    return snapshot_diff.course_changes(table(spark, sf_dir, "courses"), table(spark, sf_dir, "knowledge_snapshots"), ["description", "credits"])
+
+
 @query("SELECT id, arg_max(title, (ingested_at, title)) AS title, max(ingested_at) AS ingested_at FROM courses WHERE title IS NOT NULL GROUP BY id")
 def k08_upsert_last_wins(spark, d):
     rows = table(spark, d, "courses").where("title is not null").select("id", "title", "ingested_at", F.xxhash64("id", "ingested_at").alias("h"))

@@ -4,7 +4,8 @@ import pytest
 from conftest import SF, SF2
 from corpusmill.core.tables import table
 from corpusmill.functions.wordform import word_sequence
-from corpusmill.operators.snapshot_diff import p1_found
+from corpusmill.operators.snapshot_diff import p1_found, snapshot_changes
+from pyspark.sql import functions as F
 
 
 def brute(courses, grounding, headers):
@@ -62,3 +63,18 @@ def test_nulls_ties_and_empty_tables(spark):
     assert got == [("courses", "B", "/", "added"), ("grounding_results", "B", "", "added")]
     assert p1_found(courses.limit(0), answers.limit(0), heads).count() == 0
     assert p1_found(courses, answers, heads.limit(0)).count() == 0
+
+
+def test_values_are_those_of_the_two_snapshots(spark):
+    heads = spark.createDataFrame([(f"S{i}", f"2024-01-0{i}T00:00:00+00:00", True) for i in (1, 2, 3, 4)], "id string, created_at string, completed boolean")
+    t = dt.datetime(2024, 1, 1)
+    rows = [("a", f"S{i}", f"v{i}", t + dt.timedelta(i)) for i in (1, 2, 3)] + [("a", "S2", "late but older", t), ("b", "S2", "b2", t), ("b", "S3", "b2", t), ("c", "S3", None, None), ("a", "S9", "no snapshot", t), (None, "S1", "n", t)]
+    df = spark.createDataFrame(rows, "k string, snapshot_id string, v string, ingested_at timestamp_ntz")
+    got = sorted((tuple(r) for r in snapshot_changes(df, heads, F.col("k"), [F.col("v")], values=["v"]).collect()), key=str)
+    assert got == sorted(
+        [
+            ("S2", "a", "changed", "v1", "v2"), ("S3", "a", "changed", "v2", "v3"), ("S4", "a", "removed", "v3", None), ("S2", "b", "added", None, "b2"), ("S4", "b", "removed", "b2", None),
+            ("S3", "c", "added", None, None), ("S4", "c", "removed", None, None), ("S2", "", "removed", "n", None),
+        ],
+        key=str,
+    )
