@@ -301,7 +301,7 @@ def _body(texts: list[bytes], marks: list, frames: boilerplate.Frames | None) ->
         dropped = {(d, n) for d, m in enumerate(marks) for n in m or ()}
     else:
         s = boilerplate.Stream(texts)
-        keep, _ = frames.lines(s, np.array(marks, bool), *boilerplate.SHARES)
+        keep = frames.lines(s, np.array(marks, bool), *boilerplate.SHARES)
         dropped = set(zip(s.doc[s.begin[keep]].tolist(), s.line[s.begin[keep]].tolist()))
     lines, doc = [], []
     for d, t in enumerate(texts):
@@ -387,7 +387,7 @@ def text_quality(documents: DataFrame, labels: DataFrame, *, max_labelled: int =
     else:
         shared = frames = None
         texts = docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), F.col("mark").alias("web"), "text")
-        found = boilerplate.frame_lines(texts, repeats, block=block).groupBy(F.col("record_id").alias("doc_id")).agg(F.collect_set("line_no").alias("mark"))
+        found = boilerplate.frame_lines(texts, repeats, bound=block).groupBy(F.col("record_id").alias("doc_id")).agg(F.collect_set("line_no").alias("mark"))
         docs = materialise(docs.drop("mark").join(found, "doc_id", "left"), "bodies")
     model = fit(docs, labels, frames, max_labelled)
     return docs.mapInArrow(_rate(spark.sparkContext.broadcast(model), shared), _SCHEMA)

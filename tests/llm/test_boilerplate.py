@@ -37,19 +37,44 @@ def test_frames_of_an_invented_site(spark):
     assert ("citations", 3, 1) in got and ("citations", 3, 2) not in got
 
 
-def test_blocks_give_the_same_lines(spark):
-    docs, cites = table(spark, SF2, "documents"), table(spark, SF2, "citations")
+def _texts(docs):
     from pyspark.sql import functions as F
 
+    return docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), boilerplate.host(F.col("url")).isNotNull().alias("web"), "text")
+
+
+def test_the_joined_way_gives_the_same_lines(spark):
+    docs, cites = table(spark, SF2, "documents"), table(spark, SF2, "citations")
     repeats = boilerplate.frame_repeats(docs)
-    texts = docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), boilerplate.host(F.col("url")).isNotNull().alias("web"), "text")
-    one = boilerplate.frame_lines(texts, repeats)
-    many = boilerplate.frame_lines(texts, repeats, block=300)
-    a, b = ({tuple(r) for r in x.collect()} for x in (one, many))
-    assert len(a) > 1000 and len(a ^ b) <= 0.01 * len(a)  # teasers are marked whole only where all is in one block
+    a, b = ({tuple(r) for r in boilerplate.frame_lines(_texts(docs), repeats, **k).collect()} for k in ({}, {"bound": 300}))
+    assert len(a) > 1000 and a == b
     assert boilerplate.frames(docs.limit(0), cites.limit(0)).count() == 0
 
 
+def test_parts_and_partitions_change_nothing(spark):
+    docs = table(spark, SF2, "documents")
+    want = _repeats(docs.coalesce(1))
+    assert _repeats(docs.repartition(16), pages_per_part=3) == want and len(want) > 1000
+
+
+def test_a_long_notice_and_what_stands_in_it(spark):
+    """A notice of 74 words on every page; seven words in its middle are common in prose as well."""
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(k))
+    before, after = " ".join(word(3) for _ in range(33)), " ".join(word(3) for _ in range(34))
+    notice = f"{before} mend the kiln near the old ledger {after}"
+    rows = [(i, f"https://h{i % 2}.example/{i}", f"{' '.join(word(2) for _ in range(40))} mend the kiln near the old ledger\n{notice}\nshort {word(4)}") for i in range(12)]
+    rows += [(100 + i, None, f"{word(4)} they mend the kiln near the old ledger {' '.join(word(2) for _ in range(90))}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    repeats = boilerplate.frame_repeats(docs)
+    assert repeats.where("plain is null").count() > 0  # longer repeats
+    assert {tuple(r) for r in boilerplate.frame_lines(_texts(docs), repeats).collect()} == {("documents", i, 2) for i in range(12)}
+    # words that alone are prose are covered by the longer repeats around them
+    s = boilerplate.Stream([boilerplate.fold(rows[0][2])])
+    hashes = lambda df: boilerplate.Frames(np.array([r.h for r in df.collect()], np.int64).tobytes())
+    assert hashes(repeats).covered(s)[1] == 74 and hashes(repeats.where("plain is not null")).covered(s)[1] < 74
+
+
 def test_reported_lines_are_not_blank(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF2, "documents").collect()}
     rows = boilerplate.frames(table(spark, SF2, "documents"), table(spark, SF2, "citations")).where("record_table = 'documents'").collect()
@@ -78,22 +103,12 @@ def test_repeats_do_not_depend_on_parts_and_partitions(spark):
     assert _repeats(docs, pages_per_part=5) == want
 
 
-def test_paths_and_teasers_are_told_by_all_blocks_together(spark):
-    docs = table(spark, SF2, "documents")
-    from pyspark.sql import functions as F
-
-    repeats = boilerplate.frame_repeats(docs)
-    texts = docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), boilerplate.host(F.col("url")).isNotNull().alias("web"), "text")
-    a, b = ({tuple(r) for r in boilerplate.frame_lines(texts, repeats, **k).collect()} for k in ({}, {"block": 300}))
-    assert len(a) > 1000 and a == b
-
-
-def test_a_path_in_several_blocks(spark):
+def test_a_path_in_the_joined_way(spark):
     path = b"home > visit us > the old and very long title of this page"
     s = boilerplate.Stream([path])
     at, _ = s.windows()
     known = [boilerplate._hash(token, at[of], depth, salt)[at[of] < 5] for token, of, depth, salt in boilerplate._families(s, at)]
     repeats = spark.createDataFrame([(int(h),) for h in np.concatenate(known).view(np.int64)], "h long")
     texts = spark.createDataFrame([("t", 3, True, path.decode()), ("t", 1, True, path.decode()), ("t", 1, True, "home > visit us\nno frame words"), ("t", 2, True, "nothing of the kind")], "record_table string, record_id long, web boolean, text string")
-    one, many = (sorted(map(tuple, boilerplate.frame_lines(texts, repeats, block=k).collect())) for k in (1000, 1))
+    one, many = (sorted(map(tuple, boilerplate.frame_lines(texts, repeats, bound=k).collect())) for k in (1000, 1))
     assert ("t", 3, 1) in many and one == many
