@@ -36,6 +36,7 @@ def _links(table: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_invariants": "SELECT count(*) AS documents, count(*) FILTER (WHERE length(text) > 0) AS with_text, 0 AS not_whole, 0 AS split_but_fit, 0 AS without_container, 0 AS overfull, 0 AS wasteful FROM documents",
         "p3_found": f"WITH {_PASSAGES} SELECT DISTINCT item_id, doc_id FROM g JOIN h USING (k, gram)",
         "p4_found": f"""WITH RECURSIVE v AS ({_links("sft_examples")} UNION {_links("preference_examples")}),
  reach AS (SELECT v AS src, record_table, example_id FROM v WHERE kind = 'source' UNION SELECT r.src, b.record_table, b.example_id FROM reach r JOIN v a ON a.record_table = r.record_table AND a.example_id = r.example_id JOIN v b ON b.kind = a.kind AND b.v = a.v)

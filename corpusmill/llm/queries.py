@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import table
+from corpusmill.core.tables import materialise, table
 from corpusmill.llm import boilerplate, encoding, forms, leakage, mixing, packing, pii, splits
 
 CAPACITY = 4096
@@ -77,6 +77,22 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(encoding.token_counts(table(spark, sf_dir, "documents")), CAPACITY)
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: one row of counts, all but the first two 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = materialise(encoding.token_counts(docs), "tokens")
+    parts = packing.pack(sizes, CAPACITY)
+    fills = parts.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    per_doc = parts.groupBy("doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("parts"))
+    joined = docs.join(sizes, "doc_id", "left").join(per_doc, "doc_id", "left")
+    counted = joined.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) > 0).alias("with_text"), F.count_if(F.col("packed").isNull() | (F.col("packed") != F.col("n_tokens"))).alias("not_whole"),
+        F.count_if((F.col("n_tokens") <= CAPACITY) & (F.col("parts") > 1)).alias("split_but_fit"), F.count_if((F.coalesce(F.length("text"), F.lit(0)) > 0) & (F.col("packed") == 0)).alias("without_container"),
+    )
+    more = F.count(F.lit(1)) - F.ceil(F.sum("n") / CAPACITY)  # than the fewest that could hold all tokens
+    return counted.crossJoin(fills.agg(F.count_if(F.col("n") > CAPACITY).alias("overfull"), F.coalesce((more > 1 + 0.01 * F.count(F.lit(1))).cast("int"), F.lit(0)).alias("wasteful")))  # one row each
+
+
 def p9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "form_labels"))
 
@@ -86,4 +102,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p5_found, p5_scrubbed, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p9_found, p9_quality)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p5_found, p5_scrubbed, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p8_invariants, p9_found, p9_quality)}
