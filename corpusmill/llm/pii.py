@@ -1,26 +1,39 @@
-"""Personal information in free text: a skip-chain conditional random field over candidate spans.
-
-Nodes are the spans of a text that may be an item (e-mail, number, address and name candidates, found
-with exact borders). A node's potentials come from its form, the words before it and, for names, from
-lexical potentials trained on the corpus; neighbouring nodes share a potential, and so do distant nodes
-with the same content (skip edges: the same digits, the same folded words), so that one clear mention
-settles the others of its document. Loopy sum-product message passing over all documents of a batch at
-once gives the labels.
-
-Lexical potentials: names stand in e-mail addresses, other capitalised words do not. Every document
+"""Personal information in free text: a skip-chain conditional random field over tokens.
+
+Nodes are tokens that may belong to an item: the words and initials of runs of capitalised words, and
+composite tokens (e-mail, number and address candidates, lexed as one token each because their borders
+must be exact). Labels are other, begin and inside of a name, and the four other kinds. Potentials are
+log-linear in features of a token (lexical score and those of its neighbours, the words around it, the
+shape of a number, word lists), in the labels of neighbours by what separates them, and in the labels of
+distant tokens of the same document with an equal word or a shared part of one (skip edges: a lone
+surname after a title and the full name, both orders of a name, equal digits). Loopy sum-product over
+all documents of a batch gives the marginals, and these alone decide; a name is a begin and what goes
+on inside it, of two tokens at least.
+
+All weights are fitted, on the corpus itself: a bounded sample of documents (`max_sample`, at most
+`max_tokens` tokens each) is labelled from afar by plain rules (a word that e-mail addresses hold, a
+number after the word "passport"), tokens on which the rules are not clear count only as neighbours, and
+the pseudo-likelihood of the labels is climbed: each token's label given its features and its
+neighbours' labels along chain and skip edges.
+
+Lexical scores: names stand in e-mail addresses, other capitalised words do not. Every document
 counts how often a word type stands in runs of capitalised words and in local parts of addresses; a
-logistic model of prefixes and suffixes is fitted to at most `max_types` of the most frequent types,
-and the exact counts of at most `max_lexicon` types go with it (rarer types rest on their affixes).
+logistic model of prefixes and suffixes is fitted to at most `max_types` of the most frequent types.
+The exact counts of all types go to the workers where they are at most `bound`; beyond it each text is
+joined to the counts of its own types, with the same result.
 
 Defined cases: null and empty texts hold nothing; repeated items of a document come out once; repeated
 document ids give the union of their rows' items; sources that are null, unknown or without a flag are
-scrubbed, a source with any false flag is not; an empty table gives no rows.
+scrubbed, a source with any false flag is not; an empty table gives no rows; a corpus that teaches
+nothing (no addresses, too few documents) leaves all weights of names at zero, and no name is found.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,10 +42,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import materialise
+from corpusmill.core.tables import materialise, ship
 
-LABELS = ("other", "name", "email", "phone", "idnum", "address")
-_O, _NAME, _EMAIL, _PHONE, _ID, _ADDRESS = range(6)
+LABELS = ("other", "name", "name", "email", "phone", "idnum", "address")
+_O, _B, _I, _EMAIL, _PHONE, _ID, _ADDRESS = range(7)
+_K = len(LABELS)
 
 #: letters after a capital: accents may be separate, or stand as damaged bytes
 _L = r"[^\W\d_]|[̀-ͯ\u0080-¿]"
@@ -103,7 +117,7 @@ NUMBER = re.compile(
 _DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d|(?:19|20)\d\d")
 _PHONE_CUE = re.compile(r"(?:tel|tél|phone|telefon|telefono|teléfono|téléphone|fax|voice|ring|call|dial|text me|cell|mobile|mobil|rückruf|anruf|appelez|llame|móvil|\bt)\W*(?:\w+\W+){0,2}$", re.I)
 _ID_CUE = re.compile(r"(?:ssn|social security|social insurance|passport|passeport|pasaporte|reisepass|student (?:no|number|id)|matriculation|matrikel\w*|tax|steuer-?id\w*|steuernummer|dni|nie|nif|\bid|national id\w*|numéro|sécurité sociale)\W*(?:(?:no|nr|number|num|id)\b\W*)?$", re.I)
-_NOT_CUE = re.compile(r"(?:invoice|order|version|isbn|ticket|room|page|form|rule|memo|seat|guide|code|tag is|photo|course|school|raised|holds|rechnung|facture|factura|seite|página|score|serial|week|day|form|request)\W*#?$", re.I)
+_NOT_CUE = re.compile(r"(?:invoice|order|version|isbn|ticket|room|page|form|code|rechnung|facture|factura|seite|página|serial|request)\W*#?$", re.I)
 _FORMS = [
     (re.compile(p), phone, idnum)
     for p, phone, idnum in (
@@ -135,7 +149,7 @@ _LETTERED = re.compile(r"[A-Z]")
 _ROLES = {"info", "office", "admissions", "webmaster", "contact", "school", "mail", "help", "support", "hello", "news", "press", "secretary", "registrar", "noreply", "admin", "team", "mailto", "email", "courriel", "correo"}
 #: titles and openings before a name, and nouns after a name that make it a place or an institution (fixed values)
 _TITLES = {"dr", "prof", "coach", "mr", "mrs", "ms", "miss", "frau", "herr", "mme", "mlle", "madame", "monsieur", "sr", "sra", "srta", "profesora", "profesor"}
-_BEFORE = {"dr", "prof", "coach", "mr", "mrs", "ms", "miss", "frau", "herr", "mme", "m", "mlle", "madame", "monsieur", "sr", "sra", "srta", "don", "doña", "dean", "by", "laut", "selon", "segun", "to", "thank", "with", "than", "par", "por", "von", "about", "lists", "is", "was", "profesora", "profesor", "advisor", "term", "frère", "soeur"}
+_BEFORE = {"dr", "prof", "coach", "mr", "mrs", "ms", "miss", "frau", "herr", "mme", "m", "mlle", "madame", "monsieur", "sr", "sra", "srta", "don", "doña", "dean", "by", "laut", "selon", "segun", "to", "thank", "with", "than", "par", "por", "von", "about", "is", "was", "profesora", "profesor"}
 _AFTER = {"hall", "library", "academy", "college", "school", "lycée", "lycee", "école", "ecole", "schule", "kolleg", "instituto", "colegio", "gymnasium", "university", "house", "studio", "street", "st", "road", "rd", "avenue", "ave", "court", "lane", "close", "terrace", "drive", "way", "building", "center", "centre", "theatre", "society", "club"}
 
 
@@ -193,15 +207,17 @@ def word_types(documents: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Log-odds that a word type is a name: affixes, and the exact counts where they are known."""
+    """Log-odds that a word type is a name: affixes, fitted to `types`, and exact counts.
+
+    known holds the counts of the types at hand; rate is how often a name of the runs stands in an address.
+    """
 
     BITS = 16
 
-    def __init__(self, types: list[tuple[str, int, int]], max_types: int):
-        total = sum(r for _, r, m in types if m) or 1
-        self.rate = sum(m for *_, m in types) / total
+    def __init__(self, types: list[tuple[str, int, int]], rate: float, known: dict[str, tuple[int, int]] | None = None):
+        self.rate = rate
         # without a mention in any address a type is an example of other words only if names as frequent would have one
-        chosen = [t for t in sorted(types, key=lambda r: (-r[1], r[0])) if t[2] or self.rate * t[1] > 1.5][:max_types]
+        chosen = [t for t in sorted(types, key=lambda r: (-r[1], r[0])) if t[2] or self.rate * t[1] > 1.5]
         self.weights = np.zeros(1 << self.BITS)
         self.bias = 0.0
         y = np.array([m > 0 for _, _, m in chosen], float)
@@ -215,27 +231,36 @@ class Lexicon:
                 g = weight * (y - 1 / (1 + np.exp(-z)))
                 self.weights += 0.2 * (np.bincount(index, g[owner], minlength=len(self.weights)) / (1 + np.bincount(index, weight[owner], minlength=len(self.weights)) ** 0.5) - 0.002 * self.weights)
                 self.bias += 0.5 * g.sum() / weight.sum()
-        self.known = {t: (r, m) for t, r, m in types}
-        self.cache: dict[str, float] = {}
+        self.known = {t: (r, m) for t, r, m in types} if known is None else known
+        self.cache: dict[str, tuple[float, bool, bool]] = {}
 
     def _features(self, word: str) -> np.ndarray:
         found = [f"{k}{word[:k]}<" for k in (3, 4, 5) if len(word) > k] + [f">{word[-k:]}" for k in (3, 4, 5) if len(word) > k]
         return np.array([hash_(x) & ((1 << self.BITS) - 1) for x in found], np.int64)
 
-    def piece(self, word: str) -> float:
-        if word not in self.cache:
-            f = self._features(word)
-            z = self.bias + (self.weights[f].sum() if len(f) else 0.0)
-            runs, mails = self.known.get(word, (0, 0))
-            exact = 3.0 + np.log1p(mails) if mails else -min(5.0, 0.35 * self.rate * runs)
-            self.cache[word] = float(np.clip(z, -4, 4) + exact) if word not in _AFTER and word not in _BEFORE else -9.0
-        return self.cache[word]
-
-    def __call__(self, token: str) -> float:
-        return min((self.piece(p) for p in _pieces(token)), default=-9.0)
-
-    def exact(self, token: str) -> bool:
-        return all(self.known.get(p, (0, 0))[1] > 0 for p in _pieces(token)) and self(token) > 0
+    def piece(self, word: str) -> tuple[float, bool]:
+        """The score of a piece, and whether it says anything: an address, counts enough to miss one, or telling affixes."""
+        if word in _AFTER or word in _BEFORE:
+            return -9.0, True
+        f = self._features(word)
+        z = float(np.clip(self.bias + (self.weights[f].sum() if len(f) else 0.0), -4, 4))
+        runs, mails = self.known.get(word, (0, 0))
+        exact = 3.0 + np.log1p(mails) if mails else -min(5.0, 0.35 * self.rate * runs)
+        return z + exact, mails > 0 or self.rate * runs > 1.0 or abs(z - self.bias) > 0.7
+
+    def __call__(self, token: str) -> tuple[float, bool, bool]:
+        """The score of a token, whether addresses hold all its pieces, and whether the score says anything."""
+        if token not in self.cache:
+            pieces = _pieces(token)
+            scores, told = zip(*map(self.piece, pieces)) if pieces else ((-9.0,), (True,))
+            score = min(scores)
+            self.cache[token] = (score, score > 0 and all(self.known.get(p, (0, 0))[1] > 0 for p in pieces), told[scores.index(score)])
+        return self.cache[token]
+
+    def with_counts(self, known: dict[str, tuple[int, int]]) -> "Lexicon":
+        out = object.__new__(Lexicon)
+        out.__dict__ = self.__dict__ | {"known": known, "cache": {}}
+        return out
 
     def __getstate__(self):
         return self.__dict__ | {"cache": {}}
@@ -248,107 +273,246 @@ def hash_(text: str) -> int:
     return h ^ (h >> 29)
 
 
-def names(text: str, lexicon: Lexicon, taken: list[tuple[int, int]], runs: list | None = None) -> list[tuple[int, int, float]]:
-    """(start, end, score) of name candidates that their own score carries: given name or initial with family name, in either order.
+class Token:
+    """A node: span, score of its word (None: composite), run it stands in, its features (blind: those that are left where its word or cue says nothing), and the contents that link it to others."""
 
-    The tokens of all runs go to `runs`.
-    """
-    out = []
+    __slots__ = ("a", "e", "text", "initial", "score", "run", "allowed", "features", "blind", "told", "keys", "guess", "clear")
+
+    def __init__(self, a: int, e: int, text: str, allowed: tuple[int, ...], run: int = -1, initial: bool = False, score: float | None = None, told: bool = True):
+        self.a, self.e, self.text, self.allowed, self.run, self.initial, self.score = a, e, text, allowed, run, initial, score
+        self.told = told
+        self.features: list[str] = []
+        self.blind: list[str] = []
+        self.keys: tuple[str, ...] = ()
+        self.guess, self.clear = _O, False
+
+
+_WORD_LABELS = (_O, _B, _I)
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? ({_NAMEWORD})(?![\w@-])(?! {_UP})", re.I)
+
+
+def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[list[Token]]:
+    """Tokens of the runs of capitalised words; in a text without capitals, of words that addresses hold."""
+    out: list[list[Token]] = []
     lower = text.islower()
     run, part = (LOWER_RUN, LOWER_PART) if lower else (RUN, PART)
     for m in run.finditer(text):
-        base = m.start()
-        tokens = []
+        base, tokens = m.start(), []
         for p in part.finditer(m.group()):
-            a, e = base + p.start(), base + p.end()
-            word = p.group()
+            a, e, word = base + p.start(), base + p.end(), p.group()
             initial = len(word) == 2 and word[1] == "."
-            score = 0.0 if initial else lexicon(word)
-            if lower and not initial and not lexicon.exact(word):
-                score = -9.0
-            tokens.append((a, e, initial, score))
-        if runs is not None:
-            runs.append(tokens)
-        i, n = 0, len(tokens)
-        while i < n:
-            before = ""
-            if tokens[i][2] or tokens[i][3] >= -4.8:
-                m_ = _LAST_WORD.search(text, max(0, tokens[i][0] - 24), tokens[i][0])
-                before = folded(m_.group(1)) if m_ else ""
-            bonus = 5.0 if before in _TITLES else 2.0 if before in _BEFORE else 0.0
-            found = _name_at(text, tokens, i, bonus)
-            if found is None:
-                i += 1
+            score, exact, told = (0.0, False, True) if initial else lexicon(word)
+            if any(x < e and a < y for x, y in taken) or lower and not initial and not exact:
+                if len(tokens) > 1:
+                    out.append(tokens)
+                tokens = []
                 continue
-            j, score = found
-            a, e = tokens[i][0], tokens[j][1]
-            if not any(x < e and a < y for x, y in taken):
-                out.append((a, e, score))
-            i = j + 1
+            tokens.append(Token(a, e, word, _WORD_LABELS, 0, initial, score, told))
+        if len(tokens) > 1:
+            out.append(tokens)
     return out
 
 
-def _name_words(text: str) -> tuple[str, ...]:
-    """Folded words of a name, an initial as its letter."""
-    return tuple(w for w in re.split(r"\W+", folded(text)) if w)
-
-
-def _agree(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Whether two names may be one: each word of the shorter has its own partner in the longer, equal or an initial of it, and a full one is equal."""
-    short, rest = sorted(a, key=len, reverse=True), sorted(b, key=len, reverse=True)
-    if len(short) > len(rest):
-        short, rest = rest, short
-    if not any(len(w) > 1 and w in rest for w in short):
-        return False
-    for w in short:
-        match = w if w in rest else next((x for x in rest if min(len(w), len(x)) == 1 and w[0] == x[0]), None)
-        if match is None:
-            return False
-        rest.remove(match)
-    return True
+def _link(tokens: list[Token]) -> None:
+    for t in tokens:
+        t.keys = tuple(p for p in _pieces(t.text) if len(p) > 2 and p not in _AFTER and p not in _BEFORE) if not t.initial else ()
 
 
-def mentions(text: str, runs: list, strong: list[tuple[int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[int, int, float, int]]:
-    """(start, end, score, index in strong) of the names that their own words do not carry but that may be a mention of one in `strong`.
+def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[list[Token]]:
+    """Runs that may hold a name: one of their words may be of a name, a title stands before, or they share a word with such a run.
 
-    Equal words are one piece of evidence, which stands with the strong mention: the score here is only
-    that of the form, and the skip edge decides. Names without such a partner stay others whatever
-    their edges, so they need no node.
+    Words whose score, place and company leave only `other` need no inference.
     """
-    if not strong:
-        return []
-    known = [_name_words(text[a:e]) for a, e, _ in strong]
-    full = {w for words in known for w in words if len(w) > 1}
-    spans = [*taken, *((a, e) for a, e, _ in strong)]
-    out = []
+    runs = _runs(text, lexicon, taken)
+    hopeful, rest, shared = [], [], set()
     for tokens in runs:
-        told = [initial or not full.isdisjoint(_name_words(text[a:e])) for a, e, initial, _ in tokens]
-        i = 0
-        while i < len(tokens):
-            found = _name_at(text, tokens, i, 0.0, False) if told[i] else None
-            if found is not None:
-                a, e = tokens[i][0], tokens[found[0]][1]
-                words = _name_words(text[a:e])
-                partner = next((k for k, other in enumerate(known) if _agree(words, other)), None)
-                if partner is not None and not any(x < e and a < y for x, y in spans):
-                    out.append((a, e, -1.0 if any(len(w) == 1 for w in words) else 0.0, partner))
-                    i = found[0]
-            i += 1
+        _link(tokens)
+        best = max((t.score for t in tokens if not t.initial), default=-9.0)
+        before = _word_before(text, tokens[0].a)
+        if best > -3.0 or before in _TITLES or any(folded(t.text) in _TITLES for t in tokens[:-1]):
+            hopeful.append(tokens)
+            shared.update(k for t in tokens for k in t.keys)
+        else:
+            rest.append(tokens)
+    lone = []
+    if not text.islower():
+        spans = [(t.a, t.e) for tokens in runs for t in tokens] + taken
+        for m in _TITLED.finditer(text):
+            a, e = m.span(1)
+            if m.group(1)[0].isupper() and folded(m.group(1)) not in _AFTER and not any(x < e and a < y for x, y in spans):
+                score, _, told = lexicon(m.group(1))
+                t = Token(a, e, m.group(1), _WORD_LABELS, 0, False, score, told)
+                _link([t])
+                lone.append([t])
+                shared.update(t.keys)
+    hopeful += [tokens for tokens in rest if any(k in shared for t in tokens for k in t.keys)]
+    out = sorted(hopeful + lone, key=lambda tokens: tokens[0].a)
+    for i, tokens in enumerate(out):
+        for t in tokens:
+            t.run = i
     return out
 
 
 _LAST_WORD = re.compile(rf"({_W}+)\W{{1,2}}$")
+_NEXT_WORD = re.compile(rf" ({_W}+)")
+
+
+def _word_before(text: str, a: int) -> str:
+    m = _LAST_WORD.search(text, max(0, a - 24), a)
+    return folded(m.group(1)) if m else ""
+
+
+_SCORES = (-8.0, -5.5, -4.0, -2.8, -1.8, -1.0, -0.3, 0.4, 1.2, 2.2, 3.5, 5.0, 7.0)
+_COARSE = (-4.8, -1.5, 0.5, 2.5)
 
 
-def _name_at(text: str, tokens: list, i: int, bonus: float, carried: bool = True) -> tuple[int, float] | None:
-    """Last token and score of the name that begins at token i; bonus for the word before it. Unless `carried`, its form is enough, whatever its score."""
+def _bin(t: Token | None, blind: bool) -> str:
+    return "-" if t is None else "i" if t.initial else "?" if blind or not t.told else str(bisect.bisect_left(_SCORES, t.score))
+
+
+def _coarse(t: Token | None, blind: bool) -> str:
+    return "-" if t is None else "i" if t.initial else "?" if (blind and t.score > -8) or not t.told else "abcde"[bisect.bisect_left(_COARSE, t.score)]
+
+
+def word_features(text: str, tokens: list[Token], fitting: bool = False) -> None:
+    """Features of the tokens of one run; in fitting also those with which it would be seen if no word told anything."""
+    n = len(tokens)
+    before = _word_before(text, tokens[0].a)
+    after = _NEXT_WORD.match(text, tokens[-1].e, tokens[-1].e + 16)
+    after = folded(after.group(1)) if after else ""
+    words = [folded(t.text) for t in tokens]
+    line = text.rfind("\n", 0, tokens[0].a) + 1
+    opens = not text[line : tokens[0].a].strip(" -*>|")
+    closes = text[tokens[-1].e : tokens[-1].e + 1] in ("", "\n", "\r")
+    lower = text.islower()
+    for i, t in enumerate(tokens):
+        prev, next_ = tokens[i - 1] if i else None, tokens[i + 1] if i + 1 < n else None
+        s0, s1 = _separator(text, prev, t), _separator(text, t, next_)
+        cue = words[i - 1] if i else before
+        follow = words[i + 1] if i + 1 < n else after
+        place = 2 if follow in _AFTER else 1 if (words[i + 2] if i + 2 < n else after if i + 1 < n else "") in _AFTER else 0
+        title = 2 if cue in _TITLES else 1 if cue in _BEFORE else 0
+        far = (words[i - 2] if i > 1 else before if i == 1 else "") in _TITLES
+        form = f"{int(t.initial)}{s0}{int(bool(prev and prev.initial))}{s1}{int(bool(next_ and next_.initial))}"
+
+        def seen(blind: bool) -> list[str]:
+            own, p, q, bin_ = _coarse(t, blind), _coarse(prev, blind), _coarse(next_, blind), _bin(t, blind)
+            return [
+                "b", f"B{form}", f"T{title}{far}{form}", f"P{place}{s0}{s1}", f"E{opens and not i}{closes and i == n - 1}{min(n, 5)}{own}", f"s{bin_}", f"s{bin_}n{n == 1}", f"l{p}{s0}{own}", f"r{own}{s1}{q}", f"w{p}{s0}{own}{s1}{q}",
+                f"c{cue}" if p in "-ab?" else "c", f"f{follow}" if q in "-ab?" else "f", f"t{title}{own}{q}{s1}", f"u{far}{p}{own}{s0}", f"p{place}{own}", f"o{lower}{own}", f"x{q}{bin_}{s1}{title}", f"y{p}{bin_}{s0}{far}",
+                f"v{_coarse(tokens[i - 2] if i > 1 else None, blind)}{p}{own}", f"z{p}{own}{words[i] if own in 'ab' else ''}", f"k{title == 2 or far}{own}{q}{s1}{p}",
+            ]
+
+        t.features = seen(False)
+        if fitting:
+            t.blind = seen(True)
+
+
+def _separator(text: str, a: Token | None, b: Token | None) -> int:
+    """0 none, 1 a blank, 2 a comma, 3 a line end; 4: next to each other in a contact block."""
+    if a is None or b is None:
+        return 0
+    gap = text[a.e : b.a]
+    if a.run == b.run and a.run >= 0:
+        return 3 if "\n" in gap else 2 if gap.startswith(",") else 1
+    return 4 if len(gap) < 8 and not any(c.isalnum() for c in gap) else 0
+
+
+_SHAPES = re.compile(r"\d+")
+
+
+def number_features(text: str, t: Token, fitting: bool = False) -> None:
+    s = t.text
+    before = text[max(0, t.a - 40) : t.a]
+    cue = "i" if _ID_CUE.search(before) else "p" if _PHONE_CUE.search(before) else "n" if _NOT_CUE.search(before) else "-"
+    shape = _SHAPES.sub(lambda m: str(len(m.group())), s)
+    forms = [i for i, (form, *_) in enumerate(_FORMS) if form.fullmatch(s)]
+    form = forms[0] if forms else "-"
+    digits = sum(c.isdigit() for c in s)
+    rest = ["nb", f"nf{form}", f"ns{shape}", f"nd{digits}", f"n0{s[0]}{s[1:2] == '0'}", f"na{bool(_LETTERED.search(s))}{digits}", *(f"nm{i}" for i in forms)]
+    t.features = [*rest, f"nc{cue}", f"nk{cue}{form}", f"nw{_word_before(text, t.a)}"]
+    if fitting:
+        t.blind = [*rest, "nc?"]
+
+
+def tokens_of(text: str, lexicon: Lexicon, fitting: bool = False) -> tuple[list[Token], list[list[Token]]]:
+    """All tokens of a text in order, with features and links, and the runs among them."""
+    out = []
+    taken = emails(text)
+    for a, e in taken:
+        t = Token(a, e, text[a:e], (_O, _EMAIL))
+        t.features, t.keys = ["mb", f"m{'@' in t.text}"], ("@" + re.sub(r"\W", "", t.text).lower(),)
+        out.append(t)
+    if _STREET_HINT.search(text):
+        for a, e in addresses(text):
+            if not any(x < e and a < y for x, y in taken):
+                taken.append((a, e))
+                t = Token(a, e, text[a:e], (_O, _ADDRESS))
+                t.features, t.keys = ["hb", f"hc{bool(_CAPITAL.search(t.text))}{text.islower()}"], ("#" + folded(t.text),)
+                out.append(t)
+        for a, e in numbers(text, taken):
+            taken.append((a, e))
+            t = Token(a, e, text[a:e], (_O, _PHONE, _ID))
+            number_features(text, t, fitting)
+            t.keys = (re.sub(r"\D", "", t.text),)
+            out.append(t)
+    runs = word_tokens(text, lexicon, taken)
+    for tokens in runs:
+        word_features(text, tokens, fitting)
+        out += tokens
+    return sorted(out, key=lambda t: (t.a, t.e)), runs
+
+
+def guesses(text: str, tokens: list[Token], runs: list[list[Token]]) -> None:
+    """Labels from afar for fitting: guess of every token, and whether the rules are clear about it."""
+    for t in tokens:
+        if t.allowed[-1] == _EMAIL:
+            t.guess, t.clear = _EMAIL, True
+        elif t.allowed[-1] == _ADDRESS:
+            t.guess, t.clear = (_ADDRESS if _CAPITAL.search(t.text) or text.islower() else _O), True
+        elif t.allowed[-1] == _ID:
+            phone, idnum = number_scores(text, t.a, t.e)
+            t.guess = _O if max(phone, idnum) <= 0 else _PHONE if phone >= idnum else _ID
+            t.clear = abs(max(phone, idnum)) > 0.6 and (max(phone, idnum) < 0 or abs(phone - idnum) > 1)
+    strong: set[str] = set()
+    for run in runs:
+        if len(run) == 1:
+            t = run[0]
+            t.guess, t.clear = (_B if t.score > -1.5 else _O), t.score > 1.0
+            if t.clear:
+                strong.update(t.keys)
+            continue
+        flat = [(t.a, t.e, t.initial, t.score) for t in run]
+        i = 0
+        while i < len(run):
+            before = _word_before(text, run[i].a)
+            bonus = 5.0 if before in _TITLES else 2.0 if before in _BEFORE else 0.0
+            found = _name_at(text, flat, i, bonus)
+            if found is None:
+                run[i].clear = True
+                i += 1
+                continue
+            j, score = found
+            for k in range(i, j + 1):
+                run[k].guess, run[k].clear = (_B if k == i else _I), score > 1.0
+            if score > 1.0:
+                strong.update(key for t in run[i : j + 1] for key in t.keys)
+            i = j + 1
+    for run in runs:  # words that a clear mention holds elsewhere are no clear examples of others
+        for t in run:
+            if t.guess == _O and (any(k in strong for k in t.keys) or t.score > 1.5):
+                t.clear = False
+
+
+def _name_at(text: str, tokens: list, i: int, bonus: float) -> tuple[int, float] | None:
+    """Last token and score of the name that begins at token i by the rules for labels from afar; bonus for the word before it."""
     n = len(tokens)
 
     def sep(k: int) -> str:
         return text[tokens[k - 1][1] : tokens[k][0]]
 
     a, e, initial, score = tokens[i]
-    if carried and not initial and score < -4.8:
+    if not initial and score < -4.8:
         return None
     j, initials = i + 1, 0
     comma = j < n and sep(j).startswith(",")
@@ -358,7 +522,7 @@ def _name_at(text: str, tokens: list, i: int, bonus: float, carried: bool = True
         initials += 1
         j += 1
         if comma:  # family name, initial
-            return (j - 1, score) if score > 1.5 or not carried else None
+            return (j - 1, score) if score > 1.5 else None
     if j >= n or initials > 2 or initial and initials:
         return None
     s = sep(j)
@@ -374,9 +538,9 @@ def _name_at(text: str, tokens: list, i: int, bonus: float, carried: bool = True
     if "\n" in s:
         # a name broken by a line end: both words must be clear, and the line must go on before it
         line = text.rfind("\n", 0, a) + 1
-        if carried and least < 2.5 or not text[line:a].strip() or comma:
+        if least < 2.5 or not text[line:a].strip() or comma:
             return None
-    if carried and (least < (-4.8 if max(score, other) > 5 or bonus > 2 else -1.5) or total < 0.5 or total < 1.5 and (initial or comma)):
+    if least < (-4.8 if max(score, other) > 5 or bonus > 2 else -1.5) or total < 0.5 or total < 1.5 and (initial or comma):
         return None
     end = j
     if comma and j + 1 < n and tokens[j + 1][2] and sep(j + 1) == " ":
@@ -388,156 +552,300 @@ def _name_at(text: str, tokens: list, i: int, bonus: float, carried: bool = True
     return end, total
 
 
-def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, float, float]]:
-    """(start, end, phone score, id score) of number candidates."""
+def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of number candidates."""
     out = []
     for m in NUMBER.finditer(text):
         a, e = m.span()
-        s = m.group()
-        digits = sum(c.isdigit() for c in s)
-        if digits < 7 or digits > 18 or _DATE.fullmatch(s) or any(x < e and a < y for x, y in taken):
-            continue
-        phone, idnum = -2.0, -2.0
-        for form, p, i in _FORMS:
-            if form.fullmatch(s):
-                phone, idnum = max(phone, p) if p > 0 else (p if phone <= 0 else phone), max(idnum, i) if i > 0 else (i if idnum <= 0 else idnum)
-        before = text[max(0, a - 40) : a]
-        if _ID_CUE.search(before):
-            idnum, phone = idnum + 6, phone - 4
-        elif _PHONE_CUE.search(before):
-            phone, idnum = phone + 4, idnum - 3
-        elif _NOT_CUE.search(before):
-            phone, idnum = phone - 7, idnum - 7
-        if _LETTERED.search(re.sub(r"ext\.?.*|x ?\d+$", "", s)):
-            phone = -9.0
-        out.append((a, e, phone, idnum))
+        digits = sum(c.isdigit() for c in m.group())
+        if 7 <= digits <= 18 and not _DATE.fullmatch(m.group()) and not any(x < e and a < y for x, y in taken):
+            out.append((a, e))
     return out
 
 
-class Nodes:
-    """Candidate spans of many texts, with potentials."""
-
-    def __init__(self):
-        self.doc: list[int] = []
-        self.span: list[tuple[int, int]] = []
-        self.unary: list[list[float]] = []
-        self.content: list[str] = []
-
-    def add(self, doc: int, text: str, lexicon: Lexicon) -> None:
-        found: list[tuple[int, int, list[float], str]] = []
-        taken = emails(text)
-        for a, e in taken:
-            found.append((a, e, [0, -9, 5, -9, -9, -9], "@" + re.sub(r"\W", "", text[a:e]).lower()))
-        if _STREET_HINT.search(text):
-            for a, e in addresses(text):
-                if not any(x < e and a < y for x, y in taken):
-                    taken.append((a, e))
-                    found.append((a, e, [0, -9, -9, -9, -9, 3 if _CAPITAL.search(text, a, e) or text.islower() else -1.5], "#" + folded(text[a:e])))
-            for a, e, p, i in numbers(text, taken):
-                taken.append((a, e))
-                found.append((a, e, [0, -9, -9, p, i, -9], re.sub(r"\D", "", text[a:e])))
-        runs: list = []
-        strong = names(text, lexicon, taken, runs)
-        contents = [" ".join(sorted(w for w in _name_words(text[a:e]) if len(w) > 1)) for a, e, _ in strong]
-        for (a, e, score), content in zip(strong, contents):
-            found.append((a, e, [0, score, -9, -9, -9, -9], content))
-        for a, e, score, k in mentions(text, runs, strong, taken):
-            found.append((a, e, [0, score, -9, -9, -9, -9], contents[k]))
-        for a, e, unary, content in sorted(found):
-            self.doc.append(doc)
-            self.span.append((a, e))
-            self.unary.append(unary)
-            self.content.append(content)
-
-    def edges(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, kind): 0 neighbours in the text, 1 neighbours on adjoining lines or parts, 2 skip edges of equal content."""
-        a, b, kind = [], [], []
-        last: dict[tuple[int, str], int] = {}
-        for i, (d, c) in enumerate(zip(self.doc, self.content)):
-            if i and self.doc[i - 1] == d:
-                gap = texts[d][self.span[i - 1][1] : self.span[i][0]]
-                a.append(i - 1)
-                b.append(i)
-                kind.append(1 if len(gap) < 8 and not any(ch.isalnum() for ch in gap) else 0)
+def number_scores(text: str, a: int, e: int) -> tuple[float, float]:
+    """What the rules say of a number as (phone, idnum), for labels from afar."""
+    s = text[a:e]
+    phone, idnum = -2.0, -2.0
+    for form, p, i in _FORMS:
+        if form.fullmatch(s):
+            phone, idnum = max(phone, p) if p > 0 else (p if phone <= 0 else phone), max(idnum, i) if i > 0 else (i if idnum <= 0 else idnum)
+    before = text[max(0, a - 40) : a]
+    if _ID_CUE.search(before):
+        idnum, phone = idnum + 6, phone - 4
+    elif _PHONE_CUE.search(before):
+        phone, idnum = phone + 4, idnum - 3
+    elif _NOT_CUE.search(before):
+        phone, idnum = phone - 7, idnum - 7
+    if _LETTERED.search(re.sub(r"ext\.?.*|x ?\d+$", "", s)):
+        phone = -9.0
+    return phone, idnum
+
+
+_FEATURES = 1 << 16
+_EDGES = 6  # separators 1 to 4, skip edges; 0 is no edge
+
+
+def _indices(names: list[str]) -> list[int]:
+    return [zlib.crc32(f.encode()) % _FEATURES for f in names]
+
+
+class Graph:
+    """Tokens of many texts as arrays: features, allowed labels and edges."""
+
+    def __init__(self) -> None:
+        self.index: list[list[int]] = []
+        self.blind: list[list[int]] = []
+        self.allowed: list[tuple[int, ...]] = []
+        self.edges: list[tuple[int, int, int]] = []
+
+    def add(self, text: str, tokens: list[Token]) -> None:
+        first = len(self.index)
+        last: dict[str, int] = {}
+        for i, t in enumerate(tokens, first):
+            self.index.append(_indices(t.features))
+            self.blind.append(_indices(t.blind or t.features))
+            self.allowed.append(t.allowed)
+            if i > first:
+                kind = _separator(text, tokens[i - first - 1], t)
+                if kind:
+                    self.edges.append((i - 1, i, kind))
             # a chain through the mentions of one content joins them all without joining each pair
-            if (d, c) in last:
-                a.append(last[d, c])
-                b.append(i)
-                kind.append(2)
-            last[d, c] = i
-        return np.array(a, np.int64), np.array(b, np.int64), np.array(kind, np.int64)
-
-
-def pair_potentials() -> np.ndarray:
-    """[kind of edge, label, label]."""
-    k = len(LABELS)
-    w = np.zeros((3, k, k))
-    w[1, 1:, 1:] = 0.6  # contact blocks: items stand together
-    w[1, range(k), range(k)] = 0.2
-    w[2] = -2.0
-    w[2, range(k), range(k)] = 2.0  # the same content has the same label
-    return w
-
-
-def marginals(unary: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Beliefs of all nodes after loopy sum-product message passing (logarithms, normalised)."""
-    w = pair_potentials()
-    src, dst, of = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([kind, kind])
-    pot = np.concatenate([w[kind], w[kind].transpose(0, 2, 1)]) if len(kind) else np.zeros((0, unary.shape[1], unary.shape[1]))
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))]).astype(np.int64)
-    message = np.zeros((len(src), unary.shape[1]))
-    belief = unary.copy()
-    for _ in range(rounds if len(of) else 0):
-        cavity = belief[src] - message[back]
-        x = cavity[:, :, None] + pot
-        top = x.max(1, keepdims=True)
-        new = (top + np.log(np.exp(x - top).sum(1, keepdims=True)))[:, 0, :]
-        message = 0.3 * message + 0.7 * (new - new.max(1, keepdims=True))
-        belief = unary.copy()
-        np.add.at(belief, dst, message)
-    belief -= belief.max(1, keepdims=True)
-    return belief - np.log(np.exp(belief).sum(1, keepdims=True))
-
-
-def find(texts: list[str], lexicon: Lexicon) -> list[tuple[int, int, int, int]]:
-    """(text, start, end, label) of the items of a batch of texts."""
-    nodes = Nodes()
-    for d, t in enumerate(texts):
-        if t:
-            nodes.add(d, t, lexicon)
-    if not nodes.doc:
-        return []
-    label = marginals(np.array(nodes.unary, float), *nodes.edges(texts)).argmax(1)
-    return [(d, *s, int(k)) for d, s, k in zip(nodes.doc, nodes.span, label) if k]
-
-
-_PLACEHOLDER = {k: f"[{LABELS[k].upper()}]" for k in range(1, len(LABELS))}
-
-
-def _apply(shared, scrubbed: bool):
+            for k in t.keys:
+                if k in last and last[k] != i and (last[k], i) != (i - 1, i):
+                    self.edges.append((last[k], i, 5))
+                last[k] = i
+
+    def arrays(self, blind: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(feature index, first feature of each token, mask of labels, edges)."""
+        rows = self.blind if blind else self.index
+        mask = np.full((len(rows), _K), -1e3)
+        for labels in set(self.allowed):
+            mask[np.ix_([i for i, x in enumerate(self.allowed) if x == labels], labels)] = 0.0
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        index = np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum()))
+        return index, np.cumsum(sizes) - sizes, mask, np.array(self.edges, np.int64).reshape(-1, 3)
+
+
+class Field:
+    """Weights: unary[feature, label], pair[kind of edge, label, label]."""
+
+    def __init__(self) -> None:
+        self.unary = np.zeros((_FEATURES, _K))
+        self.pair = np.zeros((_EDGES, _K, _K))
+
+    def scores(self, index: np.ndarray, starts: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.unary[index], starts, axis=0) + mask if len(starts) else mask
+
+    def fit(self, graph: Graph, label: np.ndarray, clear: np.ndarray, rounds: int = 50, decay: float = 4e-6) -> "Field":
+        """Climbs the pseudo-likelihood of the labels of the clear tokens, by Adagrad.
+
+        Every token is seen twice: with all its features, and as if no word and no cue told anything, as
+        with rare words in bare places. So the edges are fitted for tokens that need them.
+        """
+        index, starts, mask, edges = graph.arrays()
+        n = len(starts)
+        if not n or not clear.any():
+            return self
+        views = []
+        used, codes = np.unique(np.concatenate([index, graph.arrays(True)[0]]), return_inverse=True)
+        for codes_, at in ((codes[: len(index)], starts), (codes[len(index) :], graph.arrays(True)[1])):
+            owner = np.repeat(np.arange(n), np.diff(np.append(at, len(codes_))))
+            order = np.argsort(codes_, kind="stable")
+            found, heads = np.unique(codes_[order], return_index=True)
+            views.append((codes_, at, owner[order], found, heads))
+        a, b, kind = edges.T
+        target = np.zeros((n, _K), np.float32)
+        target[np.arange(n), label] = 1.0
+        weight = np.where(clear, np.float32(1), np.float32(0))[:, None]
+        unary, pair = np.zeros((len(used), _K), np.float32), self.pair
+        past = np.full(unary.shape, 1e-2, np.float32), np.full(pair.shape, 1e-2)
+        mask = mask.astype(np.float32)
+        for _ in range(rounds):
+            near = np.zeros((n, _K))
+            np.add.at(near, b, pair[kind, label[a]])
+            np.add.at(near, a, pair[kind, :, label[b]])
+            near = near.astype(np.float32) + mask
+            step, step_pair = -decay * n * unary, -decay * n * pair
+            for codes_, at, by_feature, found, heads in views:
+                z = np.add.reduceat(unary[codes_], at, axis=0) + near
+                q = np.exp(z - z.max(1, keepdims=True))
+                g = (target - q / q.sum(1, keepdims=True)) * weight
+                step[found] += np.add.reduceat(g[by_feature], heads, axis=0)
+                np.add.at(step_pair, (kind, label[a]), g[b])
+                np.add.at(step_pair, (kind, slice(None), label[b]), g[a])
+            step_pair[5] = (step_pair[5] + step_pair[5].T) / 2  # skip edges have no direction
+            for w, d, sums, rate in ((unary, step, past[0], 0.5), (pair, step_pair, past[1], 1.5)):
+                sums += d * d
+                w += rate * d / np.sqrt(sums)
+        self.unary[used] = unary
+        return self
+
+    def marginals(self, scores: np.ndarray, edges: np.ndarray, rounds: int = 6) -> np.ndarray:
+        """Logarithms of the beliefs of all tokens after loopy sum-product message passing."""
+        a, b, kind = edges.T
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        pot = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)]) if len(kind) else np.zeros((0, _K, _K))
+        pot = np.exp(pot)
+        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))]).astype(np.int64)
+        message = np.zeros((len(src), scores.shape[1]))
+        belief = scores.copy()
+        for _ in range(rounds if len(src) else 0):
+            cavity = belief[src] - message[back]
+            cavity = np.exp(cavity - cavity.max(1, keepdims=True))
+            new = np.log(np.einsum("ej,ejk->ek", cavity, pot) + 1e-300)
+            message = 0.3 * message + 0.7 * (new - new.max(1, keepdims=True))
+            belief = scores.copy()
+            np.add.at(belief, dst, message)
+        belief -= belief.max(1, keepdims=True)
+        return belief - np.log(np.exp(belief).sum(1, keepdims=True))
+
+
+class Tagger:
+    """Lexicon and field together: what goes to the workers."""
+
+    def __init__(self, lexicon: Lexicon, field: Field):
+        self.lexicon, self.field = lexicon, field
+
+    def find(self, texts: list[str | None], lexicon: Lexicon | None = None, passing: bool = True) -> list[tuple[int, int, int, int]]:
+        """(text, start, end, label) of the items of a batch of texts; passing=False leaves out all edges."""
+        graph, nodes = Graph(), []
+        for d, t in enumerate(texts):
+            if t:
+                tokens, _ = tokens_of(t, lexicon or self.lexicon)
+                graph.add(t, tokens)
+                nodes += [(d, x) for x in tokens]
+        if not nodes:
+            return []
+        index, starts, mask, edges = graph.arrays()
+        label = self.field.marginals(self.field.scores(index, starts, mask), edges if passing else edges[:0]).argmax(1)
+        out, i = [], 0
+        while i < len(nodes):
+            (d, t), k = nodes[i], int(label[i])
+            j = i + 1
+            if k in (_B, _I):
+                while j < len(nodes) and nodes[j][0] == d and nodes[j][1].run == t.run and label[j] == _I:
+                    j += 1
+                held = [x for _, x in nodes[i:j]]
+                if len(held) > 1 and held[-1].initial and not texts[d][t.e :].startswith(","):
+                    # a middle initial asks for the family name behind it
+                    more = j < len(nodes) and nodes[j][0] == d and nodes[j][1].run == t.run and not nodes[j][1].initial and texts[d][held[-1].e] == " "
+                    held = [*held, nodes[j][1]] if more and held[0].initial is False else []
+                    j += bool(more)
+                if len(held) > 1 and any(not x.initial for x in held):
+                    out.append((d, t.a, held[-1].e, _B))
+            elif k:
+                out.append((d, t.a, t.e, k))
+            i = j
+        return out
+
+
+_PLACEHOLDER = {k: f"[{LABELS[k].upper()}]" for k in range(1, _K)}
+
+
+def _apply(shared, scrubbed: bool, counted: bool):
+    """counted: each row has the counts of its own types as its last column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
+        tagger = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                ids, texts = (c.slice(lo, 2000).to_pylist() for c in b.columns[:2])
+                ids, texts, wanted = (b.column(c).slice(lo, 2000).to_pylist() for c in ("doc_id", "text", "scrub"))
+                lexicon = None
+                if counted:
+                    lists = b.column("types").slice(lo, 2000).to_pylist()
+                    lexicon = tagger.lexicon.with_counts({r["type"]: (r["runs"], r["mails"]) for rows in lists for r in rows or ()})
+                found = tagger.find([t if w else None for t, w in zip(texts, wanted)], lexicon)
                 if scrubbed:
-                    wanted = b.column(2).slice(lo, 2000).to_pylist()
-                    found = find([t if w else None for t, w in zip(texts, wanted)], lexicon)
                     for d, a, e, k in sorted(found, reverse=True):
                         texts[d] = texts[d][:a] + _PLACEHOLDER[k] + texts[d][e:]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
                 else:
-                    rows = list(dict.fromkeys((ids[d], LABELS[k], texts[d][a:e]) for d, a, e, k in find(texts, lexicon)))
+                    rows = list(dict.fromkeys((ids[d], LABELS[k], texts[d][a:e]) for d, a, e, k in found))
                     columns = list(zip(*rows)) if rows else [(), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], ["doc_id", "kind", "found_text"])
 
     return run
 
 
-def train(documents: DataFrame, *, max_types: int = 20_000, max_lexicon: int = 500_000) -> Lexicon:
+def _examples(shared, counted: bool, max_tokens: int):
+    """One row a text: its tokens for fitting (features, allowed labels, edges, guesses)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+
+        lexicon = shared.value
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                text = b.column("text")[r].as_py()
+                own = lexicon.with_counts({x["type"]: (x["runs"], x["mails"]) for x in b.column("types")[r].as_py() or ()}) if counted else lexicon
+                tokens, runs = tokens_of(text, own, True)
+                guesses(text, tokens, runs)
+                graph = Graph()
+                graph.add(text, tokens[:max_tokens])
+                out.append(pickle.dumps((graph.index, graph.blind, graph.allowed, graph.edges, [t.guess for t in tokens[:max_tokens]], [t.clear for t in tokens[:max_tokens]])))
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(out, pa.binary())], ["h", "tokens"])
+
+    return run
+
+
+def _own_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, type): every word type of a text that a run or a title may hold."""
+    for b in batches:
+        rows, types = [], []
+        for row, t in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+            if t:
+                found = {p for w in re.findall(LOWER_PART if t.islower() else PART, t) for p in _pieces(w)}
+                rows += [row] * len(found)
+                types += found
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(types, pa.string())], ["row", "type"])
+
+
+def _with_types(docs: DataFrame, types: DataFrame) -> DataFrame:
+    """Adds types, the counts of each text's own word types, by a join."""
+    docs = docs.withColumn("row", F.xxhash64("text"))
+    own = docs.select("row", "text").mapInArrow(_own_types, "row long, type string").distinct()
+    own = own.join(types, "type").groupBy("row").agg(F.collect_list(F.struct("type", "runs", "mails")).alias("types"))
+    return docs.join(own, "row", "left").drop("row")
+
+
+def train(documents: DataFrame, *, max_types: int = 20_000, max_sample: int = 2_500, max_tokens: int = 400, bound: int = 500_000) -> tuple[Tagger, DataFrame | None]:
+    """The tagger, and the table of types where there are more than `bound` (then each text is joined to its own)."""
+    spark = documents.sparkSession
+    ship(spark)
     types = materialise(word_types(documents), "types")
-    rows = types.orderBy(F.desc("mails"), F.desc("runs"), "type").limit(max_lexicon).collect()
-    return Lexicon([(r.type, r.runs, r.mails) for r in rows], max_types)
+    n, total, mails = types.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("mails") > 0, F.col("runs"))), F.lit(0)), F.coalesce(F.sum("mails"), F.lit(0))).first()
+    rate = mails / (total or 1)
+    chosen = types.where((F.col("mails") > 0) | (F.col("runs") * rate > 1.5)).orderBy(F.desc("runs"), "type").limit(max_types).collect()
+    counted = n > bound
+    known = {} if counted else {r.type: (r.runs, r.mails) for r in types.toLocalIterator()}
+    lexicon = Lexicon([(r.type, r.runs, r.mails) for r in chosen], rate, known)
+    # the texts of the smallest hashes, about max_sample of them
+    docs = documents.where(F.length("text") > 2).select("text", F.xxhash64("text").alias("h"))
+    step = max(1, docs.count() // max_sample)
+    sample = docs.where(F.pmod(F.col("h") + F.lit(1), F.lit(step)) == 0).dropDuplicates(["h"])
+    if counted:
+        sample = _with_types(sample, types)
+    rows = sample.mapInArrow(_examples(spark.sparkContext.broadcast(lexicon), counted, max_tokens), "h long, tokens binary").orderBy("h").collect()
+    return Tagger(lexicon, fitted([r.tokens for r in rows])), types if counted else None
+
+
+def fitted(rows: list[bytes]) -> Field:
+    """The field of the tokens that _examples gave."""
+    import pickle
+
+    graph, label, clear = Graph(), [], []
+    for row in rows:
+        index, blind, allowed, edges, guess, sure = pickle.loads(row)
+        first = len(graph.index)
+        graph.index += index
+        graph.blind += blind
+        graph.allowed += allowed
+        graph.edges += [(a + first, b + first, k) for a, b, k in edges]
+        label += guess
+        clear += sure
+    return Field().fit(graph, np.array(label, np.int64), np.array(clear, bool))
 
 
 def _wanted(documents: DataFrame, sources: DataFrame) -> DataFrame:
@@ -546,13 +854,18 @@ def _wanted(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.coalesce("_scrub", F.lit(True)).alias("scrub"))
 
 
-def items(documents: DataFrame, sources: DataFrame) -> DataFrame:
+def _tagged(documents: DataFrame, wanted: DataFrame, scrubbed: bool, schema: str, bound: int) -> DataFrame:
+    tagger, types = train(documents, bound=bound)
+    shared = documents.sparkSession.sparkContext.broadcast(tagger)
+    rows = wanted if types is None else _with_types(wanted, types)
+    return rows.mapInArrow(_apply(shared, scrubbed, types is not None), schema)
+
+
+def items(documents: DataFrame, sources: DataFrame, *, bound: int = 500_000) -> DataFrame:
     """(doc_id, kind, found_text) of the documents whose source is not excepted."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents))
-    return _wanted(documents, sources).where("scrub and length(text) > 2").select("doc_id", "text").mapInArrow(_apply(shared, False), "doc_id long, kind string, found_text string")
+    return _tagged(documents, _wanted(documents, sources).where("scrub and length(text) > 2"), False, "doc_id long, kind string, found_text string", bound)
 
 
-def scrub(documents: DataFrame, sources: DataFrame) -> DataFrame:
+def scrub(documents: DataFrame, sources: DataFrame, *, bound: int = 500_000) -> DataFrame:
     """(doc_id, text): items replaced by placeholders of their kind, in otherwise unchanged text."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents))
-    return _wanted(documents, sources).mapInArrow(_apply(shared, True), "doc_id long, text string")
+    return _tagged(documents, _wanted(documents, sources), True, "doc_id long, text string", bound)

@@ -1,50 +1,104 @@
+import random
+
 import numpy as np
+import pytest
 from conftest import SF2
 from corpusmill.core.tables import table
 from corpusmill.llm import pii
 
-KNOWN = [("ada", 9, 5), ("brennholt", 7, 4), ("marwick", 6, 4), ("contact", 60, 0), ("library", 80, 0), ("north", 40, 0), ("die", 60, 0), ("familie", 50, 0), ("tobias", 8, 5)]
+KNOWN = {"ada": (9, 5), "brennholt": (7, 4), "marwick": (6, 4), "contact": (60, 0), "library": (80, 0), "north": (40, 0), "die": (60, 0), "familie": (50, 0), "tobias": (8, 5)}
+
 
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.train(table(spark, SF2, "documents"))[0]
 
-def found(text):
-    return {(pii.LABELS[k], text[a:e]) for _, a, e, k in pii.find([text], pii.Lexicon(KNOWN, 100))}
 
+def found(tagger, text, known=KNOWN):
+    return {(pii.LABELS[k], text[a:e]) for _, a, e, k in tagger.find([text], tagger.lexicon.with_counts(known))}
 
-def test_forms():
+
+def test_forms(tagger):
     t = (
         "Dr. Ada K. Brennholt met Marwick, Tobias near Marwick Library. Tobias laughed. Mail <ada.b+x@post.example.org>, or t.m [at] mail [dot] example [dot] net.\n"
         "Call (212) 555-0134 ext. 32. SSN 987-65-4321, passport no. X12345678. Invoice 2019/50519, order 25-13-311, version 3.24.12.499, ISBN 978-0-00-26525-3.\n"
         "She lives at 12 Copper Kettle Close, Apt 4B, Fennport 00417. Tél. : 01 99 00 09 84. Die Familie wohnt Lindenhofweg 61a. C. Brennholt."
     )
-    assert found(t) == {
+    assert found(tagger, t) == {
         ("name", "Ada K. Brennholt"), ("name", "Marwick, Tobias"), ("name", "C. Brennholt"), ("email", "ada.b+x@post.example.org"), ("email", "t.m [at] mail [dot] example [dot] net"),
         ("phone", "(212) 555-0134 ext. 32"), ("phone", "01 99 00 09 84"), ("idnum", "987-65-4321"), ("idnum", "X12345678"), ("address", "12 Copper Kettle Close, Apt 4B"), ("address", "Lindenhofweg 61a"),
     }
 
 
-def test_skip_edges_settle_an_unclear_mention():
-    assert ("idnum", "912345678") in found("Social Security no. 912345678 was given. Later: 912345678.")
-    unary = np.array([[0, -9, -9, -1.5, 5.0, -9], [0, -9, -9, 0.5, -0.5, -9]], float)
-    alone = pii.marginals(unary, np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)).argmax(1)
-    linked = pii.marginals(unary, np.array([0]), np.array([1]), np.array([2])).argmax(1)
-    assert alone.tolist() == [4, 3] and linked.tolist() == [4, 4]
+def _planted(n, rng):
+    """Held-out documents: an unheard-of name after a title, and bare mentions of it elsewhere. [(text, spans of bare mentions)]"""
+    word = lambda: "".join(rng.choice("bdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))).capitalize() + rng.choice(["", "n", "k", "s"])
+    fill = ["The kiln was mended in the long break.", "Nobody knew which ledger was meant.", "It rained on the boats all day.", "In the end the lantern was found again."]
+    out = []
+    for _ in range(n):
+        given, family = word(), word()
+        clear = rng.choice([f"Thanks to Dr. {given} {family} for the help.", f"Late work was handed in by Mrs. {given} {family}, it seems."])
+        bare = rng.choice([f"{given} {family}", f"{family}, {given}", f"{given} {family}"])
+        text = " ".join([rng.choice(fill), clear, rng.choice(fill), "After that, as we heard,"]) + " "
+        out.append((text + f"{bare} spoke. " + rng.choice(fill), (len(text), len(text) + len(bare))))
+    return out
+
+
+def test_message_passing_changes_labels_and_raises_recall(tagger):
+    docs = _planted(300, random.Random(11))
+    texts = [t for t, _ in docs]
+    recall = {}
+    for passing in (True, False):
+        spans = {(d, a, e) for d, a, e, k in tagger.find(texts, passing=passing) if pii.LABELS[k] == "name"}
+        recall[passing] = sum((d, *span) in spans for d, (_, span) in enumerate(docs)) / len(docs)
+    assert recall[True] > recall[False] + 0.03
+
+
+def test_skip_edges_settle_a_number(tagger):
+    text = "Social Security no. 912345678 was given. Later on the note said 912345678 once more."
+    got = tagger.find([text])
+    assert [(pii.LABELS[k], text[a:e]) for _, a, e, k in got] == [("idnum", "912345678")] * 2
 
 
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(3)
-    unary = rng.normal(size=(4, 6))
-    kind = np.array([1, 0, 2])
-    w = pii.pair_potentials()
-    got = pii.marginals(unary, np.arange(3), np.arange(1, 4), kind, rounds=60)
-    joint = unary[0]
-    total = np.zeros((6,) * 4)
+    k = len(pii.LABELS)
+    scores, field = rng.normal(size=(4, k)), pii.Field()
+    field.pair = rng.normal(size=field.pair.shape)
+    kind = np.array([1, 4, 5])
+    got = field.marginals(scores, np.stack([np.arange(3), np.arange(1, 4), kind], axis=1), rounds=60)
+    total = np.zeros((k,) * 4)
     for x in np.ndindex(total.shape):
-        total[x] = sum(unary[i, x[i]] for i in range(4)) + sum(w[kind[i], x[i], x[i + 1]] for i in range(3))
+        total[x] = sum(scores[i, x[i]] for i in range(4)) + sum(field.pair[kind[i], x[i], x[i + 1]] for i in range(3))
     p = np.exp(total - total.max())
     for i in range(4):
         m = p.sum(axis=tuple(j for j in range(4) if j != i))
         assert np.allclose(np.exp(got[i]), m / m.sum(), atol=1e-6)
-    assert joint.shape == (6,)
+
+
+def test_fitted_weights_hold_on_documents_left_out(spark):
+    """Fitted on the documents of even id, against the clear labels from afar of the others."""
+    docs = table(spark, SF2, "documents")
+    tagger, _ = pii.train(docs.where("doc_id % 2 = 0"))
+    right = clear = 0
+    for r in docs.where("doc_id % 2 = 1 and length(text) > 2").select("text").collect():
+        tokens, runs = pii.tokens_of(r.text, tagger.lexicon)
+        if not tokens:
+            continue
+        pii.guesses(r.text, tokens, runs)
+        graph = pii.Graph()
+        graph.add(r.text, tokens)
+        index, starts, mask, edges = graph.arrays()
+        label = tagger.field.marginals(tagger.field.scores(index, starts, mask), edges).argmax(1)
+        clear += sum(t.clear for t in tokens)
+        right += sum(t.clear and t.guess == k for t, k in zip(tokens, label))
+    assert clear > 500 and right / clear > 0.97
+
+
+def test_the_joined_way_gives_the_same_items(spark):
+    docs, sources = table(spark, SF2, "documents"), table(spark, SF2, "data_sources")
+    one, two = (sorted(map(tuple, pii.items(docs, sources, **k).collect())) for k in ({}, {"bound": 10}))
+    assert one == two and len(one) > 500
 
 
 def test_scrub_keeps_the_rest_and_follows_the_sources(spark):
@@ -70,14 +124,3 @@ def test_edge_cases(spark):
     got = sorted(tuple(r) for r in pii.items(docs, sources).collect())
     assert [r for r in got if r[1] == "email"] in ([(3, "email", "x@y.example")], [(3, "email", "x@y.example")] * 2)
     assert pii.items(docs.limit(0), sources).count() == 0 and pii.scrub(docs, sources.limit(0)).count() == 5
-
-
-def test_a_clear_mention_settles_the_others():
-    # rare words: only the title carries the first mention
-    lexicon = pii.Lexicon([("mira", 3, 0), ("tamsin", 9, 9)], 100)
-    lexicon.cache.update({"ada": -1.4, "quill": -1.4, "brisk": -1.4, "harbour": -1.4})
-    text = "Ask Dr. Ada Quill first. Later Ada Quill was seen, then Quill, Ada and A. Quill too. The Brisk Harbour stayed. Ada Quill Library is shut."
-    got = [text[a:e] for _, a, e, k in sorted(pii.find([text], lexicon)) if pii.LABELS[k] == "name"]
-    assert got == ["Ada Quill", "Ada Quill", "Quill, Ada", "A. Quill"]
-    bare = text.replace("Dr. ", "")
-    assert pii.find([bare], lexicon) == []
