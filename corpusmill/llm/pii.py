@@ -36,6 +36,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,7 @@ _BEFORE = {"dr", "prof", "coach", "mr", "mrs", "ms", "miss", "frau", "herr", "mm
 _AFTER = {"hall", "library", "academy", "college", "school", "lycée", "lycee", "école", "ecole", "schule", "kolleg", "instituto", "colegio", "gymnasium", "university", "house", "studio", "street", "st", "road", "rd", "avenue", "ave", "court", "lane", "close", "terrace", "drive", "way", "building", "center", "centre", "theatre", "society", "club"}
 
 
+@lru_cache(1 << 16)
 def folded(word: str) -> str:
     """A word type: damaged bytes mended, no accents, lower case."""
     if not word.isascii():
@@ -165,8 +167,20 @@ def folded(word: str) -> str:
     return word.lower()
 
 
-def _pieces(token: str) -> list[str]:
-    return [p for p in folded(token).split("-") if p]
+@lru_cache(1 << 16)
+def _pieces(token: str) -> tuple[str, ...]:
+    return tuple(p for p in folded(token).split("-") if p)
+
+
+@lru_cache(1 << 16)
+def _keys(token: str) -> tuple[str, ...]:
+    """The parts of a word that link it to others."""
+    return tuple(p for p in _pieces(token) if len(p) > 2 and p not in _AFTER and p not in _BEFORE)
+
+
+@lru_cache(1 << 16)
+def _code(name: str) -> int:
+    return zlib.crc32(name.encode())
 
 
 def _local_words(email: str) -> list[str]:
@@ -273,6 +287,14 @@ def hash_(text: str) -> int:
     return h ^ (h >> 29)
 
 
+_FEATURES = 1 << 16
+_EDGES = 6  # separators 1 to 4, skip edges; 0 is no edge
+
+
+def _indices(names: list[str]) -> list[int]:
+    return [_code(f) % _FEATURES for f in names]
+
+
 class Token:
     """A node: span, score of its word (None: composite), run it stands in, its features (blind: those that are left where its word or cue says nothing), and the contents that link it to others."""
 
@@ -281,14 +303,15 @@ class Token:
     def __init__(self, a: int, e: int, text: str, allowed: tuple[int, ...], run: int = -1, initial: bool = False, score: float | None = None, told: bool = True):
         self.a, self.e, self.text, self.allowed, self.run, self.initial, self.score = a, e, text, allowed, run, initial, score
         self.told = told
-        self.features: list[str] = []
-        self.blind: list[str] = []
+        self.features: list[int] = []
+        self.blind: list[int] = []
         self.keys: tuple[str, ...] = ()
         self.guess, self.clear = _O, False
 
 
 _WORD_LABELS = (_O, _B, _I)
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_TITLES, key=len, reverse=True))})\.? ({_NAMEWORD})(?![\w@-])(?! {_UP})", re.I)
+_DOTTED = tuple(f"{t.capitalize()}. " for t in sorted(_TITLES))  # without a dot, title and word are a run
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(t) for t in _DOTTED)})({_NAMEWORD})(?![\w@-])(?! {_UP})")
 
 
 def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[list[Token]]:
@@ -313,11 +336,6 @@ def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[lis
     return out
 
 
-def _link(tokens: list[Token]) -> None:
-    for t in tokens:
-        t.keys = tuple(p for p in _pieces(t.text) if len(p) > 2 and p not in _AFTER and p not in _BEFORE) if not t.initial else ()
-
-
 def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[list[Token]]:
     """Runs that may hold a name: one of their words may be of a name, a title stands before, or they share a word with such a run.
 
@@ -326,23 +344,23 @@ def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> li
     runs = _runs(text, lexicon, taken)
     hopeful, rest, shared = [], [], set()
     for tokens in runs:
-        _link(tokens)
+        for t in tokens:
+            t.keys = () if t.initial else _keys(t.text)
         best = max((t.score for t in tokens if not t.initial), default=-9.0)
-        before = _word_before(text, tokens[0].a)
-        if best > -3.0 or before in _TITLES or any(folded(t.text) in _TITLES for t in tokens[:-1]):
+        if best > -2.0 or any(folded(t.text) in _TITLES for t in tokens[:-1]) or _word_before(text, tokens[0].a) in _TITLES:
             hopeful.append(tokens)
             shared.update(k for t in tokens for k in t.keys)
         else:
             rest.append(tokens)
     lone = []
-    if not text.islower():
+    if any(t in text for t in _DOTTED):
         spans = [(t.a, t.e) for tokens in runs for t in tokens] + taken
         for m in _TITLED.finditer(text):
             a, e = m.span(1)
-            if m.group(1)[0].isupper() and folded(m.group(1)) not in _AFTER and not any(x < e and a < y for x, y in spans):
+            if folded(m.group(1)) not in _AFTER and not any(x < e and a < y for x, y in spans):
                 score, _, told = lexicon(m.group(1))
                 t = Token(a, e, m.group(1), _WORD_LABELS, 0, False, score, told)
-                _link([t])
+                t.keys = _keys(t.text)
                 lone.append([t])
                 shared.update(t.keys)
     hopeful += [tokens for tokens in rest if any(k in shared for t in tokens for k in t.keys)]
@@ -366,46 +384,57 @@ _SCORES = (-8.0, -5.5, -4.0, -2.8, -1.8, -1.0, -0.3, 0.4, 1.2, 2.2, 3.5, 5.0, 7.
 _COARSE = (-4.8, -1.5, 0.5, 2.5)
 
 
-def _bin(t: Token | None, blind: bool) -> str:
-    return "-" if t is None else "i" if t.initial else "?" if blind or not t.told else str(bisect.bisect_left(_SCORES, t.score))
+_NONE, _INITIAL, _UNTOLD, _FIRST_BIN = range(4)
+#: coarse scores whose word may be a cue or a common word
+_WEAK = {_NONE, _UNTOLD, _FIRST_BIN, _FIRST_BIN + 1}
 
 
-def _coarse(t: Token | None, blind: bool) -> str:
-    return "-" if t is None else "i" if t.initial else "?" if (blind and t.score > -8) or not t.told else "abcde"[bisect.bisect_left(_COARSE, t.score)]
+def _binned(t: Token, blind: bool) -> tuple[int, int]:
+    """Coarse and fine bin of a token's score."""
+    if t.initial:
+        return _INITIAL, _INITIAL
+    if not t.told or blind:
+        return _UNTOLD if not t.told or t.score > -8 else _FIRST_BIN, _UNTOLD
+    return _FIRST_BIN + bisect.bisect_left(_COARSE, t.score), _FIRST_BIN + bisect.bisect_left(_SCORES, t.score)
 
 
 def word_features(text: str, tokens: list[Token], fitting: bool = False) -> None:
-    """Features of the tokens of one run; in fitting also those with which it would be seen if no word told anything."""
+    """Features of the tokens of one run; in fitting also those with which it would be seen if no word told anything.
+
+    A feature is the hash of a tuple of whole numbers, which is the same in every process.
+    """
     n = len(tokens)
     before = _word_before(text, tokens[0].a)
     after = _NEXT_WORD.match(text, tokens[-1].e, tokens[-1].e + 16)
-    after = folded(after.group(1)) if after else ""
-    words = [folded(t.text) for t in tokens]
+    words = ["", before, *(folded(t.text) for t in tokens), folded(after.group(1)) if after else "", ""]
     line = text.rfind("\n", 0, tokens[0].a) + 1
     opens = not text[line : tokens[0].a].strip(" -*>|")
     closes = text[tokens[-1].e : tokens[-1].e + 1] in ("", "\n", "\r")
-    lower = text.islower()
-    for i, t in enumerate(tokens):
-        prev, next_ = tokens[i - 1] if i else None, tokens[i + 1] if i + 1 < n else None
-        s0, s1 = _separator(text, prev, t), _separator(text, t, next_)
-        cue = words[i - 1] if i else before
-        follow = words[i + 1] if i + 1 < n else after
-        place = 2 if follow in _AFTER else 1 if (words[i + 2] if i + 2 < n else after if i + 1 < n else "") in _AFTER else 0
-        title = 2 if cue in _TITLES else 1 if cue in _BEFORE else 0
-        far = (words[i - 2] if i > 1 else before if i == 1 else "") in _TITLES
-        form = f"{int(t.initial)}{s0}{int(bool(prev and prev.initial))}{s1}{int(bool(next_ and next_.initial))}"
-
-        def seen(blind: bool) -> list[str]:
-            own, p, q, bin_ = _coarse(t, blind), _coarse(prev, blind), _coarse(next_, blind), _bin(t, blind)
-            return [
-                "b", f"B{form}", f"T{title}{far}{form}", f"P{place}{s0}{s1}", f"E{opens and not i}{closes and i == n - 1}{min(n, 5)}{own}", f"s{bin_}", f"s{bin_}n{n == 1}", f"l{p}{s0}{own}", f"r{own}{s1}{q}", f"w{p}{s0}{own}{s1}{q}",
-                f"c{cue}" if p in "-ab?" else "c", f"f{follow}" if q in "-ab?" else "f", f"t{title}{own}{q}{s1}", f"u{far}{p}{own}{s0}", f"p{place}{own}", f"o{lower}{own}", f"x{q}{bin_}{s1}{title}", f"y{p}{bin_}{s0}{far}",
-                f"v{_coarse(tokens[i - 2] if i > 1 else None, blind)}{p}{own}", f"z{p}{own}{words[i] if own in 'ab' else ''}", f"k{title == 2 or far}{own}{q}{s1}{p}",
+    lower = tokens[0].text.islower()
+    gaps = [0, *(_separator(text, a, b) for a, b in zip(tokens, tokens[1:])), 0]
+    initial = [0, *(int(t.initial) for t in tokens), 0]
+    for blind in (False, True) if fitting else (False,):
+        bins = [(_NONE, _NONE)] * 2 + [_binned(t, blind) for t in tokens] + [(_NONE, _NONE)]
+        for i, t in enumerate(tokens):
+            s0, s1 = gaps[i], gaps[i + 1]
+            cue, follow = words[i + 1], words[i + 3]
+            place = 2 if follow in _AFTER else 1 if words[i + 4 : i + 5] and words[i + 4] in _AFTER else 0
+            title = 2 if cue in _TITLES else 1 if cue in _BEFORE else 0
+            far = words[i] in _TITLES
+            form = (((initial[i + 1] * 5 + s0) * 2 + initial[i]) * 5 + s1) * 2 + initial[i + 2]
+            (own, bin_), p, q = bins[i + 2], bins[i + 1][0], bins[i + 3][0]
+            found = [
+                hash(x) % _FEATURES
+                for x in (
+                    (1, 0), (2, form), (3, title, far, form), (4, place, s0, s1), (5, opens and not i, closes and i == n - 1, min(n, 5), own), (6, bin_), (7, bin_, n == 1), (8, p, s0, own), (9, own, s1, q), (10, p, s0, own, s1, q),
+                    (11, _code(cue) if p in _WEAK else 1), (12, _code(follow) if q in _WEAK else 1), (13, title, own, q, s1), (14, far, p, own, s0), (15, place, own), (16, lower, own), (17, q, bin_, s1, title), (18, p, bin_, s0, far),
+                    (19, bins[i][0], p, own), (20, p, own, _code(words[i + 2]) if own in (_FIRST_BIN, _FIRST_BIN + 1) else 0), (21, title == 2 or far, own, q, s1, p),
+                )
             ]
-
-        t.features = seen(False)
-        if fitting:
-            t.blind = seen(True)
+            if blind:
+                t.blind = found
+            else:
+                t.features = found
 
 
 def _separator(text: str, a: Token | None, b: Token | None) -> int:
@@ -430,9 +459,9 @@ def number_features(text: str, t: Token, fitting: bool = False) -> None:
     form = forms[0] if forms else "-"
     digits = sum(c.isdigit() for c in s)
     rest = ["nb", f"nf{form}", f"ns{shape}", f"nd{digits}", f"n0{s[0]}{s[1:2] == '0'}", f"na{bool(_LETTERED.search(s))}{digits}", *(f"nm{i}" for i in forms)]
-    t.features = [*rest, f"nc{cue}", f"nk{cue}{form}", f"nw{_word_before(text, t.a)}"]
+    t.features = _indices([*rest, f"nc{cue}", f"nk{cue}{form}", f"nw{_word_before(text, t.a)}"])
     if fitting:
-        t.blind = [*rest, "nc?"]
+        t.blind = _indices([*rest, "nc?"])
 
 
 def tokens_of(text: str, lexicon: Lexicon, fitting: bool = False) -> tuple[list[Token], list[list[Token]]]:
@@ -441,14 +470,14 @@ def tokens_of(text: str, lexicon: Lexicon, fitting: bool = False) -> tuple[list[
     taken = emails(text)
     for a, e in taken:
         t = Token(a, e, text[a:e], (_O, _EMAIL))
-        t.features, t.keys = ["mb", f"m{'@' in t.text}"], ("@" + re.sub(r"\W", "", t.text).lower(),)
+        t.features, t.keys = _indices(["mb", f"m{'@' in t.text}"]), ("@" + re.sub(r"\W", "", t.text).lower(),)
         out.append(t)
     if _STREET_HINT.search(text):
         for a, e in addresses(text):
             if not any(x < e and a < y for x, y in taken):
                 taken.append((a, e))
                 t = Token(a, e, text[a:e], (_O, _ADDRESS))
-                t.features, t.keys = ["hb", f"hc{bool(_CAPITAL.search(t.text))}{text.islower()}"], ("#" + folded(t.text),)
+                t.features, t.keys = _indices(["hb", f"hc{bool(_CAPITAL.search(t.text))}{text.islower()}"]), ("#" + folded(t.text),)
                 out.append(t)
         for a, e in numbers(text, taken):
             taken.append((a, e))
@@ -582,14 +611,6 @@ def number_scores(text: str, a: int, e: int) -> tuple[float, float]:
     return phone, idnum
 
 
-_FEATURES = 1 << 16
-_EDGES = 6  # separators 1 to 4, skip edges; 0 is no edge
-
-
-def _indices(names: list[str]) -> list[int]:
-    return [zlib.crc32(f.encode()) % _FEATURES for f in names]
-
-
 class Graph:
     """Tokens of many texts as arrays: features, allowed labels and edges."""
 
@@ -603,8 +624,8 @@ class Graph:
         first = len(self.index)
         last: dict[str, int] = {}
         for i, t in enumerate(tokens, first):
-            self.index.append(_indices(t.features))
-            self.blind.append(_indices(t.blind or t.features))
+            self.index.append(t.features)
+            self.blind.append(t.blind or t.features)
             self.allowed.append(t.allowed)
             if i > first:
                 kind = _separator(text, tokens[i - first - 1], t)
