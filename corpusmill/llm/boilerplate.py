@@ -289,26 +289,35 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.binary())], ["host", "page"])
 
 
-def _plain_counts(filter_):
-    """(h, page): substrings of texts without a url that may be repeats of the web, each once a text; page is a hash of the text."""
+def _plain_counts(filter_, copies):
+    """(h, page, n): substrings of texts without a url that may be repeats of the web, and on how many texts of a chunk they stand.
+
+    Texts that may have copies (a bitmap of hashes of repeated texts) come with a hash of the text as page, so that copies count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _texts(batches):
             s = Stream(texts)
             at, _ = s.windows()
-            page = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
-            hs, pages = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            digest = np.array([k[0] for k in keys], np.int64).view(np.uint64)
+            page = np.where(inside(copies.value, digest), np.arange(len(texts)), -1)
+            hs, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for token, of, depth, salt in _families(s, at) if len(at) else ():
                 h = _hash(token, at[of], depth, salt)
                 hit = inside(filter_.value, h)
                 hs.append(h[hit])
-                pages.append(page[s.doc[at[of][hit] + 1]])
-            h, page = np.concatenate(hs), np.concatenate(pages)
-            order = np.lexsort((page, h))
-            h, page = h[order], page[order]
+                docs.append(s.doc[at[of][hit] + 1])
+            h, doc = np.concatenate(hs), np.concatenate(docs)
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
             once = np.ones(len(h), bool)
-            once[1:] = (h[1:] != h[:-1]) | (page[1:] != page[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(page[once].view(np.int64))], ["h", "page"])
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc = h[once], doc[once]
+            single = page[doc] < 0
+            kinds, n = np.unique(h[single], return_counts=True)
+            pages = np.concatenate([np.zeros(len(kinds), np.int64), digest[doc[~single]].view(np.int64)])
+            mask = np.arange(len(pages)) < len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([kinds, h[~single]]).view(np.int64)), pa.array(pages, mask=mask), pa.array(np.concatenate([n, np.ones(len(pages) - len(kinds), np.int64)]))], ["h", "page", "n"])
 
     return run
 
@@ -343,8 +352,10 @@ def frame_repeats(documents: DataFrame, *, pages_per_part: int = 2000, least_in_
     counts = materialise(sums.where(F.col("pages") >= least).groupBy("h", "first", "last").agg(F.sum("pages").alias("web")).where(F.col("web") >= least_pages), "web")
     short = counts.where("first = 0").groupBy("h").agg(F.sum("web").alias("web"))
     shared = spark.sparkContext.broadcast(bitmap(short, "h", _FILTER))
-    # a hash may come from any text: pages are counted once each, by partial aggregates
-    seen = plain.select("text").mapInArrow(_plain_counts(shared), "h long, page long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("plain"))
+    plain = plain.select(F.xxhash64("text").alias("digest"), "text")
+    copies = spark.sparkContext.broadcast(bitmap(plain.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "digest", _FILTER))
+    seen = plain.mapInArrow(_plain_counts(shared, copies), "h long, page long, n long").groupBy("h", "page").agg(F.when(F.col("page").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
+    seen = seen.groupBy("h").agg(F.sum("n").alias("plain"))
     n_pages = hosts.agg(F.sum(F.when(is_web, F.col("n"))).alias("w"), F.sum(F.when(~is_web, F.col("n"))).alias("p")).first()
     w, p = n_pages.w or 1, n_pages.p or 1
     base = short.join(seen, "h", "left").withColumn("plain", F.coalesce("plain", F.lit(0)))
