@@ -1,19 +1,21 @@
 """Test items leaking into corpus texts: greedy string tiling over Karp-Rabin seeds.
 
 Seeds are hashes of every window of `min_words` words of an item's passages (of all its words where a
-passage is shorter). A document's windows are hashed in one vectorised pass over whole texts; windows
-that hit a seed are joined to the passages, matching runs on one diagonal become maximal matches, and
-the longest unmarked matches are marked again and again without overlap (the tiles). A pair is a case
-if a tile reaches the passage's minimum; the share of the passage under tiles catches reordered leaks.
+passage is shorter). One pass over whole texts hashes their windows and keeps those in a bitmap of the
+seeds, of fixed size whatever their number; what is left is joined to the table of seeds. Matching runs
+on one diagonal become maximal matches, and the longest unmarked matches are marked again and again
+without overlap (the tiles). A pair is a case by its longest tile, or by the share of the item's words
+that its tiles cover, which finds passages whose parts stand in another order.
 
 Defined cases: null and empty texts hold nothing; items without words in their passages give no rows;
 null message lists count as empty; repeated items or documents give one row per pair of ids; roles are
-compared without case. Items go to the workers in blocks of at most `block_words` words, so the
-broadcast keeps its size whatever the number of items.
+compared without case. Texts are never shuffled, only the windows that hit; the joins are salted, so that
+a seed or a text that hits often is spread.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,44 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.core.bitmaps import bitmap, inside
+from corpusmill.core.tables import materialise, ship
 from corpusmill.functions.rolling import windows, words
 from corpusmill.functions.wordform import ascii_fold
 
 _CHUNK = 2_000_000  # characters folded and hashed at once
-_BLOOM = 1 << 20
-
-
-class Passages:
-    """Word hashes of a block of passages and the seed table of each seed length."""
-
-    def __init__(self, rows: list[tuple[int, str]], min_words: int):
-        self.min_words = min_words
-        found = [(item, h) for item, h in zip((r[0] for r in rows), _each([r[1] for r in rows])) if len(h)]
-        self.items = np.array([i for i, _ in found], np.int64)
-        self.hashes = [h for _, h in found]
-        by_length: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for p, h in enumerate(self.hashes):
-            k = min(min_words, len(h))
-            w = windows(h, k)
-            by_length.setdefault(k, []).append((w, np.full(len(w), p), np.arange(len(w))))
-        self.seeds = {}
-        for k, parts in by_length.items():
-            w, p, at = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(w, kind="stable")
-            bloom = np.zeros(_BLOOM, bool)
-            bloom[(w & np.uint64(_BLOOM - 1)).astype(np.int64)] = True
-            self.seeds[k] = (w[order], p[order], at[order], bloom)
-
-    def hits(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, passage, position in the passage) of all seeds found."""
-        table, p, at, bloom = self.seeds[k]
-        w = windows(hashes, k)
-        maybe = np.flatnonzero(bloom[(w & np.uint64(_BLOOM - 1)).astype(np.int64)])
-        left = np.searchsorted(table, w[maybe], "left")
-        n = np.searchsorted(table, w[maybe], "right") - left
-        pos, left, n = maybe[n > 0], left[n > 0], n[n > 0]
-        each = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(pos, n), p[each], at[each]
+_FILTER = 25  # bits of the filter of seeds: 4 MB
+_SALTS = 8
 
 
 def _each(texts: list[str]) -> list[np.ndarray]:
@@ -66,6 +38,22 @@ def _each(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+def _seeds(min_words: int):
+    """(h, k, item_id, passage, at, n_words): the windows of k words of each passage; passage is a hash of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(6)]
+            for item, passage, h in zip(b.column("item_id").to_pylist(), b.column("passage").to_pylist(), _each(b.column("text").to_pylist())):
+                k = min(min_words, len(h))
+                w = windows(h, k) if k else h
+                for column, v in zip(out, (w.view(np.int64), k, item, passage, np.arange(len(w)), len(h))):
+                    column.append(v if isinstance(v, np.ndarray) else np.full(len(w), v, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["h", "k", "item_id", "passage", "at", "n_words"])
+
+    return run
+
+
 def tiles(pos: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (text position, passage position, words) of one passage in one text from its seeds of k words."""
     order = np.lexsort((at, pos - at))
@@ -74,100 +62,110 @@ def tiles(pos: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int]]
     new[1:] = ((pos - at)[1:] != (pos - at)[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
     length = np.diff(np.append(first, len(pos))) + k - 1
-    todo = sorted(zip(length.tolist(), (-pos[first]).tolist(), at[first].tolist()), reverse=True)
+    # the longest first; of equal ones the first in the text
+    todo = [(-n, t, a) for n, t, a in zip(length.tolist(), pos[first].tolist(), at[first].tolist())]
+    heapq.heapify(todo)
+    in_text, in_passage = np.zeros(int(pos.max()) + k, bool), np.zeros(int(at.max()) + k, bool)
     out: list[tuple[int, int, int]] = []
     while todo:
-        n, minus, a = todo.pop(0)
-        t = -minus
-        pieces = [(t, a, n)]
-        for bt, ba, bn in out:  # what is marked already is cut off; the rest queues again
-            cut = []
-            for pt, pa_, pn in pieces:
-                lo, hi = max(bt - pt, 0), min(bt + bn - pt, pn)
-                lo2, hi2 = max(ba - pa_, 0), min(ba + bn - pa_, pn)
-                taken = [(x, y) for x, y in ((lo, hi), (lo2, hi2)) if x < y]
-                if not taken:
-                    cut.append((pt, pa_, pn))
-                    continue
-                x, y = min(a_ for a_, _ in taken), max(b_ for _, b_ in taken)
-                cut += [(pt, pa_, x)] * (x > 0) + [(pt + y, pa_ + y, pn - y)] * (pn > y)
-            pieces = cut
-        if pieces == [(t, a, n)]:
+        n, t, a = heapq.heappop(todo)
+        n = -n
+        taken = in_text[t : t + n] | in_passage[a : a + n]
+        if not taken.any():
             out.append((t, a, n))
-        else:
-            todo = sorted([*todo, *((pn, -pt, pa_) for pt, pa_, pn in pieces if pn >= k)], reverse=True)
+            in_text[t : t + n] = in_passage[a : a + n] = True
+            continue
+        # what is marked already is cut off; the rest queues again
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for x, y in zip(edges[0::2].tolist(), edges[1::2].tolist()):
+            if y - x >= k:
+                heapq.heappush(todo, (x - y, t + x, a + x))
     return out
 
 
-def _scan(block, min_words: int):
+def _hits(filter_, lengths: list[int]):
+    """(doc_id, text, h, k, pos): windows of texts that may be seeds; text is a hash that keeps texts of one id apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Passages(block.value, min_words)
         ids: list[int] = []
+        digests: list[int] = []
         texts: list[bytes] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             hashes, offsets = words(texts)
-            found = []
-            for k in known.seeds:
-                pos, p, at = known.hits(hashes, k)
+            out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+            id_of, text_of = np.array(ids, np.int64), np.array(digests, np.int64)
+            for k in lengths:
+                w = windows(hashes, k)
+                pos = np.flatnonzero(inside(filter_.value, w))
                 doc = np.searchsorted(offsets, pos, "right") - 1
-                inside = pos + k <= offsets[doc + 1]
-                pos, p, at, doc = pos[inside], p[inside], at[inside], doc[inside]
-                order = np.lexsort((p, doc))
-                pos, p, at, doc = pos[order], p[order], at[order], doc[order]
-                cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (p[1:] != p[:-1])) + 1
-                for lo, hi in zip([0, *cuts], [*cuts, len(pos)]):
-                    if lo == hi:
-                        continue
-                    marked = tiles(pos[lo:hi], at[lo:hi], k)
-                    found.append((int(known.items[p[lo]]), ids[doc[lo]], int(p[lo]), len(marked), max(n for *_, n in marked), sum(n for *_, n in marked), len(known.hashes[p[lo]])))
-            ids.clear()
-            texts.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["item_id", "doc_id", "passage", "n_tiles", "longest", "covered", "n_words"])
+                whole = pos + k <= offsets[doc + 1]
+                pos, doc = pos[whole], doc[whole]
+                for column, v in zip(out, (id_of[doc], text_of[doc], w[pos].view(np.int64), np.full(len(pos), k), pos - offsets[doc])):
+                    column.append(v)
+            for x in (ids, digests, texts):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["doc_id", "text", "h", "k", "pos"])
 
         size = 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, digest, t in zip(*(c.to_pylist() for c in b.columns)):
                 if t and i is not None:
                     ids.append(i)
+                    digests.append(digest)
                     texts.append(ascii_fold(t))
                     size += len(texts[-1])
                     if size >= _CHUNK:
-                        yield from flush()
+                        yield flush()
                         size = 0
         if ids:
-            yield from flush()
+            yield flush()
 
     return run
 
 
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles of each (text, passage) from its seeds."""
+    for b in batches:
+        rows = []
+        for r in range(b.num_rows):
+            seeds = b.column("seeds")[r].values
+            found = tiles(seeds.field("pos").to_numpy(), seeds.field("at").to_numpy(), b.column("k")[r].as_py())
+            rows.append((len(found), max(n for *_, n in found), sum(n for *_, n in found)))
+        columns = zip(*rows) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("doc_id"), b.column("k"), b.column("n_words"), *(pa.array(c, pa.int64()) for c in columns)], ["item_id", "doc_id", "k", "n_words", "n_tiles", "longest", "covered"])
+
+
 def passages(items: DataFrame) -> DataFrame:
     """(item_id, text): the contents of an item's messages, system messages excepted."""
     m = items.where(F.col("item_id").isNotNull()).select("item_id", F.explode("messages").alias("m"))
     return m.where((F.lower(F.trim("m.role")) != "system") | F.col("m.role").isNull()).where(F.length(F.trim("m.content")) > 0).select("item_id", F.col("m.content").alias("text"))
 
 
-def leaks(items: DataFrame, documents: DataFrame, *, min_words: int = 12, block_words: int = 1_000_000) -> DataFrame:
-    """(item_id, doc_id, n_tiles, longest, covered, n_words, coverage) of every pair with a tile of min_words words.
+def leaks(items: DataFrame, documents: DataFrame, *, min_words: int = 12, tile_words: int | None = None, coverage: float | None = None) -> DataFrame:
+    """(item_id, doc_id, n_tiles, longest, covered, n_words, coverage) of every pair that is a case.
 
-    items: (item_id, messages); documents: (doc_id, text). coverage is the share of the item's words
-    under tiles, over all its passages that leak.
+    items: (item_id, messages); documents: (doc_id, text). A pair is a case if a tile has min_words words
+    (or is a whole shorter passage), or, where `coverage` is given, if tiles of at least tile_words words
+    (min_words by default) cover that share of the words of the passages they hit: a passage whose
+    sentences are shuffled has no long tile, but short ones everywhere.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), "text")
-    out, block, size = None, [], 0
-
-    def scan(rows) -> DataFrame:
-        return docs.mapInArrow(_scan(spark.sparkContext.broadcast(rows), min_words), "item_id long, doc_id long, passage long, n_tiles long, longest long, covered long, n_words long")
-
-    for r in passages(items).toLocalIterator():
-        block.append((r.item_id, r.text))
-        size += len(r.text) // 4 + 1
-        if size >= block_words:
-            out, block, size = (scan(block) if out is None else out.unionByName(scan(block))), [], 0
-    if block or out is None:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out.groupBy("item_id", "doc_id").agg(
-        F.sum("n_tiles").alias("n_tiles"), F.max("longest").alias("longest"), F.sum("covered").alias("covered"), F.sum("n_words").alias("n_words"), F.expr("least(1D, sum(covered) / sum(n_words))").alias("coverage")
-    )
+    ship(spark)
+    least = min(tile_words or min_words, min_words)
+    known = passages(items).select("item_id", "text", F.xxhash64("text").alias("passage")).distinct()
+    seeds = materialise(known.mapInArrow(_seeds(least), "h long, k long, item_id long, passage long, at long, n_words long"), "seeds")
+    lengths = sorted(r.k for r in seeds.select("k").distinct().collect())  # at most `least` numbers
+    filter_ = spark.sparkContext.broadcast(bitmap(seeds, "h", _FILTER))
+    docs = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
+    hits = docs.mapInArrow(_hits(filter_, lengths), "doc_id long, text long, h long, k long, pos long")
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    joined = hits.withColumn("salt", F.pmod(F.hash("doc_id", "pos"), F.lit(_SALTS))).join(salted, ["h", "k", "salt"])
+    # the seeds of one text and one passage: bounded by their lengths
+    pairs = joined.groupBy("doc_id", "text", "item_id", "passage", "k", "n_words").agg(F.collect_set(F.struct("pos", "at")).alias("seeds"))
+    marked = pairs.mapInArrow(_tiled, "item_id long, doc_id long, k long, n_words long, n_tiles long, longest long, covered long")
+    out = marked.groupBy("item_id", "doc_id").agg(
+        F.sum("n_tiles").alias("n_tiles"), F.max("longest").alias("longest"), F.sum("covered").alias("covered"), F.sum("n_words").alias("n_words"), F.expr("least(1D, sum(covered) / sum(n_words))").alias("coverage"),
+        F.max(F.col("longest") >= F.least(F.lit(min_words), F.col("n_words"))).alias("_long"),
+    )
+    return out.where(F.col("_long") if coverage is None else F.col("_long") | (F.col("coverage") >= coverage)).drop("_long")

@@ -34,8 +34,9 @@ def test_pairs_equal_brute_force(spark):
     items, docs = _items(spark, SF2), table(spark, SF2, "documents")
     got = {(r.item_id, r.doc_id) for r in leakage.leaks(items, docs).collect()}
     assert got == brute(items.collect(), docs.collect()) and len(got) > 20
-    blocks = {(r.item_id, r.doc_id) for r in leakage.leaks(items, docs, block_words=5000).collect()}
-    assert blocks == got
+    # short tiles find more pairs, and the same long ones
+    more = leakage.leaks(items, docs, tile_words=5, coverage=0.6).collect()
+    assert {(r.item_id, r.doc_id) for r in leakage.leaks(items, docs, tile_words=5).collect()} == got <= {(r.item_id, r.doc_id) for r in more}
 
 
 def test_tiles_are_greedy_and_do_not_overlap():
@@ -59,3 +60,23 @@ def test_edge_cases(spark):
     assert got == {(1, 3), (1, 6), (4, 5)}
     assert leakage.leaks(items.limit(0), docs).count() == 0
     assert leakage.leaks(items, docs.limit(0)).count() == 0
+
+
+def test_coverage_finds_reordered_passages(spark):
+    import random
+
+    rng = random.Random(3)
+    parts = [[f"q{i}w{j}" for j in range(7)] for i in range(5)]
+    passage = " ".join(w for p in parts for w in p)
+    items = spark.createDataFrame([(1, [("user", passage)])], "item_id long, messages array<struct<role:string,content:string>>")
+    rows = []
+    for i in range(6):
+        order = parts[:]
+        while any(a + 1 == b for a, b in zip(map(parts.index, order), map(parts.index, order[1:]))):
+            rng.shuffle(order)
+        kept = order[: 5 if i < 4 else 2]  # two fifths are not enough
+        rows.append((i, "well " + " then ".join(" ".join(p) for p in kept) + " so " * 40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert leakage.leaks(items, docs).count() == 0
+    got = {r.doc_id: r for r in leakage.leaks(items, docs, tile_words=5, coverage=0.6).collect()}
+    assert set(got) == {0, 1, 2, 3} and all(r.n_tiles == 5 and r.longest == 7 and r.coverage == 1.0 for r in got.values())
