@@ -12,14 +12,16 @@ repeated rows. No text is ever shuffled, only word positions and distinct words.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import materialise
+from corpusmill.core.tables import materialise, ship
 from corpusmill.llm.pretoken import split
 
 TOKENIZERS = "/opt/tokenizers"
@@ -27,11 +29,20 @@ _CHUNK_CHARS = 4_000_000
 _PIECE = 1 << 16
 
 
-def load_bpe(path: str):
-    """A tiktoken encoding of a rank file (base64 piece, blank, rank a line)."""
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file to the workers once; they open it by the name that is returned."""
+    sent = spark.sparkContext.__dict__.setdefault("_corpusmill_files", set())
+    if path not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
+def load_bpe(name: str):
+    """A tiktoken encoding of a rank file (base64 piece, blank, rank a line): a path, or a file sent to the workers."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(name if os.path.exists(name) else SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     # the words come in split already: one word is one match
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
@@ -85,7 +96,7 @@ def word_chunks(documents: DataFrame) -> DataFrame:
 def word_table(chunks: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """(word, ids): every distinct word of the corpus, encoded once."""
     words = chunks.select(F.explode("words").alias("word")).distinct()
-    return words.mapInArrow(_encode_words(tokenizer), "word string, ids array<int>")
+    return words.mapInArrow(_encode_words(shipped(chunks.sparkSession, tokenizer)), "word string, ids array<int>")
 
 
 def _codes(packed: bytes, n: int, n_words: int) -> np.ndarray:
@@ -127,12 +138,29 @@ def _expand(lengths_only: bool):
     return run
 
 
+def _placed(chunks: DataFrame, names: str, table: DataFrame, key: str, most: int = 50_000, often: int = 1_000) -> DataFrame:
+    """Each chunk's list of names joined to a table by key; (chunk, found) with the place of each name in the list.
+
+    A frequent name stands in every chunk's list. The `most` frequent of those in more than `often` chunks
+    meet the lists by a broadcast, all others by a shuffle, so that no key gathers a row of every chunk.
+    """
+    placed = chunks.select("chunk", F.posexplode(names).alias("pos", key))
+    hot = placed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > often).orderBy(F.desc("n"), key).limit(most).select(key)
+    if chunks.count() > often and not hot.isEmpty():
+        hot = materialise(hot.join(table, key), "frequent")
+        table = table.join(F.broadcast(hot.select(key)), key, "left_anti")
+        rare = placed.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key)
+        placed = rare.unionByName(placed.join(F.broadcast(hot), key))
+    else:
+        placed = placed.join(table, key)
+    # a chunk's list is bounded by the chunk's size
+    return placed.drop(key).groupBy("chunk").agg(F.collect_list(F.struct("pos", *(c for c in table.columns if c != key))).alias("found"))
+
+
 def _joined(documents: DataFrame, tokenizer: str) -> DataFrame:
+    ship(documents.sparkSession)
     chunks = word_chunks(documents)
-    table = word_table(chunks, tokenizer)
-    placed = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).join(table, "word")
-    # a chunk's list is bounded by the chunk's size
-    back = placed.groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("found"))
+    back = _placed(chunks, "words", word_table(chunks, tokenizer), "word")
     rest = chunks.drop("words").join(back, "chunk", "left")
     return rest.withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,ids:array<int>>>")))
 
@@ -147,45 +175,49 @@ def token_counts(documents: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_
     return _joined(documents, tokenizer).mapInArrow(_expand(True), "doc_id long, n_tokens long")
 
 
-def _pieces_of(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, pieces = shared.value
-        size = int(ids_.max()) + 1 if len(ids_) else 0
-        row = np.full(size + 1, -1, np.int64)
-        row[ids_] = np.arange(len(ids_))
-        table = pa.array(pieces, pa.binary())
-        for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            at = row[np.clip(flat, 0, size)]
-            if (at < 0).any():
-                raise ValueError("an id is not in the vocabulary")
-            found = table.take(pa.array(at))  # one buffer: the pieces of all texts end to end
-            ends = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
-            data = found.buffers()[2].to_pybytes() if len(found) else b""
-            n = np.asarray(lists.value_lengths().fill_null(0))
-            cuts = ends[np.concatenate([[0], np.cumsum(n)])]
-            texts = [data[x:y].decode() if ok else None for x, y, ok in zip(cuts[:-1], cuts[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-
-    return run
-
+def _id_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a chunk: ids of the documents, tokens of each (null: none), places in the chunk's list of distinct ids, the list."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 4_000):
+            docs, lists = (c.slice(lo, 4_000) for c in b.columns)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            kinds, codes = np.unique(flat, return_inverse=True)
+            counts = lists.value_lengths()
+            row = [[docs], [counts], [pa.compress(codes.astype(np.int32).tobytes(), "zstd", asbytes=True)], [len(codes)], [kinds]]
+            types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(row, types)], ["doc_ids", "counts", "codes", "n_codes", "kinds"])
 
-def decode(encoded: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", *, max_pieces: int = 1 << 20) -> DataFrame:
-    """(doc_id, text): ids joined to the pieces of the vocabulary file, put together by position.
 
-    A vocabulary of at most `max_pieces` is sent to the workers and joined by index, document by document;
-    a larger one is joined by a shuffle of ids. Null ids give a null text; an unknown id is an error in
-    the first way and missing from the text in the second.
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in range(b.num_rows):
+            found, n_kinds = b.column("found")[r].values, len(b.column("kinds")[r].values)
+            if len(found) != n_kinds:
+                raise ValueError("an id is not in the vocabulary")
+            pieces = pa.array(found.field("piece").to_pylist(), pa.binary()).take(pa.array(np.argsort(found.field("pos").to_numpy(), kind="stable")))
+            n = b.column("n_codes")[r].as_py()
+            codes = np.frombuffer(pa.decompress(b.column("codes")[r].as_py(), 4 * n, "zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+            laid = pieces.take(pa.array(codes))  # one buffer: the pieces of all texts end to end
+            ends = np.frombuffer(laid.buffers()[1], np.int32)[: len(laid) + 1] if len(laid) else np.zeros(1, np.int32)
+            data = laid.buffers()[2].to_pybytes() if len(laid) else b""
+            counts = b.column("counts")[r].values
+            cuts = ends[np.concatenate([[0], np.cumsum(counts.fill_null(0).to_numpy())])]
+            texts = [data[x:y].decode() if ok else None for x, y, ok in zip(cuts[:-1], cuts[1:], counts.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_ids")[r].values, pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def decode(encoded: DataFrame, tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """(doc_id, text): the distinct ids of each chunk joined to the pieces of the vocabulary file, put together by position.
+
+    Null ids give a null text; an unknown id is an error.
     """
     spark = encoded.sparkSession
+    ship(spark)
     with open(tokenizer, "rb") as f:
         pieces = [(int(r), base64.b64decode(p)) for p, r in map(bytes.split, f)]
-    if len(pieces) <= max_pieces:
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in pieces], np.int64), [p for _, p in pieces]))
-        return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_pieces_of(shared), "doc_id long, text string")
-    vocabulary = spark.createDataFrame(pieces, "id int, piece binary")
-    ids = encoded.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = ids.join(vocabulary, "id", "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))), lambda x: x["piece"]), "")
-    return joined.groupBy("_row", "doc_id").agg(F.decode(F.unhex(text), "utf-8").alias("text")).drop("_row")
+    vocabulary = spark.createDataFrame(pieces, "id long, piece binary")
+    chunks = encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_id_chunks, "doc_ids array<long>, counts array<int>, codes binary, n_codes long, kinds array<long>")
+    chunks = materialise(chunks.withColumn("chunk", F.monotonically_increasing_id()), "id_chunks")
+    back = _placed(chunks, "kinds", vocabulary, "id")
+    rest = chunks.join(back, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,piece:binary>>")))
+    return rest.drop("chunk").mapInArrow(_texts_of, "doc_id long, text string")

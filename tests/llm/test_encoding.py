@@ -36,8 +36,16 @@ def test_odd_texts_and_round_trip(spark):
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(ODD)}
     back = {r.doc_id: r.text for r in encoding.decode(encoded).collect()}
     assert back == {i: x or "" for i, x in enumerate(ODD)}
-    few = encoded.where("doc_id < 12")
-    assert {r.doc_id: r.text for r in encoding.decode(few, max_pieces=10).collect()} == {r.doc_id: r.text for r in encoding.decode(few).collect()}
+    assert {r.doc_id: r.text for r in encoding.decode(spark.createDataFrame([(1, None), (2, []), (3, [15496])], "doc_id long, ids array<int>")).collect()} == {1: None, 2: "", 3: "Hello"}
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        encoding.decode(spark.createDataFrame([(1, [15496, 99_999_999])], "doc_id long, ids array<int>")).collect()
+
+
+def test_frequent_words_take_the_other_join(spark):
+    chunks = spark.createDataFrame([(i, ["the", f"w{i}", "of"][: 1 + i % 3]) for i in range(20)], "chunk long, words array<string>")
+    words = spark.createDataFrame([(w, [len(w)]) for w in ["the", "of", *(f"w{i}" for i in range(20))]], "word string, ids array<int>")
+    one, two, three = ({r.chunk: sorted(map(tuple, r.found), key=str) for r in encoding._placed(chunks, "words", words, "word", **k).collect()} for k in ({}, {"often": 3}, {"often": 3, "most": 1}))
+    assert one == two == three and len(one) == 20
 
 
 def test_repeated_rows_and_empty_table(spark):
