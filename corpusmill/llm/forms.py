@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import materialise
+from corpusmill.core.tables import materialise, ship
 from corpusmill.functions.rolling import windows, words
 from corpusmill.llm import boilerplate
 
@@ -93,7 +93,7 @@ class Lines:
 
         self.letters, self.digits, self.symbols = count(kind == _LETTER), count(kind == _DIGIT), count(kind == _SYMBOL)
         self.chars = at[1:] - at[:-1] - 1
-        filled = np.maximum(self.letters + self.digits + self.symbols, 1)
+        filled = self.filled = np.maximum(self.letters + self.digits + self.symbols, 1)
         hashes, offsets = words(lines)
         self.words = np.diff(offsets)
         line_of = np.repeat(np.arange(n), self.words)
@@ -132,6 +132,14 @@ class Lines:
         self.bins = np.stack([*(np.digitize(values[k], b) for k, b in _BINS.items()), first, self.last], axis=1) if n else np.zeros((0, len(_SIZES)), np.int64)
         self._begin()
 
+    @classmethod
+    def of(cls, bins: np.ndarray, doc: np.ndarray, filled: np.ndarray) -> "Lines":
+        """Lines of which only what fitting needs is known."""
+        out = object.__new__(cls)
+        out.bins, out.doc, out.filled = bins, doc, filled
+        out._begin()
+        return out
+
     def _begin(self) -> None:
         self.starts = np.flatnonzero(np.concatenate([[True], self.doc[1:] != self.doc[:-1]])) if len(self.doc) else np.zeros(0, np.int64)
 
@@ -243,29 +251,14 @@ def _fitted(x: Lines, label_of_doc: np.ndarray, lines: np.ndarray, rounds: int)
     return model
 
 
-def train(x: Lines, label_of_doc: np.ndarray, n_labelled: int | None = None, rounds: int = 3) -> Model:
-    """Fits twice: the second time without the labelled documents (the first n_labelled) that the first model contradicts, as raters err."""
-    every = np.ones(len(x.doc), bool)
-    model = _fitted(x, label_of_doc, every, rounds)
-    if not len(x.doc):
-        return model
-    chars = np.maximum(x.letters + x.digits + x.symbols, 1)
-    own = _LABEL[model.path(x)] == label_of_doc[x.doc]
-    share = np.bincount(x.doc, chars * own, minlength=len(label_of_doc)) / np.maximum(np.bincount(x.doc, chars, minlength=len(label_of_doc)), 1)
-    agreed = share >= 0.3
-    agreed[len(label_of_doc) if n_labelled is None else n_labelled :] = True
-    return _fitted(x, label_of_doc, agreed[x.doc], rounds)
-
-
-def made_up(texts: list[str], n: int = 12, seed: int = 7) -> list[tuple[str, str]]:
-    """(text, label) of invented lists, tables and junk from the words of labelled texts: kinds that few labels may lack.
+def made_up(pool: set[str], sentences: set[str], n: int = 12, seed: int = 7) -> list[tuple[str, str]]:
+    """(text, label) of invented lists, tables and junk from words and sentences of labelled texts: kinds that few labels may lack.
 
     Word salad, one sentence over and over, damaged characters, random bytes, keywords, log lines and
     code; bullets, numbers, boxes, leaders, times; tables by bars, commas, tabs and columns.
     """
     rng = random.Random(seed)
-    pool = sorted({w for t in texts for w in t.split() if w.isalpha() and len(w) > 3 and w.lower() not in COMMON})
-    sentences = sorted({x.strip() for t in texts for x in t.replace("\n", " ").split(". ") if 5 <= len(x.split()) <= 30})
+    pool, sentences = sorted(pool), sorted(sentences)
     if len(pool) < 20 or not sentences:
         return []
     word = lambda: rng.choice(pool)
@@ -280,7 +273,7 @@ def made_up(texts: list[str], n: int = 12, seed: int = 7) -> list[tuple[str, str
             lambda: lines(lambda k: words_(6, 14).capitalize() + "."), lambda: (rng.choice(sentences) + ". ") * rng.randint(6, 25), lambda: (rng.choice([word(), "and", "la", "ok"]) + " ") * rng.randint(25, 90),
             lambda: lines(lambda k: damaged(rng.choice(sentences))), lambda: base64.encodebytes(rng.randbytes(rng.randint(150, 500))).decode(), lambda: ", ".join(rng.choices([words_(1, 2) for _ in range(5)], k=rng.randint(10, 30))),
             lambda: lines(lambda k: f"{rng.choice(['', '2024-05-0' + str(k % 9) + ' '])}{rng.randint(0, 23):02}:{rng.randint(0, 59):02}:{rng.randint(0, 59):02} {rng.choice(['INFO', 'WARN', 'DEBUG', 'ERROR'])} {word()}.{word()} {hexes(8)} {word()}={rng.randint(1, 900)}"),
-            lambda: lines(lambda k: rng.choice([f"{word()} = {word()}({rng.randint(0, 99)}, {word()}.{word()});", f"if ({word()}[{k}] > {rng.randint(0, 99)}) {{ return !{word()}; }}", f"def {word()}({word()}): return {{'{word()}': {k}}}", f'<div class="{word()}" id={word()}{k}><b>{word()}</b></div>'])), lambda: rng.choice([",", "=-", ".", "_*", "#"]) * rng.randint(3, 120),
+            lambda: lines(lambda k: rng.choice([f"{word()} = {word()}({rng.randint(0, 99)}, {word()}.{word()});", f"if ({word()}[{k}] > {rng.randint(0, 99)}) {{ return !{word()}; }}", f"def {word()}({word()}): return {{'{word()}': {k}}}", f'<div class="{word()}" id={word()}{k}><b>{word()}</b></div>'])), *[lambda: rng.choice([",", "=-", ".", "_*", "#"]) * rng.randint(3, 120)] * 4,
             *[lambda: (rng.choice(sentences).rstrip(".") + ". ") * rng.randint(4, 25)] * 5,
         ],
         "list": [
@@ -295,6 +288,26 @@ def made_up(texts: list[str], n: int = 12, seed: int = 7) -> list[tuple[str, str
     return [(make(), label) for label, kinds_ in makers.items() for make in kinds_ for _ in range(n)]
 
 
+def excerpts(text: str, n_words: int = 12) -> tuple[list[str], list[str]]:
+    """Some words and a sentence of a text: a bounded share of any."""
+    rng = random.Random(len(text))
+    words_ = sorted({w for w in text.split() if w.isalpha() and 3 < len(w) < 30 and w.lower() not in COMMON})
+    sentences = [x.strip() for x in text.replace("\n", " ").split(". ") if 5 <= len(x.split()) <= 30 and len(x) < 300]
+    return rng.sample(words_, min(n_words, len(words_))), rng.sample(sentences, min(1, len(sentences)))
+
+
+def train(x: Lines, label_of_doc: np.ndarray, sure: np.ndarray | None = None, rounds: int = 3) -> Model:
+    """Fits twice: the second time without the documents that the first model contradicts, as raters err; not so the sure ones."""
+    every = np.ones(len(x.doc), bool)
+    model = _fitted(x, label_of_doc, every, rounds)
+    if not len(x.doc):
+        return model
+    own = _LABEL[model.path(x)] == label_of_doc[x.doc]
+    share = np.bincount(x.doc, x.filled * own, minlength=len(label_of_doc)) / np.maximum(np.bincount(x.doc, x.filled, minlength=len(label_of_doc)), 1)
+    kept = share >= 0.3 if sure is None else (share >= 0.3) | sure
+    return _fitted(x, label_of_doc, kept[x.doc], rounds)
+
+
 def _body(texts: list[bytes], marks: list, frames: boilerplate.Frames | None) -> Lines:
     """Lines outside the frame. marks: whether each text is from the web, or (without frames) its frame line numbers."""
     if frames is None:
@@ -327,7 +340,7 @@ def _rate(model_, repeats):
             state = _LABEL[model.path(x)]
             n = len(ids)
             total = lambda v: np.bincount(x.doc, v, minlength=n)
-            chars = np.maximum(x.letters + x.digits + x.symbols, 1)
+            chars = x.filled
             words_, lines = total(x.words), total(np.ones(len(x.doc)))
             filled = total(chars)
             shares = [total(np.where(state == k, chars, 0)) for k in range(len(STATES))]
@@ -362,14 +375,45 @@ def labelled(labels: DataFrame, max_labelled: int) -> DataFrame:
     return clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "label")
 
 
-def fit(documents: DataFrame, labels: DataFrame, frames: boilerplate.Frames | None, max_labelled: int) -> Model:
-    """documents: (doc_id, text, mark)."""
+def _line_statistics(repeats):
+    """The binned statistics of each labelled text's main-body lines, their sizes, and excerpts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = repeats and boilerplate.Frames(repeats.value)
+        for b in batches:
+            out = []
+            for i, t, mark, label in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "mark", "label"))):
+                x = _body([boilerplate.fold(t or "")], [mark], frames)
+                out.append((i, label, x.bins.astype(np.uint8).tobytes(), x.filled.astype(np.int32).tobytes(), *excerpts(t or "")))
+            columns = list(zip(*out)) if out else [()] * 6
+            kinds_ = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], ["doc_id", "label", "bins", "filled", "words", "sentences"])
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, repeats, max_labelled: int, invented: bool = True) -> Model:
+    """documents: (doc_id, text, mark). repeats: the broadcast frame hashes, or None where mark has the frame lines."""
     chosen = labelled(labels, max_labelled)  # at most max_labelled rows
-    rows = documents.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= 100_000).collect()
-    rows = sorted({r.doc_id: r for r in rows if r.text and r.text.strip()}.values(), key=lambda r: r.doc_id)
-    extra = made_up([r.text for r in rows])
-    x = _body([boilerplate.fold(t) for t in [*(r.text for r in rows), *(t for t, _ in extra)]], [*(r.mark for r in rows), *(False if frames else None for _ in extra)], frames)
-    return train(x, np.array([STATES.index(label) for label in [*(r.label for r in rows), *(label for _, label in extra)]], np.int64), len(rows))
+    sample = documents.join(F.broadcast(chosen), "doc_id").where(F.length(F.trim("text")) > 0).select("doc_id", "text", "mark", "label")
+    rows = sample.mapInArrow(_line_statistics(repeats), "doc_id long, label string, bins binary, filled binary, words array<string>, sentences array<string>").collect()
+    rows = sorted({r.doc_id: r for r in sorted(rows, key=lambda r: bytes(r.bins))}.values(), key=lambda r: r.doc_id)
+    extra = made_up({w for r in rows for w in r.words}, {x for r in rows for x in r.sentences}) if invented else []
+    more = _body([boilerplate.fold(t) for t, _ in extra], [None for _ in extra], None)
+    bins = [np.frombuffer(r.bins, np.uint8).reshape(-1, len(_SIZES)).astype(np.int64) for r in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(x) for x in bins])
+    filled = [np.frombuffer(r.filled, np.int32).astype(np.int64) for r in rows]
+    x = Lines.of(np.concatenate([np.zeros((0, len(_SIZES)), np.int64), *bins, more.bins]), np.concatenate([doc, more.doc + len(rows)]), np.concatenate([np.zeros(0, np.int64), *filled, more.filled]))
+    form = [STATES.index(label) for label in [*(r.label for r in rows), *(label for _, label in extra)]]
+    return train(x, np.array(form, np.int64), np.arange(len(form)) >= len(rows))
+
+
+def prose_shares(documents: DataFrame, labels: DataFrame, *, max_labelled: int = 4000) -> DataFrame:
+    """Like text_quality, of whole texts: page frames are not taken out, so nothing is known of the corpus but the labels."""
+    ship(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("mark"))
+    model = fit(docs, labels, None, max_labelled)
+    return docs.mapInArrow(_rate(documents.sparkSession.sparkContext.broadcast(model), None), _SCHEMA)
 
 
 def text_quality(documents: DataFrame, labels: DataFrame, *, max_labelled: int = 4000, block: int = 4_000_000) -> DataFrame:
@@ -382,14 +426,13 @@ def text_quality(documents: DataFrame, labels: DataFrame, *, max_labelled: int =
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", boilerplate.host(F.col("url")).isNotNull().alias("mark"))
     repeats = materialise(boilerplate.frame_repeats(documents).select("h"), "repeats")
     if repeats.count() <= block:
-        hashes = repeats.toPandas()["h"].to_numpy(np.int64).tobytes()
-        shared, frames = spark.sparkContext.broadcast(hashes), boilerplate.Frames(hashes)
+        shared = spark.sparkContext.broadcast(repeats.toPandas()["h"].to_numpy(np.int64).tobytes())
     else:
-        shared = frames = None
+        shared = None
         texts = docs.select(F.lit("documents").alias("record_table"), F.col("doc_id").alias("record_id"), F.col("mark").alias("web"), "text")
         found = boilerplate.frame_lines(texts, repeats, bound=block).groupBy(F.col("record_id").alias("doc_id")).agg(F.collect_set("line_no").alias("mark"))
         docs = materialise(docs.drop("mark").join(found, "doc_id", "left"), "bodies")
-    model = fit(docs, labels, frames, max_labelled)
+    model = fit(docs, labels, shared, max_labelled)
     return docs.mapInArrow(_rate(spark.sparkContext.broadcast(model), shared), _SCHEMA)
 
 
