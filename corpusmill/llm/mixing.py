@@ -17,17 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.core.tables import materialise
+from corpusmill.core.tables import materialise, ship
 
 _RANGES = 4096
 
 
-def quality_weight(text: Column) -> Column:
-    """A weight in [0.25, 1]: the share of letters and blanks, as natural prose has more of them."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L} ]", ""))
-    return F.greatest(F.lit(0.25), plain / F.greatest(F.length(text), F.lit(1)))
-
-
 def keyed(documents: DataFrame, size: Column, quality: Column, seed: int) -> DataFrame:
     """(doc_id, source, size, key, range): the exponential key, and its place on the unit interval in ranges."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(1)) / F.lit(float(1 << 53))
@@ -69,18 +63,25 @@ def budgets(pools: list[tuple[str, float, int]], total: int, max_epochs: int) ->
 
 
 def mix(documents: DataFrame, sources: DataFrame, size: Column, quality: Column, *, total: int | None = None, max_epochs: int = 4, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """The mix (doc_id, source, size, copies) and the report (source, weight, target_share, pool_size, drawn_size, actual_share, epochs).
+    """The mix (doc_id, source, size, copies) and the report (source, weight, target_share, pool_size, drawn_size, actual_share, epochs, even_total).
 
     The source table is configuration: one small row per source goes to the driver. total defaults to
-    the size of all pools together.
+    the size of all pools together; even_total is the largest total at which every source that has
+    documents keeps its target share, for those who would rather have less than other shares.
     """
     config = sources.where(F.col("name").isNotNull() & (F.trim("name") != "")).groupBy("name").agg(F.max("weight").alias("weight"), F.max("max_records").alias("max_records"))
     rows = keyed(documents, size, quality, seed).where("size > 0").join(config.select(F.col("name").alias("source"), "weight", "max_records").where("weight > 0"), "source")
-    rows = materialise(_running(rows.withColumn("one", F.lit(1).cast("long")), ["source"], "one", "place").where("max_records is null or place <= max_records").select("doc_id", "source", "size", "key", "range"), "pool")
+    rows = materialise(rows.select("doc_id", "source", "size", "key", "range", "max_records"), "keyed")
+    # only sources with a bound are ranked
+    bounded = _running(rows.where("max_records is not null").withColumn("one", F.lit(1).cast("long")), ["source"], "one", "place").where("place <= max_records")
+    rows = materialise(rows.where("max_records is null").drop("max_records").unionByName(bounded.select("doc_id", "source", "size", "key", "range")), "pool")
     sizes = {r.source: r.s for r in rows.groupBy("source").agg(F.sum("size").alias("s")).collect()}
     listed = [(r.name, r.weight, sizes.get(r.name, 0)) for r in config.orderBy("name").collect()]
     plan = budgets(listed, total if total is not None else sum(sizes.values()), max_epochs)
     spark = documents.sparkSession
+    ship(spark)
+    weighed = [(w, size_) for _, w, size_ in listed if w and w > 0 and size_]
+    even_total = int(min((size_ * max_epochs * sum(x for x, _ in weighed) / w for w, size_ in weighed), default=0))
     cuts = [(n, *divmod(plan[n][1], max(size_, 1))) for n, _, size_ in listed if size_]
     table = spark.createDataFrame(cuts or [("", 0, 0)], "source string, epochs long, rest long")
     drawn = _running(rows, ["source"], "size", "upto").join(table, "source")
@@ -91,4 +92,4 @@ def mix(documents: DataFrame, sources: DataFrame, size: Column, quality: Column,
     report = report.withColumn("drawn_size", F.coalesce("drawn_size", F.lit(0).cast("long"))).withColumn("epochs", F.coalesce("epochs", F.lit(0)))
     whole = mixed.agg(F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0))).first()[0]
     report = report.withColumn("actual_share", F.col("drawn_size") / F.lit(whole) if whole else F.lit(0.0))
-    return mixed, report
+    return mixed, report.withColumn("even_total", F.lit(even_total).cast("long"))

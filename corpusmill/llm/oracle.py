@@ -36,6 +36,8 @@ def _links(table: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_invariants": "SELECT count(*) AS records, 0 AS twice, 0 AS values_in_two_splits, 0 AS quotas_missed FROM (SELECT DISTINCT 's' AS t, example_id FROM sft_examples UNION ALL SELECT DISTINCT 'p', example_id FROM preference_examples) WHERE example_id IS NOT NULL",
+        "p6_invariants": "SELECT count(DISTINCT name) AS sources, 0 AS over_limit, 0 AS over_epochs, 0 AS uneven_copies, 0 AS unweighted_drawn, 0 AS shares_not_one FROM data_sources WHERE trim(name) <> ''",
         "p8_invariants": "SELECT count(*) AS documents, count(*) FILTER (WHERE length(text) > 0) AS with_text, 0 AS not_whole, 0 AS split_but_fit, 0 AS without_container, 0 AS overfull, 0 AS wasteful FROM documents",
         "p3_found": f"WITH {_PASSAGES} SELECT DISTINCT item_id, doc_id FROM g JOIN h USING (k, gram)",
         "p4_found": f"""WITH RECURSIVE v AS ({_links("sft_examples")} UNION {_links("preference_examples")}),

@@ -44,6 +44,24 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_examples(spark, sf_dir), SHARES)
 
 
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the splits: one row, all but the first 0. No source, group, author or entity is in two splits."""
+    tables = _examples(spark, sf_dir)
+    placed = materialise(splits.assign_splits(tables, SHARES), "placed")
+    linked = None
+    for name, df in tables.items():
+        linked = splits.links(df, name) if linked is None else linked.unionByName(splits.links(df, name))
+    torn = linked.where("value is not null").join(placed, ["record_table", "example_id"]).groupBy("kind", "value").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("values_in_two_splits"))
+    largest = F.max("n")
+    sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).agg(largest.alias("largest"))
+    by_split = placed.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    shares = spark.createDataFrame(list(SHARES.items()), "split string, share double")
+    off = shares.join(by_split, "split", "left").crossJoin(placed.agg(F.count(F.lit(1)).alias("all"))).crossJoin(sizes)  # one row each
+    off = off.agg(F.count_if(F.abs(F.coalesce("n", F.lit(0)) - F.col("share") * F.col("all")) > 1 + F.col("largest")).alias("quotas_missed"))
+    counted = placed.agg(F.count(F.lit(1)).alias("records"), (F.count(F.lit(1)) - F.count_distinct("record_table", "example_id")).alias("twice"))
+    return counted.crossJoin(torn).crossJoin(off)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "data_sources"))
 
@@ -53,9 +71,26 @@ def p5_scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    text = F.col("text")
-    words = F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+")))
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "data_sources"), F.coalesce(words, F.lit(0)), mixing.quality_weight(text))
+    """Sizes in tokens of the public tokenizer; quality is the share of prose by the line model of problem 9, at least a quarter."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = encoding.token_counts(docs).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    prose = forms.prose_shares(docs, table(spark, sf_dir, "form_labels")).groupBy("doc_id").agg(F.max("prose_share").alias("prose_share"))
+    joined = docs.select("doc_id", "source").join(sizes, "doc_id", "left").join(prose, "doc_id", "left")
+    return mixing.mix(joined, table(spark, sf_dir, "data_sources"), F.coalesce("n_tokens", F.lit(0)), F.greatest(F.lit(0.25), F.coalesce("prose_share", F.lit(0.25))))
+
+
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix: one row, all but the first 0."""
+    mixed, report = _mix(spark, sf_dir)
+    limits = report.select("source", "weight").join(table(spark, sf_dir, "data_sources").groupBy(F.col("name").alias("source")).agg(F.max("max_records").alias("most")), "source", "left")
+    per = mixed.groupBy("source").agg(F.count_distinct("doc_id").alias("docs"), F.max("copies").alias("copies"), F.min("copies").alias("fewest"))
+    joined = limits.join(per, "source", "left")
+    sums = report.agg(F.sum("actual_share").alias("shares"))
+    counted = joined.agg(
+        F.count(F.lit(1)).alias("sources"), F.count_if(F.col("docs") > F.col("most")).alias("over_limit"), F.count_if(F.col("copies") > 4).alias("over_epochs"), F.count_if(F.col("copies") - F.col("fewest") > 1).alias("uneven_copies"),
+        F.count_if((F.coalesce("weight", F.lit(0.0)) <= 0) & (F.coalesce("docs", F.lit(0)) > 0)).alias("unweighted_drawn"),
+    )
+    return counted.crossJoin(sums.select((F.abs(F.coalesce("shares", F.lit(1.0)) - 1) > 1e-9).cast("int").alias("shares_not_one")))  # one row each
 
 
 def p6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,4 +138,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p5_found, p5_scrubbed, p6_mix, p6_shares, p7_ids, p7_decoded, p8_containers, p8_invariants, p9_found, p9_quality)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_coverage, p4_found, p4_splits, p4_invariants, p5_found, p5_scrubbed, p6_mix, p6_shares, p6_invariants, p7_ids, p7_decoded, p8_containers, p8_invariants, p9_found, p9_quality)}

@@ -143,40 +143,33 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
     return [cap[2 * i + 1] for i in range(len(arcs))]
 
 
-def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float], most: int = 2_000) -> list[list[int]]:
-    """How many components of each bundle (size, label counts, components) go to each split.
-
-    The `most` bundles with the most records take part in the flow; lighter ones take their even shares
-    and are rounded with the rest.
+def allocate(bundles: list[tuple[float, tuple, int]], shares: list[float]) -> list[list[int]]:
+    """How many components of each bundle (mean size, label profile, components) go to each split.
 
     Flow: source -> bundle -> split -> sink in records. A split takes its quota free of charge and more
     at a cost that rises with the excess (twice and further beyond); taking a bundle's label profile
-    evenly costs least. The integral flow is rounded down to whole components; what is left goes, the
+    evenly costs least. The flow is rounded down to whole components; what is left goes, the
     largest components first, where the split lacks most of its quota.
     """
-    total = sum(s * n for s, _, n in bundles)
+    records = [round(s * n) for s, _, n in bundles]
+    total = sum(records)
     quotas = [int(total * x / sum(shares)) for x in shares]
     quotas[quotas.index(max(quotas))] += total - sum(quotas)
     k, b = len(shares), len(bundles)
     even = [[int(n * x / sum(shares)) for x in shares] for _, _, n in bundles]
-    heavy = sorted(range(b), key=lambda i: (-bundles[i][0] * bundles[i][2], i))[:most]
-    light_sent = [sum(even[i][s] * bundles[i][0] for i in set(range(b)) - set(heavy)) for s in range(k)]
-    h = len(heavy)
-    source, sink = h + k, h + k + 1
+    source, sink = b + k, b + k + 1
     arcs = []
-    for j, i in enumerate(heavy):
-        size, _, n = bundles[i]
-        arcs.append((source, j, size * n, 0.0))
+    for i, (size, _, _) in enumerate(bundles):
+        arcs.append((source, i, records[i], 0.0))
         for s in range(k):
-            arcs += [(j, h + s, even[i][s] * size, 0.0), (j, h + s, size * n, 0.01)]  # off the even share of the profile costs a little
+            arcs += [(i, b + s, int(even[i][s] * size), 0.0), (i, b + s, records[i], 0.01)]  # off the even share of the profile costs a little
     for s in range(k):
-        arcs += [(h + s, sink, max(0, quotas[s] - light_sent[s]), 0.0), (h + s, sink, max(1, quotas[s] // 10), 1.0), (h + s, sink, total, 4.0)]
-    amount = sum(bundles[i][0] * bundles[i][2] for i in heavy)
-    flow = min_cost_flow(h + k + 2, arcs, source, sink, amount) if amount else [0] * len(arcs)
-    out = [list(x) for x in even]
-    for j, i in enumerate(heavy):
-        at = j * (1 + 2 * k)
-        out[i] = [(flow[at + 1 + 2 * s] + flow[at + 2 + 2 * s]) // bundles[i][0] for s in range(k)]
+        arcs += [(b + s, sink, quotas[s], 0.0), (b + s, sink, max(1, quotas[s] // 10), 1.0), (b + s, sink, total, 4.0)]
+    flow = min_cost_flow(b + k + 2, arcs, source, sink, total) if total else [0] * len(arcs)
+    out = []
+    for i, (size, _, n) in enumerate(bundles):
+        at = i * (1 + 2 * k)
+        out.append([min(n, int((flow[at + 1 + 2 * s] + flow[at + 2 + 2 * s]) / size + 1e-9)) for s in range(k)])
     filled = [sum(out[i][s] * bundles[i][0] for i in range(b)) for s in range(k)]
     for i in sorted(range(b), key=lambda i: -bundles[i][0]):
         size, _, n = bundles[i]
@@ -189,7 +182,7 @@ def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float
         size = bundles[i][0]
         for x in range(k):
             for y in range(k):
-                moved = min(out[i][x], max(0, filled[x] - quotas[x]) // size, max(0, quotas[y] - filled[y]) // size)
+                moved = int(min(out[i][x], max(0, filled[x] - quotas[x]) // size, max(0, quotas[y] - filled[y]) // size))
                 out[i][x], out[i][y] = out[i][x] - moved, out[i][y] + moved
                 filled[x], filled[y] = filled[x] - moved * size, filled[y] + moved * size
     return out
@@ -198,27 +191,31 @@ def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float
 def assign_splits(tables: dict[str, DataFrame], shares: dict[str, float]) -> DataFrame:
     """(record_table, example_id, group_id, split): every record, whole components to a split.
 
-    The bundles (distinct pairs of size and label profile) go to the driver: sizes add up to the number
-    of records, so there are at most about the square root of it per label, one small row each.
+    Components are bundled by size and label profile: small ones (fewer than 16 records) and giants (at
+    least a two-hundredth of all records) by their exact sizes and profiles, those between by size to
+    half an octave and profile to an eighth. So at most some hundred bundles, one small row each, go to
+    the driver whatever the number of records, and all of them take part in the flow.
     """
     from corpusmill.llm.packing import ranked
 
     records, _ = grouped_records(tables)
     records = materialise(records, "records")
     names = sorted(tables)
-    sized = records.groupBy("root").agg(F.count(F.lit(1)).alias("size"), *(F.count_if(F.col("record_table") == n).alias(f"n{i}") for i, n in enumerate(names)))
-    sized = materialise(sized, "components")
     profile = [f"n{i}" for i in range(len(names))]
-    rows = sized.groupBy("size", *profile).agg(F.count(F.lit(1)).alias("count")).orderBy("size", *profile).collect()
-    counts = allocate([(r["size"], tuple(r[p] for p in profile), r["count"]) for r in rows], list(shares.values()))
+    sized = records.groupBy("root").agg(F.count(F.lit(1)).alias("size"), *(F.count_if(F.col("record_table") == n).alias(p) for n, p in zip(names, profile)))
+    total = records.count()
+    exact = F.concat_ws(":", F.lit("exact"), *profile)
+    between = F.concat_ws(":", F.lit("about"), F.floor(2 * F.log2("size")), *(F.floor(8 * F.col(p) / F.col("size")) for p in profile))
+    sized = materialise(sized.withColumn("bundle", F.when((F.col("size") < 16) | (F.col("size") * 200 >= F.lit(total)), exact).otherwise(between)), "components")
+    rows = sized.groupBy("bundle").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("records")).orderBy("bundle").collect()
+    counts = allocate([(r["records"] / r["count"], (r["bundle"],), r["count"]) for r in rows], list(shares.values()))
     bounds = []
     for r, row in zip(rows, counts):
         start = 0
         for split, n in zip(shares, row):
             if n:
-                bounds.append((*(r[p] for p in profile), start, start + n, split))
+                bounds.append((r["bundle"], start, start + n, split))
             start += n
-    schema = ", ".join([*(f"{p} long" for p in profile), "lo long", "hi long", "split string"])
-    plan = records.sparkSession.createDataFrame(bounds or [(*(0 for _ in profile), 0, 0, "")], schema)
-    placed = ranked(sized, profile, ["root"]).join(plan, profile).where("rank >= lo and rank < hi")
+    plan = records.sparkSession.createDataFrame(bounds or [("", 0, 0, "")], "bundle string, lo long, hi long, split string")
+    placed = ranked(sized, ["bundle"], ["root"]).join(plan, "bundle").where("rank >= lo and rank < hi")
     return records.join(placed.select("root", "split"), "root").select("record_table", "example_id", F.lower(F.hex("root")).alias("group_id"), "split")
