@@ -325,7 +325,7 @@ def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[lis
             a, e, word = base + p.start(), base + p.end(), p.group()
             initial = len(word) == 2 and word[1] == "."
             score, exact, told = (0.0, False, True) if initial else lexicon(word)
-            if any(x < e and a < y for x, y in taken) or lower and not initial and not exact:
+            if (taken and any(x < e and a < y for x, y in taken)) or (lower and not initial and not exact):
                 if len(tokens) > 1:
                     out.append(tokens)
                 tokens = []
@@ -344,12 +344,16 @@ def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> li
     runs = _runs(text, lexicon, taken)
     hopeful, rest, shared = [], [], set()
     for tokens in runs:
+        best = -9.0
         for t in tokens:
-            t.keys = () if t.initial else _keys(t.text)
-        best = max((t.score for t in tokens if not t.initial), default=-9.0)
+            if not t.initial and t.score > best:
+                best = t.score
         if best > -2.0 or any(folded(t.text) in _TITLES for t in tokens[:-1]) or _word_before(text, tokens[0].a) in _TITLES:
             hopeful.append(tokens)
-            shared.update(k for t in tokens for k in t.keys)
+            for t in tokens:
+                if not t.initial:
+                    t.keys = _keys(t.text)
+                    shared.update(t.keys)
         else:
             rest.append(tokens)
     lone = []
@@ -363,7 +367,11 @@ def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> li
                 t.keys = _keys(t.text)
                 lone.append([t])
                 shared.update(t.keys)
-    hopeful += [tokens for tokens in rest if any(k in shared for t in tokens for k in t.keys)]
+    for tokens in rest if shared else ():
+        if not all(shared.isdisjoint(_keys(t.text)) for t in tokens if not t.initial):
+            hopeful.append(tokens)
+            for t in tokens:
+                t.keys = () if t.initial else _keys(t.text)
     out = sorted(hopeful + lone, key=lambda tokens: tokens[0].a)
     for i, tokens in enumerate(out):
         for t in tokens:
