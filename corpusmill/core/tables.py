@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder; a temporary one only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder: a folder of one machine cannot serve a cluster")
         found = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", found)
         _WRITTEN.append(found)
@@ -56,13 +58,20 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 def release(df_or_paths=None) -> None:
-    """Deletes the tables written so far where they lie on a local or mounted file system."""
+    """Deletes the tables written so far, by the file system that each path names."""
+    session = SparkSession.getActiveSession()
     while _WRITTEN:
         path = _WRITTEN.pop()
         if path.startswith("file:"):
             path = path[len("file:") :].replace("///", "/").replace("//", "/")
         if path.startswith("/"):
             shutil.rmtree(path, ignore_errors=True)
+        elif session is not None:
+            try:
+                at = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            except Exception:  # the session may be gone at exit: the folder's owner clears it
+                pass
 
 
 atexit.register(release)

@@ -9,7 +9,7 @@ from corpusmill.core.tables import table
 from corpusmill.functions import text as T
 from corpusmill.functions import tokens
 from corpusmill.operators import corpus, evals, examples, pages, retrieval, snapshots
-from corpusmill.registry import _LINES, _SIMPLE, _clean, _ends, _norm, _numbered, _page, _sq, _words, query
+from corpusmill.registry import _clean, _ends, _norm, _numbered, _page, _sq, _words, query
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SPECIALS = {"<|system|>": 32000, "<|user|>": 32001, "<|assistant|>": 32002, "<|tool|>": 32003, "</s>": 2}
@@ -41,10 +41,10 @@ def s24_batches_drop_last(spark, d):
     return rows.groupBy(F.col("shard").alias("batch")).agg(F.count(F.lit(1)).alias("n")).where("n = 32")
 
 
-@query("SELECT item_id, len(messages) AS n, messages[-1].role AS last_role FROM posttrain_regression ORDER BY item_id LIMIT 50")
+@query("SELECT item_id, len(messages) AS n, messages[-1].role AS last_role FROM posttrain_regression")
 def s22_regression_prompts(spark, d):
     m = examples.sft_messages(F.col("messages"))
-    rows = table(spark, d, "posttrain_regression").orderBy("item_id").limit(50)
+    rows = table(spark, d, "posttrain_regression")
     return rows.select("item_id", F.size("messages").cast("long").alias("n"), F.try_element_at(m, F.lit(-1))["role"].alias("last_role"))
 
 
@@ -128,9 +128,9 @@ def j08_page_family(spark, d):
     return table(spark, d, "documents").select("doc_id", pages.family(p).alias("family"))
 
 
-@query(f"SELECT doc_id, count(*) AS chunks, CAST(sum(length(t)) AS BIGINT) AS characters FROM (SELECT doc_id, unnest({_LINES}) AS t FROM documents WHERE {_SIMPLE}) GROUP BY 1")
+@query()
 def w13_line_index(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.rlike("text", F.lit("[<&\x0b\x0c\x1c-\x1e\x85  \r]")))
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     lines = docs.select("doc_id", F.posexplode(F.split(T.html_to_text(_page()), "\n")).alias("chunk_index", "t")).where("t <> ''")
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("t")).alias("characters"))
 

