@@ -192,8 +192,7 @@ def x14_markers(spark, d):
 
 @query()
 def x15_repetition(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.rlike(t, F.lit(r"([,.;:!?])(?:\s*\1){4,}")).alias("punctuation"), F.rlike(F.lower(t), F.lit(r"\b(and|or)\b(?:\s+\1){3,}")).alias("connector"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", evals.repeated_marks(F.col("text")).alias("punctuation"), evals.repeated_connectors(F.col("text")).alias("connector"))
 
 
 @query()

@@ -100,6 +100,16 @@ def degenerate_reasons(text: Column) -> Column:
     return F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in faults)), lambda x: x.isNotNull())
 
 
+def repeated_marks(text: Column) -> Column:
+    """Whether one punctuation mark stands five times on end, blanks aside."""
+    return F.rlike(text, F.lit(r"([,.;:!?])(?:\s*+\1){4}"))  # not {4,}: the matcher recurses once a repeat, and a long run overflows the stack
+
+
+def repeated_connectors(text: Column) -> Column:
+    """Whether "and" or "or" stands four times on end."""
+    return F.rlike(F.lower(text), F.lit(r"\b(and|or)\b(?:\s++\1){3}"))
+
+
 def answer_score(response: Column, reference: Column, expected: Column, forbidden: Column | None = None, wants_citation: Column | None = None) -> Column:
     """1 for an equal reference, the share of expected parts, less one a forbidden part, less the form penalties; never below 0.
 
@@ -109,8 +119,7 @@ def answer_score(response: Column, reference: Column, expected: Column, forbidde
     score = F.when(T.squeeze_ends(r) == T.squeeze_ends(reference), 1.0).otherwise(0.0) + T.matched_share(r, expected)
     if forbidden is not None:
         score = score - F.coalesce(F.size(F.filter(forbidden, lambda p: F.contains(F.lower(r), F.lower(p)))), F.lit(0))
-    repeated = F.rlike(r, F.lit(r"([,.;:!?])(?:\s*\1){4,}")) | F.rlike(F.lower(r), F.lit(r"\b(and|or)\b(?:\s+\1){3,}"))
-    score = score - F.when(repeated, 2.0).otherwise(0.0) - F.when(T.contains_any(F.lower(r), FILLERS), 1.0).otherwise(0.0) - F.when(T.contains_any(r, ["</s>", "<|assistant|>", "<|user|>"]), 2.0).otherwise(0.0)
+    score = score - F.when(repeated_marks(r) | repeated_connectors(r), 2.0).otherwise(0.0) - F.when(T.contains_any(F.lower(r), FILLERS), 1.0).otherwise(0.0) - F.when(T.contains_any(r, ["</s>", "<|assistant|>", "<|user|>"]), 2.0).otherwise(0.0)
     if wants_citation is not None:
         score = score + F.when(F.coalesce(wants_citation, F.lit(False)), F.when(cites(r), 0.5).otherwise(-0.5)).otherwise(0.0)
     return F.greatest(score, F.lit(0.0))

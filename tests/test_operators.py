@@ -179,6 +179,17 @@ def test_answer_scores(spark):
     assert [r.x for r in t.select(evals.degenerate_reasons(F.col("t")).alias("x")).collect()] == [["too_many_short_fragments", "low_token_variety"], ["repeated_token_burst", "low_token_variety"], [], ["separator_spam"], []]
 
 
+def test_runs_of_any_length_are_seen(spark):
+    # literals are evaluated in the driver: an overflown stack fails the test, not the session
+    for unit, least, n_marks, n_words in (("!", 5, 1, 0), ("? \n ", 5, 1, 0), ("and ", 4, 0, 1), ("Or\t", 4, 0, 1)):
+        for n in (least - 1, least, least + 1, 200_000):
+            t = F.lit("x " + unit * n)
+            got = spark.sql("SELECT 1").select(evals.repeated_marks(t).alias("m"), evals.repeated_connectors(t).alias("c"), evals.answer_score(t, F.lit("y"), F.array(F.lit("x"), F.lit("no"))).alias("s")).first()
+            assert got == (n_marks and n >= least, n_words and n >= least, 0.0 if n >= least else 0.5), (unit, n)
+    blanks = F.lit(", " + " " * 300_000 + ",,,. ,,")
+    assert spark.sql("SELECT 1").select(evals.repeated_marks(blanks)).first()[0] is False
+
+
 def test_early_stopping_fold(spark):
     h = spark.createDataFrame([("r", 1, 2.0), ("r", 2, 1.95), ("r", 3, None), ("r", 4, 2.5), ("r", 5, 1.0), ("q", 1, None)], "run string, step int, loss double")
     got = {(r.run, r.step): (r.best, r.best_step, r.no_improvement, r.worsening) for r in evals.early_stopping(h, "run", "step", "loss", 0.1).collect()}
