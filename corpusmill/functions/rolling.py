@@ -32,6 +32,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def order(hashes: np.ndarray) -> np.ndarray:
+    """The stable order of hashes (uint64): sorted as values with the position in the low bits, where the other bits tell all apart."""
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    keys.sort()
+    out = (keys & low).astype(np.int64)
+    found = hashes[out]
+    if ((found[1:] != found[:-1]) & ((found[1:] & ~low) == (found[:-1] & ~low))).any():
+        return np.argsort(hashes, kind="stable")
+    return out
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the folded texts in order, and where each text's words begin (len(texts) + 1 offsets)."""
     blob = np.frombuffer(b"\n".join([*texts, b""]), np.uint8) if texts else np.zeros(0, np.uint8)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.core.bitmaps import bitmap, inside
 from corpusmill.core.tables import materialise, ship
-from corpusmill.functions.rolling import _B1, _powers, mix
+from corpusmill.functions.rolling import _B1, _powers, mix, order
 from corpusmill.functions.wordform import DROPPED
 
 DEPTH = 3
@@ -63,6 +63,15 @@ _CLASS[ord("0") : ord("9") + 1] = _DIGIT
 _CLASS[10] = _LINE
 
 
+#: characters that folding leaves as they are, but for their case, and the folded forms of others seen so far
+_PLAIN = frozenset(c for c in map(chr, range(128)) if not DROPPED.match(c))
+_FOLDED: dict[str, str] = {}
+
+
+def _ascii(text: str) -> str:
+    return DROPPED.sub("", unicodedata.normalize("NFKD", text)).lower().encode("ascii", "replace").decode()
+
+
 def fold(text: str) -> bytes:
     """Lower-case ASCII with the same line ends; damaged UTF-8 is mended first."""
     if not text.isascii():
@@ -71,7 +80,13 @@ def fold(text: str) -> bytes:
                 text = text.encode("latin-1").decode("utf-8")
             except UnicodeError:
                 pass
-        text = DROPPED.sub("", unicodedata.normalize("NFKD", text))
+        odd = set(text) - _PLAIN
+        if len(odd) > 32:
+            text = _ascii(text)
+        for c in odd if len(odd) <= 32 else ():  # the few of most texts one by one
+            if c not in _FOLDED:
+                _FOLDED[c] = _ascii(c)
+            text = text.replace(c, _FOLDED[c])
     return text.lower().encode("ascii", "replace")
 
 
@@ -106,10 +121,11 @@ class Stream:
         token = (h.astype(np.uint32) >> np.uint32(1)) + np.uint32(2)
         token = np.where(kind == _DIGIT, token | _DIGITS, np.minimum(token, _DIGITS - np.uint32(1)))
         token[kind == _LINE] = _NL
-        newline = np.cumsum(blob == 10)
-        doc = np.searchsorted(doc_at, a, "right") - 1
+        first = np.searchsorted(a, doc_at)  # the line end before each text
+        doc = np.repeat(np.arange(len(doc_at)), np.diff(np.append(first, len(a))))
+        newline = np.cumsum(kind == _LINE)
         self.token, self.doc, self.mark, self.word, self.dots = token.astype(np.uint32), doc, kind == _MARK, kind == _LETTER, dots
-        self.line = newline[a] - newline[doc_at[doc]] + 1
+        self.line = newline - newline[first][doc] + 1
         ends = np.flatnonzero(kind == _LINE)
         self.begin, self.end = ends[:-1] + 1, ends[1:]  # tokens of each line, line ends around them
         filled = self.end > self.begin
@@ -162,16 +178,16 @@ def _hash(token: np.ndarray, at: np.ndarray, depth: int, salt: int) -> np.ndarra
 
 def _groups(h: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes sorted by the hash of a prefix: their order, where each group of equal prefixes begins, and on how many pages it stands."""
-    order = np.argsort(h, kind="stable")  # stream order within a group
-    if not len(order):
-        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hs, pages = h[order], page[order]
+    at = order(h)  # stream order within a group
+    if not len(at):
+        return at, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hs, pages = h[at], page[at]
     new = np.ones(len(h), bool)
     new[1:] = hs[1:] != hs[:-1]
     fresh = new.copy()
     fresh[1:] |= pages[1:] != pages[:-1]
     first = np.flatnonzero(new)
-    return order, first, np.add.reduceat(fresh.astype(np.int64), first)
+    return at, first, np.add.reduceat(fresh.astype(np.int64), first)
 
 
 def _double(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,13 +213,13 @@ def _page_counts(s: Stream, least: int, least_exact: float) -> dict[str, np.ndar
     for token, of, depth, salt in _families(s, at) if len(at) else ():
         own = at[of]
         h = _hash(token, own, depth, salt)
-        order, first, n = _groups(h, s.doc[own + 1])
+        by, first, n = _groups(h, s.doc[own + 1])
         keep = n >= (least_exact if salt == 2 else least)
-        add(h[order[first[keep]]], n[keep], salt == 2)
+        add(h[by[first[keep]]], n[keep], salt == 2)
         if salt == 1:
             base[own] = h
             kept = np.repeat(keep, np.diff(np.append(first, len(own))))
-            level, ends = np.sort(own[order[kept]]), np.zeros(len(s.token), np.int64)
+            level, ends = np.sort(own[by[kept]]), np.zeros(len(s.token), np.int64)
             ends[own] = s.end[line[of]]
     h, depth = base.copy(), DEPTH
     while len(at) and len(level):
@@ -212,11 +228,11 @@ def _page_counts(s: Stream, least: int, least_exact: float) -> dict[str, np.ndar
         level = level[level + 2 * depth - 1 <= ends[level]]
         level = level[here[level + depth] & (base[level + 2 * depth - DEPTH] > 0)]
         longer = _double(h[level], h[level + depth])
-        order, first, n = _groups(longer, s.doc[level + 1])
+        by, first, n = _groups(longer, s.doc[level + 1])
         keep = n >= least
-        chosen = order[first[keep]]
+        chosen = by[first[keep]]
         add(longer[chosen], n[keep], False, base[level[chosen]], base[level[chosen] + 2 * depth - DEPTH])
-        kept = np.sort(order[np.repeat(keep, np.diff(np.append(first, len(level))))])
+        kept = np.sort(by[np.repeat(keep, np.diff(np.append(first, len(level))))])
         h[level[kept]] = longer[kept]
         level, depth = level[kept], 2 * depth
     kinds = (np.uint64, np.int64, bool, np.uint64, np.uint64)
@@ -308,8 +324,8 @@ def _plain_counts(filter_, copies):
                 hs.append(h[hit])
                 docs.append(s.doc[at[of][hit] + 1])
             h, doc = np.concatenate(hs), np.concatenate(docs)
-            order = np.lexsort((doc, h))
-            h, doc = h[order], doc[order]
+            by = order(h)  # equal ones stand in stream order, so by text
+            h, doc = h[by], doc[by]
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
             h, doc = h[once], doc[once]

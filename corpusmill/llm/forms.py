@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.core.tables import materialise, ship
-from corpusmill.functions.rolling import windows, words
+from corpusmill.functions.rolling import order, windows, words
 from corpusmill.llm import boilerplate
 
 STATES = ("prose", "list", "table", "junk")
@@ -60,6 +60,8 @@ _BINS = {
 _FIRST = {**dict.fromkeys(b"-*+", 1), **dict.fromkeys(b"0123456789", 2), **dict.fromkeys(b"[(", 3), **dict.fromkeys(b"|", 4), **dict.fromkeys(b"\"'", 5)}
 _LAST = {**dict.fromkeys(b".!?", 1), **dict.fromkeys(b",;:", 2), **dict.fromkeys(b")]}", 3), **dict.fromkeys(b"|", 4), **dict.fromkeys(b"0123456789", 5)}
 _LONG = 240
+#: characters of the texts that are worked off at once
+_CHUNK = 600_000
 _SIZES = [len(b) + 1 for b in _BINS.values()] + [7, 7]
 _LETTER, _DIGIT, _SPACE, _SYMBOL = range(4)
 _KIND = np.full(256, _SYMBOL, np.uint8)
@@ -74,7 +76,10 @@ _EDGE[:, ord("a") : ord("z") + 1] = 0
 for _row, _map in zip(_EDGE, (_FIRST, _LAST)):
     for _c, _v in _map.items():
         _row[_c] = _v
+_FUNCTION_WORDS = frozenset(COMMON)
 _COMMON_HASHES = np.sort(words([boilerplate.fold(w) for w in dict.fromkeys(COMMON)])[0])
+_COMMON_BITS = np.zeros(1 << 16, bool)
+_COMMON_BITS[_COMMON_HASHES.astype(np.uint16)] = True
 
 
 class Lines:
@@ -88,8 +93,7 @@ class Lines:
         kind = _KIND[blob]
 
         def count(flags: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(flags)])
-            return total[at[1:]] - total[at[:-1]]
+            return np.add.reduceat(flags, at[:-1], dtype=np.int64) if n else np.zeros(0, np.int64)
 
         self.letters, self.digits, self.symbols = count(kind == _LETTER), count(kind == _DIGIT), count(kind == _SYMBOL)
         self.chars = at[1:] - at[:-1] - 1
@@ -97,15 +101,15 @@ class Lines:
         hashes, offsets = words(lines)
         self.words = np.diff(offsets)
         line_of = np.repeat(np.arange(n), self.words)
-        common = _COMMON_HASHES[np.minimum(np.searchsorted(_COMMON_HASHES, hashes), len(_COMMON_HASHES) - 1)] == hashes
+        maybe = np.flatnonzero(_COMMON_BITS[hashes.astype(np.uint16)])
+        common = maybe[_COMMON_HASHES[np.minimum(np.searchsorted(_COMMON_HASHES, hashes[maybe]), len(_COMMON_HASHES) - 1)] == hashes[maybe]]
         self.common = np.bincount(line_of[common], minlength=n)
         alnum = kind <= _DIGIT
         edge = np.flatnonzero(np.diff(np.concatenate([[False], alnum, [False]]).astype(np.int8)))
         longest = np.zeros(n, np.int64)
-        if len(edge):
-            of = np.searchsorted(at, edge[0::2], "right") - 1
-            first_of = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            longest[of[first_of]] = np.maximum.reduceat(edge[1::2] - edge[0::2], first_of)
+        if len(edge):  # these runs are the words
+            some = np.flatnonzero(self.words)
+            longest[some] = np.maximum.reduceat(edge[1::2] - edge[0::2], offsets[some])
         separator = _SEPARATOR[blob]
         gap = np.zeros(len(blob), bool)
         gap[2:] = (kind[2:] != _SPACE) & (blob[1:-1] == 32) & (blob[:-2] == 32)
@@ -116,9 +120,9 @@ class Lines:
             owner = self.doc[line_of]
             ok = owner[:-2] == owner[2:]
             key = w[ok] ^ (owner[:-2][ok].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(key, kind="stable")
+            by = order(key)
             seen = np.zeros(len(key), bool)
-            seen[order[1:]] = key[order][1:] == key[order][:-1]
+            seen[by[1:]] = key[by[1:]] == key[by[:-1]]
             where = line_of[:-2][ok]
             self.triples, self.repeats = np.bincount(where, minlength=n), np.bincount(where[seen], minlength=n)
         stripped = [x.strip() or b" " for x in lines]
@@ -176,23 +180,33 @@ class Model:
         if not n:
             return np.zeros(0, np.int64)
         length = np.diff(np.append(x.starts, n))
-        order = np.argsort(-length, kind="stable")
-        start, length = x.starts[order], length[order]
-        back = np.zeros((n, len(_LABEL)), np.int8)
-        best = e.copy()
-        best[start] += self.first
-        for t in range(1, length[0]):
-            at = start[: np.searchsorted(-length, -t, "left")] + t  # documents longer than t lines
-            via = best[at - 1][:, None, :] + move[None]
+        by = np.argsort(-length, kind="stable")
+        start, length = x.starts[by], length[by]
+        longer = np.searchsorted(-length, -np.arange(length[0]), "left")  # documents longer than t lines
+        begin = np.concatenate([[0], np.cumsum(longer)])
+        # first lines first, then second ones, ...: each step reads and writes a slice
+        at = np.concatenate([start[:m] + t for t, m in enumerate(longer)])
+        k = len(_LABEL)
+        back = np.zeros((n, k), np.int8)
+        best = e[at]
+        best[: longer[0]] += self.first
+        most = longer[1] if len(longer) > 1 else 0
+        via_, row = np.empty((most, k, k), np.float32), np.arange(most * k) * k
+        for t, m in enumerate(longer[1:], 1):
+            via, here = via_[:m], slice(begin[t], begin[t + 1])
+            np.add(best[begin[t - 1] : begin[t - 1] + m, None, :], move, out=via)
             came = via.argmax(2)
-            back[at] = came
-            best[at] += np.take_along_axis(via, came[:, :, None], 2)[:, :, 0]
+            back[here] = came
+            best[here] += via.reshape(-1)[row[: m * k] + came.reshape(-1)].reshape(m, k)
         state = np.zeros(n, np.int64)
-        state[start + length - 1] = best[start + length - 1].argmax(1)
+        last = begin[length - 1] + np.arange(len(length))
+        state[last] = best[last].argmax(1)
         for t in range(length[0] - 1, 0, -1):
-            at = start[: np.searchsorted(-length, -t, "left")] + t
-            state[at - 1] = back[at, state[at]]
-        return state
+            here = np.arange(begin[t], begin[t + 1])
+            state[begin[t - 1] : begin[t - 1] + len(here)] = back[here, state[here]]
+        out = np.empty(n, np.int64)
+        out[at] = state
+        return out
 
     def fit(self, x: Lines, states: np.ndarray) -> None:
         k = len(_LABEL)
@@ -291,7 +305,7 @@ def made_up(pool: set[str], sentences: set[str], n: int = 12, seed: int = 7) ->
 def excerpts(text: str, n_words: int = 12) -> tuple[list[str], list[str]]:
     """Some words and a sentence of a text: a bounded share of any."""
     rng = random.Random(len(text))
-    words_ = sorted({w for w in text.split() if w.isalpha() and 3 < len(w) < 30 and w.lower() not in COMMON})
+    words_ = sorted({w for w in text.split() if w.isalpha() and 3 < len(w) < 30 and w.lower() not in _FUNCTION_WORDS})
     sentences = [x.strip() for x in text.replace("\n", " ").split(". ") if 5 <= len(x.split()) <= 30 and len(x) < 300]
     return rng.sample(words_, min(n_words, len(words_))), rng.sample(sentences, min(1, len(sentences)))
 
@@ -311,16 +325,17 @@ def train(x: Lines, label_of_doc: np.ndarray, sure: np.ndarray | None = None, ro
 def _body(texts: list[bytes], marks: list, frames: boilerplate.Frames | None) -> Lines:
     """Lines outside the frame. marks: whether each text is from the web, or (without frames) its frame line numbers."""
     if frames is None:
-        dropped = {(d, n) for d, m in enumerate(marks) for n in m or ()}
+        dropped = [set(m or ()) for m in marks]
     else:
         s = boilerplate.Stream(texts)
         keep = frames.lines(s, np.array(marks, bool), *boilerplate.SHARES)
-        dropped = set(zip(s.doc[s.begin[keep]].tolist(), s.line[s.begin[keep]].tolist()))
+        dropped = [set() for _ in texts]
+        for d, n in zip(s.doc[s.begin[keep]].tolist(), s.line[s.begin[keep]].tolist()):
+            dropped[d].add(n)
     lines, doc = [], []
     for d, t in enumerate(texts):
-        filled = [(n, line) for n, line in enumerate(t.split(b"\n"), 1) if line and not line.isspace()]
-        body = [line for n, line in filled if (d, n) not in dropped]
-        if any(len(line) > _LONG for line in body):  # a paragraph on one line is read sentence by sentence
+        body = [line for n, line in enumerate(t.split(b"\n"), 1) if line and n not in dropped[d] and not line.isspace()]
+        if len(t) > _LONG and max(map(len, body), default=0) > _LONG:  # a paragraph on one line is read sentence by sentence
             body = [x for line in body for x in (line.replace(b". ", b".\n").split(b"\n") if len(line) > _LONG else (line,)) if x and not x.isspace()]
         lines += body
         doc += [d] * len(body)
@@ -330,12 +345,26 @@ def _body(texts: list[bytes], marks: list, frames: boilerplate.Frames | None) ->
 _SCHEMA = "doc_id long, n_chars long, n_words long, mean_word_length double, symbol_ratio double, end_punctuation_share double, common_word_share double, n_body_lines long, prose_share double, list_share double, table_share double, junk_share double"
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[Iterator[tuple]]:
+    """The columns of rows whose texts, which come second, are bounded in total."""
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in names)):
+            held.append(row)
+            size += len(row[1] or "")
+            if size >= _CHUNK:
+                yield zip(*held)
+                held, size = [], 0
+    if held:
+        yield zip(*held)
+
+
 def _rate(model_, repeats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frames = model_.value, repeats and boilerplate.Frames(repeats.value)
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
 
-        def rows(ids: list, texts: list[bytes], marks: list, sizes: list[int]) -> pa.RecordBatch:
+        def rows(ids: tuple, texts: list[bytes], marks: tuple, sizes: list[int]) -> pa.RecordBatch:
             x = _body(texts, marks, frames)
             state = _LABEL[model.path(x)]
             n = len(ids)
@@ -349,19 +378,8 @@ def _rate(model_, repeats):
             out = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(words_.astype(np.int64)), pa.array(over(total(x.letters + x.digits), words_)), pa.array(over(total(x.symbols), filled)), pa.array(over(total(x.last == 1), lines)), pa.array(over(total(x.common), words_)), pa.array(lines.astype(np.int64))]
             return pa.RecordBatch.from_arrays([*out, *(pa.array(over(s, filled), mask=empty) for s in shares)], names)
 
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        size = 0
-        for b in batches:
-            for i, t, mark in zip(*(c.to_pylist() for c in b.columns)):
-                t = t or ""
-                for part, v in zip(held, (i, boilerplate.fold(t), mark, len(t.strip()))):
-                    part.append(v)
-                size += len(t)
-                if size >= 600_000:
-                    yield rows(*held)
-                    held, size = ([], [], [], []), 0
-        if held[0]:
-            yield rows(*held)
+        for ids, texts, marks in _chunks(batches, ("doc_id", "text", "mark")):
+            yield rows(ids, [boilerplate.fold(t or "") for t in texts], marks, [len((t or "").strip()) for t in texts])
 
     return run
 
@@ -380,12 +398,12 @@ def _line_statistics(repeats):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = repeats and boilerplate.Frames(repeats.value)
-        for b in batches:
-            out = []
-            for i, t, mark, label in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "mark", "label"))):
-                x = _body([boilerplate.fold(t or "")], [mark], frames)
-                out.append((i, label, x.bins.astype(np.uint8).tobytes(), x.filled.astype(np.int32).tobytes(), *excerpts(t or "")))
-            columns = list(zip(*out)) if out else [()] * 6
+        for ids, texts, marks, labels in _chunks(batches, ("doc_id", "text", "mark", "label")):
+            x = _body([boilerplate.fold(t or "") for t in texts], marks, frames)
+            cuts = np.searchsorted(x.doc, np.arange(len(texts) + 1))
+            bins, filled = x.bins.astype(np.uint8), x.filled.astype(np.int32)
+            parts = [(bins[a:e].tobytes(), filled[a:e].tobytes()) for a, e in zip(cuts[:-1], cuts[1:])]
+            columns = [ids, labels, *zip(*parts), *zip(*(excerpts(t or "") for t in texts))]
             kinds_ = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_)], ["doc_id", "label", "bins", "filled", "words", "sentences"])
 

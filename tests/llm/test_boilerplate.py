@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import numpy as np
 from conftest import SF2
@@ -112,3 +113,23 @@ def test_a_path_in_the_joined_way(spark):
     texts = spark.createDataFrame([("t", 3, True, path.decode()), ("t", 1, True, path.decode()), ("t", 1, True, "home > visit us\nno frame words"), ("t", 2, True, "nothing of the kind")], "record_table string, record_id long, web boolean, text string")
     one, many = (sorted(map(tuple, boilerplate.frame_lines(texts, repeats, bound=k).collect())) for k in (1000, 1))
     assert ("t", 3, 1) in many and one == many
+
+
+def test_folding_by_characters():
+    rng = random.Random(2)
+    odd = "éÅÃ©ﬁ½İKΣς\u0301\u0345\u00ad\x01\x7f\x85\u2028\ud800한中😀ǅ"
+    texts = ["".join(rng.choice(odd + "aZ 1.\n\t") for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["".join(map(chr, range(0x20, 0x600))), "".join(map(chr, range(0x4E00, 0x4F00)))]
+    for t in texts:
+        try:
+            mended = t.encode("latin-1").decode("utf-8") if set(t) & set("ÃÂâ") else t
+        except UnicodeError:
+            mended = t
+        whole = mended if t.isascii() else boilerplate.DROPPED.sub("", unicodedata.normalize("NFKD", mended))
+        assert boilerplate.fold(t) == whole.lower().encode("ascii", "replace"), t
+
+
+def test_order_of_hashes():
+    rng = np.random.default_rng(1)
+    few = rng.integers(0, 50, 1000).astype(np.uint64)  # differ in the low bits only
+    for h in (few, few << np.uint64(50), rng.integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2), few[:1], few[:0]):
+        assert (boilerplate.order(h) == np.argsort(h, kind="stable")).all()
