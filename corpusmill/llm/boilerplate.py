@@ -262,8 +262,8 @@ _COUNTS = "host string, h long, pages long, exact boolean, first long, last long
 def _counted(least: int, exact_share: float):
     """Counts of the pages of a (host, parts, part), chunk by chunk.
 
-    Only a host that is one chunk is held to the least numbers here; otherwise all counts come out,
-    and a row without h has the number of pages.
+    Only a host that is one chunk is held to the least numbers here, and its rows need no name; otherwise
+    all counts come out, and a row without h has the number of pages.
     """
 
     def rows(host: str, texts: list[bytes], whole: bool) -> pa.RecordBatch:
@@ -271,7 +271,7 @@ def _counted(least: int, exact_share: float):
         columns = [pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for v in found.values()]
         if not whole:
             columns = [pa.concat_arrays([c, pa.array([x], c.type)]) for c, x in zip(columns, (None, len(texts), False, 0, 0))]
-        return pa.RecordBatch.from_arrays([pa.array([host] * len(columns[0]), pa.string()), *columns], ["host", *found])
+        return pa.RecordBatch.from_arrays([pa.array([None if whole else host] * len(columns[0]), pa.string()), *columns], ["host", *found])
 
     def of_group(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, whole = key[0].as_py(), key[1].as_py() == 1
@@ -360,12 +360,13 @@ def frame_repeats(documents: DataFrame, *, pages_per_part: int = 2000, least_in_
     pages = web.mapInArrow(_pages, "host string, page binary").join(F.broadcast(parts), "host", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     placed = pages.select("host", "parts", F.pmod(F.xxhash64("page"), F.col("parts")).cast("int").alias("part"), "page")
     found = materialise(placed.groupBy("host", "parts", "part").applyInArrow(_counted(least_in_host, own_share), _COUNTS), "counts")
-    # hosts that are one chunk have no row without h: they are through with the least numbers
+    # hosts that are one chunk are through with the least numbers: their rows have no host and are not grouped by it
     cut = found.where("h is null").groupBy("host").agg(F.sum("pages").alias("of"))
     key = ["h", "exact", "first", "last"]
-    sums = found.where("h is not null").groupBy("host", *key).agg(F.sum("pages").alias("pages")).join(F.broadcast(cut), "host", "left")
-    least = F.when(F.col("exact"), F.greatest(F.lit(float(least_in_host)), own_share * F.coalesce("of", F.lit(0)))).otherwise(float(least_in_host))
-    counts = materialise(sums.where(F.col("pages") >= least).groupBy("h", "first", "last").agg(F.sum("pages").alias("web")).where(F.col("web") >= least_pages), "web")
+    sums = found.where("h is not null and host is not null").groupBy("host", *key).agg(F.sum("pages").alias("pages")).join(F.broadcast(cut), "host", "left")
+    least = F.when(F.col("exact"), F.greatest(F.lit(float(least_in_host)), own_share * F.col("of"))).otherwise(float(least_in_host))
+    enough = sums.where(F.col("pages") >= least).select("h", "first", "last", "pages").unionByName(found.where("host is null").select("h", "first", "last", "pages"))
+    counts = materialise(enough.groupBy("h", "first", "last").agg(F.sum("pages").alias("web")).where(F.col("web") >= least_pages), "web")
     short = counts.where("first = 0").groupBy("h").agg(F.sum("web").alias("web"))
     shared = spark.sparkContext.broadcast(bitmap(short, "h", _FILTER))
     plain = plain.select(F.xxhash64("text").alias("digest"), "text")
