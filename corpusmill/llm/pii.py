@@ -32,11 +32,13 @@ from __future__ import annotations
 
 import bisect
 import re
+import string
 import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +55,13 @@ _K = len(LABELS)
 _L = r"[^\W\d_]|[̀-ͯ\u0080-¿]"
 _UP = r"[A-ZÀ-ÖØ-Þ]"
 _W = rf"(?:{_L})"
-_WORD = rf"{_UP}(?:{_L}|['’](?!s\b)(?=[^\W\d_]))*"
+#: what follows a capital; plain letters first, as one row, since nothing that follows a word begins with one
+_TAIL = rf"[a-z]*+(?:{_L}|['’](?!s\b)(?=[^\W\d_]))*"
+_WORD = rf"{_UP}{_TAIL}"
 _NAMEWORD = rf"{_WORD}(?:-{_WORD})*"
 _GAP = r"(?:[  ]|, ?|\n|\r\n)"
 #: the lookbehind stands after the first character: so the search can skip to capitals
-RUN = re.compile(rf"{_UP}(?<![\w@.+'’-]{_UP})(?:\.|(?:{_L}|['’](?!s\b)(?=[^\W\d_]))*(?:-{_WORD})*(?!\w))(?:{_GAP}(?:{_UP}\.|{_NAMEWORD}(?![\w@])))+")
+RUN = re.compile(rf"{_UP}(?<![\w@.+'’-]{_UP})(?:\.|{_TAIL}(?:-{_WORD})*(?!\w))(?:{_GAP}(?:{_UP}\.|{_NAMEWORD}(?![\w@])))+")
 PART = re.compile(rf"{_UP}\.(?!\w)|{_NAMEWORD}")
 LOWER_RUN = re.compile(r"(?<![\w@.+-])[^\W\d_][^\W\d_'’-]*(?:-[^\W\d_]+)*(?:(?: |, )(?:[^\W\d_]\.|[^\W\d_][^\W\d_'’-]*(?:-[^\W\d_]+)*(?![\w@])))+")
 LOWER_PART = re.compile(r"[^\W\d_]\.(?!\w)|[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -65,7 +69,10 @@ LOWER_PART = re.compile(r"[^\W\d_]\.(?!\w)|[^\W\d_]+(?:-[^\W\d_]+)*")
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}]\s?| dot )"
 _AT = r"(?:\s?@\s?|\s?[\[({]\s?(?:at|arroba)\s?[\])}]\s?|&#64;|%40|＠| at (?=[\w-]+ dot ))"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w+-]*(?:\.[\w+-]+)*{_AT}[A-Za-z0-9][\w-]*(?:{_DOT}[A-Za-z0-9][\w-]*)+", re.I)
-_EMAIL_HINTS = ("@", "＠", "(at", "[at", "{at", "( at", "[ at", "arroba", "&#64;", "%40", " dot ")
+#: the sign or word between mailbox and domain, which starts right behind the mailbox or a blank further on; the worded one is rare
+_AT_SIGN = re.compile(r"[@＠\[({&%](?:(?<=[@＠])|(?<=[\[({])\s?(?:at|arroba)\s?[\])}]|(?<=&)#64;|(?<=%)40)", re.I)
+_AT_WORD = re.compile(r" at (?=[\w-]+ dot )", re.I)
+_EMAIL_HINTS = ("@", "＠", "(at", "[at", "{at", "( at", "[ at", "arroba", "&#64;", "%40", " dot ", "(AT", "[AT")
 
 _X = rf"(?:{_L}|[\d'’-])"
 #: house number, street name, kind of street, unit; a unit may also stand before
@@ -80,35 +87,61 @@ _STREET_ENDS = ("straße", "strasse", "stra\x9fe", "straã\x9fe", "str.", "weg",
 _PLACE_ENDS = ("graben", "berg", "ufer", "markt", "tor", "hang", "park", "bach", "see")
 _STREET_WORD = re.compile(rf"(?<!\w){_W}{_X}{{5,}}\.?$")
 _PLACE_WORDS = re.compile(rf"(?<!\w)(?:am|an der|zum) {_W}{_X}+$", re.I)
-#: other orders, each tried only where one of its words stands
-OTHER_STREETS = [
-    (("rue", "chemin", "boulevard", "bd ", "avenue", "impasse", "quai", "place", "all", "cours"), re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,3}}(?: (?:bis|ter|quater))?,? (?:rue|chemin|boulevard|bd|avenue|impasse|quai|place|allée|allÃ©e|cours) (?:de la |de l['’]|du |des |de |d['’])?{_W}{_X}*(?:, (?:\d+e étage|b[âa]t\.? \w+|appt\.? \w+))?", re.I)),
-    (("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "ronda"), re.compile(rf"(?<!\w)(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|ronda)(?: (?:de las|de los|de la|del|de))? {_W}{_X}+(?: {_W}{_X}+)?,? (?:n\.º ?|nº ?|n\.Âº ?|n\.o ?)?\d{{1,4}}(?:, (?:\d+\.(?:º|Âº|o)(?: [a-z](?!\w))?|bajo|ático|Ã¡tico))?", re.I)),
-]
+#: other orders, each only where one of its words stands
+_NUMBER_STREET = (("rue", "chemin", "boulevard", "bd ", "avenue", "impasse", "quai", "place", "all", "cours"), re.compile(rf"\d(?<![\w.,/-]\d)\d{{0,3}}(?: (?:bis|ter|quater))?,? (?:rue|chemin|boulevard|bd|avenue|impasse|quai|place|allée|allÃ©e|cours) (?:de la |de l['’]|du |des |de |d['’])?{_W}{_X}*(?:, (?:\d+e étage|b[âa]t\.? \w+|appt\.? \w+))?", re.I))
+_STREET_NUMBER = (("calle", "c/", "avenida", "avda", "av.", "plaza", "paseo", "camino", "ronda"), re.compile(rf"(?<!\w)(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|camino|ronda)(?: (?:de las|de los|de la|del|de))? {_W}{_X}+(?: {_W}{_X}+)?,? (?:n\.º ?|nº ?|n\.Âº ?|n\.o ?)?\d{{1,4}}(?:, (?:\d+\.(?:º|Âº|o)(?: [a-z](?!\w))?|bajo|ático|Ã¡tico))?", re.I))
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def digit_groups(text: str) -> list[tuple[int, int]]:
+    """Spans of the rows of digits: found once, where each pattern would look through the text for itself."""
+    return [m.span() for m in _DIGITS.finditer(text)]
 
 
-def addresses(text: str) -> Iterator[tuple[int, int]]:
-    for m in HOUSE_FIRST.finditer(text):
-        before = _UNIT_BEFORE.search(text, max(0, m.start() - 16), m.start())
-        yield before.start() if before else m.start(), m.end()
+def addresses(text: str, groups: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
+    """Spans of address candidates; groups are the text's digit_groups."""
+    groups = digit_groups(text) if groups is None else groups
+    past = 0
+    for a, e in groups:
+        # a letter may stand behind the number, then a blank and a word
+        blank = text.find(" ", e, e + 2)
+        if blank >= 0 and text[blank + 1 : blank + 2] > "9" and e - a < 6 and a >= past and (m := HOUSE_FIRST.match(text, a)):
+            past = m.end()
+            before = _UNIT_BEFORE.search(text, max(0, a - 16), a)
+            yield before.start() if before else a, past
     lower = text.lower()
     if len(lower) == len(text):
-        for m in _HOUSE_LAST.finditer(text):
-            a = m.start()
-            word = None
+        for g, e in groups:
+            a = g - 1
+            if a < 0 or e - g > 4 or text[a] != " ":
+                continue
             if lower.endswith(_STREET_ENDS, max(0, a - 10), a):
-                word = _STREET_WORD.search(text, max(0, a - 40), a)
+                pattern = _STREET_WORD
             elif lower.endswith(_PLACE_ENDS, max(0, a - 10), a):
-                word = _PLACE_WORDS.search(text, max(0, a - 40), a)
+                pattern = _PLACE_WORDS
+            else:
+                continue
+            m = _HOUSE_LAST.match(text, a)
+            word = m and pattern.search(text, max(0, a - 40), a)
             if word:
                 yield word.start(), m.end()
-    for hints, pattern in OTHER_STREETS:
-        if any(h in lower for h in hints):
+    hints, pattern = _NUMBER_STREET
+    past = 0
+    for a, e in groups:
+        blank = text.find(" ", e, e + 2)
+        if blank >= 0 and text[blank + 1 : blank + 2] > "9" and e - a < 5 and a >= past and (m := pattern.match(text, a)) and any(h in lower for h in hints):
+            past = m.end()
+            yield a, past
+    hints, pattern = _STREET_NUMBER
+    for h in hints:
+        if h in lower:
             for m in pattern.finditer(text):
                 yield m.span()
+            break
 
 
-_STREET_HINT = re.compile(r"\d")
 _CAPITAL = re.compile(r"[A-ZÀ-Þ]")
 
 #: a number as it may be written: groups of digits with single separators, country code, brackets, extension
@@ -116,9 +149,10 @@ NUMBER = re.compile(
     r"(?<![\w@#/+.-])(?:(?:\(\+\d{1,3}\)|\+\d{1,3})[  .-]?)?(?:\(\d{2,4}\)[  .-]?)?[A-Z]{0,2}-?\d+(?:[  .-](?:\(\d+\)|\d+))*(?:-?[A-Z](?!\w))?(?:,? ?(?:ext\.?|extension|x|Durchwahl|poste) ?\d{1,5})?(?![\w@/])"
 )
 _DATE = re.compile(r"(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d|(?:19|20)\d\d")
-_PHONE_CUE = re.compile(r"(?:tel|tél|phone|telefon|telefono|teléfono|téléphone|fax|voice|ring|call|dial|text me|cell|mobile|mobil|rückruf|anruf|appelez|llame|móvil|\bt)\W*(?:\w+\W+){0,2}$", re.I)
-_ID_CUE = re.compile(r"(?:ssn|social security|social insurance|passport|passeport|pasaporte|reisepass|student (?:no|number|id)|matriculation|matrikel\w*|tax|steuer-?id\w*|steuernummer|dni|nie|nif|\bid|national id\w*|numéro|sécurité sociale)\W*(?:(?:no|nr|number|num|id)\b\W*)?$", re.I)
-_NOT_CUE = re.compile(r"(?:invoice|order|version|isbn|ticket|room|page|form|code|rechnung|facture|factura|seite|página|serial|request)\W*#?$", re.I)
+#: the lookahead spares most characters the list of words
+_PHONE_CUE = re.compile(r"(?=[tpfvrcdmal])(?:tel|tél|phone|telefon|telefono|teléfono|téléphone|fax|voice|ring|call|dial|text me|cell|mobile|mobil|rückruf|anruf|appelez|llame|móvil|\bt)\W*(?:\w+\W+){0,2}$", re.I)
+_ID_CUE = re.compile(r"(?=[sprmtdni])(?:ssn|social security|social insurance|passport|passeport|pasaporte|reisepass|student (?:no|number|id)|matriculation|matrikel\w*|tax|steuer-?id\w*|steuernummer|dni|nie|nif|\bid|national id\w*|numéro|sécurité sociale)\W*(?:(?:no|nr|number|num|id)\b\W*)?$", re.I)
+_NOT_CUE = re.compile(r"(?=[iovtrpfcs])(?:invoice|order|version|isbn|ticket|room|page|form|code|rechnung|facture|factura|seite|página|serial|request)\W*#?$", re.I)
 _FORMS = [
     (re.compile(p), phone, idnum)
     for p, phone, idnum in (
@@ -189,7 +223,36 @@ def _local_words(email: str) -> list[str]:
 
 
 def emails(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in EMAIL.finditer(text)] if any(h in text for h in _EMAIL_HINTS) or "(AT" in text or "[AT" in text else []
+    """Spans of e-mail candidates: EMAIL, tried only where a mailbox stands before a sign."""
+    for h in _EMAIL_HINTS:
+        if h in text:
+            break
+    else:
+        return []
+    ends = [m.start() for m in _AT_SIGN.finditer(text)]
+    if " dot " in text.lower():
+        at = _AT_WORD.search(text)
+        while at:  # two of them may share a blank
+            ends.append(at.start())
+            at = _AT_WORD.search(text, at.start() + 1)
+        ends.sort()
+    out, past = [], 0
+    for e in ends:
+        a = e - 1 if e and text[e - 1].isspace() else e
+        # a mailbox is all of its characters before the sign, since none may stand before it
+        while a and ((c := text[a - 1]).isalnum() or c in "_.+-"):
+            a -= 1
+        if a >= past and (m := EMAIL.match(text, a)):
+            out.append(m.span())
+            past = m.end()
+    return out
+
+
+@lru_cache(1 << 14)
+def _run_types(run: str) -> list[str]:
+    """The word types that a run counts for."""
+    tokens = PART.findall(run)
+    return [p for token, after in zip(tokens, [*tokens[1:], ""]) if len(token) > 2 and folded(after) not in _AFTER for p in _pieces(token) if len(p) > 2]
 
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +269,7 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for mail in seen_mails:
             mails.update(_local_words(mail))
         for run in seen_runs:
-            tokens = PART.findall(run)
-            for token, after in zip(tokens, [*tokens[1:], ""]):
-                if len(token) > 2 and folded(after) not in _AFTER:
-                    runs.update(p for p in _pieces(token) if len(p) > 2)
+            runs.update(_run_types(run))
         types = list({**runs, **mails})
         yield pa.RecordBatch.from_arrays([pa.array(types, pa.string()), pa.array([runs[x] for x in types], pa.int64()), pa.array([mails[x] for x in types], pa.int64())], ["type", "runs", "mails"])
 
@@ -220,6 +280,15 @@ def word_types(documents: DataFrame) -> DataFrame:
     return counted.groupBy("type").agg(F.sum("runs").alias("runs"), F.sum("mails").alias("mails")).where("runs > 0")
 
 
+#: start and end in the run, word, initial, score, whether addresses hold all its pieces, whether the score says anything, keys
+_Part = tuple[int, int, str, bool, float, bool, bool, tuple[str, ...]]
+
+
+def _promising(parts: list[_Part]) -> bool:
+    """One of the words may be of a name, or a title stands before one."""
+    return any(p[4] > -2.0 and not p[3] for p in parts) or any(folded(p[2]) in _TITLES for p in parts[:-1])
+
+
 class Lexicon:
     """Log-odds that a word type is a name: affixes, fitted to `types`, and exact counts.
 
@@ -247,6 +316,7 @@ class Lexicon:
                 self.bias += 0.5 * g.sum() / weight.sum()
         self.known = {t: (r, m) for t, r, m in types} if known is None else known
         self.cache: dict[str, tuple[float, bool, bool]] = {}
+        self.runs: dict[str, tuple[list[_Part], bool]] = {}
 
     def _features(self, word: str) -> np.ndarray:
         found = [f"{k}{word[:k]}<" for k in (3, 4, 5) if len(word) > k] + [f">{word[-k:]}" for k in (3, 4, 5) if len(word) > k]
@@ -271,15 +341,33 @@ class Lexicon:
             self.cache[token] = (score, score > 0 and all(self.known.get(p, (0, 0))[1] > 0 for p in pieces), told[scores.index(score)])
         return self.cache[token]
 
+    def parts(self, run: str, lower: bool) -> tuple[list[_Part], bool]:
+        """The words and initials of a run, and whether they alone make a name possible. Runs repeat, so short ones are kept for a while."""
+        held = self.runs.get(run)
+        if held is None:
+            parts = []
+            for p in (LOWER_PART if lower else PART).finditer(run):
+                word = p.group()
+                initial = len(word) == 2 and word[1] == "."
+                score, exact, told = (0.0, False, True) if initial else self(word)
+                parts.append((p.start(), p.end(), word, initial, score, exact, told, () if initial else _keys(word)))
+            held = parts, _promising(parts)
+            if len(run) < 80:
+                if len(self.runs) >= 1 << 14:
+                    self.runs.clear()
+                self.runs[run] = held
+        return held
+
     def with_counts(self, known: dict[str, tuple[int, int]]) -> "Lexicon":
         out = object.__new__(Lexicon)
-        out.__dict__ = self.__dict__ | {"known": known, "cache": {}}
+        out.__dict__ = self.__dict__ | {"known": known, "cache": {}, "runs": {}}
         return out
 
     def __getstate__(self):
-        return self.__dict__ | {"cache": {}}
+        return self.__dict__ | {"cache": {}, "runs": {}}
 
 
+@lru_cache(1 << 16)
 def hash_(text: str) -> int:
     h = 1469598103934665603
     for c in text.encode():
@@ -310,29 +398,45 @@ class Token:
 
 
 _WORD_LABELS = (_O, _B, _I)
-_DOTTED = tuple(f"{t.capitalize()}. " for t in sorted(_TITLES))  # without a dot, title and word are a run
-_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(t) for t in _DOTTED)})({_NAMEWORD})(?![\w@-])(?! {_UP})")
+_DOTTED_TITLES = tuple(f"{t.capitalize()}. " for t in sorted(_TITLES))  # without a dot, title and word are a run
+_DOTTED = re.compile(rf"[{''.join(sorted({t[0] for t in _DOTTED_TITLES}))}](?:{'|'.join(re.escape(t[1:]) for t in _DOTTED_TITLES)})")
+_TITLED = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(t) for t in _DOTTED_TITLES)})({_NAMEWORD})(?![\w@-])(?! {_UP})")
 
 
-def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[list[Token]]:
-    """Tokens of the runs of capitalised words; in a text without capitals, of words that addresses hold."""
-    out: list[list[Token]] = []
+def _runs(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> list[tuple[int, list[_Part], bool]]:
+    """Runs of capitalised words (start, parts, whether they are promising); in a text without capitals, of words that addresses hold."""
+    out: list[tuple[int, list[_Part], bool]] = []
     lower = text.islower()
-    run, part = (LOWER_RUN, LOWER_PART) if lower else (RUN, PART)
-    for m in run.finditer(text):
-        base, tokens = m.start(), []
-        for p in part.finditer(m.group()):
-            a, e, word = base + p.start(), base + p.end(), p.group()
-            initial = len(word) == 2 and word[1] == "."
-            score, exact, told = (0.0, False, True) if initial else lexicon(word)
-            if (taken and any(x < e and a < y for x, y in taken)) or (lower and not initial and not exact):
-                if len(tokens) > 1:
-                    out.append(tokens)
-                tokens = []
-                continue
-            tokens.append(Token(a, e, word, _WORD_LABELS, 0, initial, score, told))
-        if len(tokens) > 1:
-            out.append(tokens)
+    taken = sorted(taken)  # these do not overlap, so their ends are sorted too
+    ends = [y for _, y in taken]
+    for m in (LOWER_RUN if lower else RUN).finditer(text):
+        base, end = m.span()
+        parts, promising = lexicon.parts(m.group(), lower)
+        i = bisect.bisect_right(ends, base)
+        met = i < len(taken) and taken[i][0] < end
+        if not met and not lower:
+            if len(parts) > 1:
+                out.append((base, parts, promising))
+            continue
+        held: list[_Part] = []
+        for p in [*parts, None]:
+            if p is not None and (not lower or p[3] or p[5]):
+                i = bisect.bisect_right(ends, base + p[0]) if met else len(taken)
+                if i == len(taken) or taken[i][0] >= base + p[1]:
+                    held.append(p)
+                    continue
+            if len(held) > 1:
+                out.append((base, held, _promising(held)))
+            held = []
+    return out
+
+
+def _nodes(base: int, parts: list[_Part]) -> list[Token]:
+    out = []
+    for a, e, word, initial, score, _, told, keys in parts:
+        t = Token(base + a, base + e, word, _WORD_LABELS, 0, initial, score, told)
+        t.keys = keys
+        out.append(t)
     return out
 
 
@@ -343,22 +447,16 @@ def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> li
     """
     runs = _runs(text, lexicon, taken)
     hopeful, rest, shared = [], [], set()
-    for tokens in runs:
-        best = -9.0
-        for t in tokens:
-            if not t.initial and t.score > best:
-                best = t.score
-        if best > -2.0 or any(folded(t.text) in _TITLES for t in tokens[:-1]) or _word_before(text, tokens[0].a) in _TITLES:
-            hopeful.append(tokens)
-            for t in tokens:
-                if not t.initial:
-                    t.keys = _keys(t.text)
-                    shared.update(t.keys)
+    for base, parts, promising in runs:
+        if promising or _word_before(text, base + parts[0][0]) in _TITLES:
+            hopeful.append(_nodes(base, parts))
+            for p in parts:
+                shared.update(p[7])
         else:
-            rest.append(tokens)
+            rest.append((base, parts))
     lone = []
-    if any(t in text for t in _DOTTED):
-        spans = [(t.a, t.e) for tokens in runs for t in tokens] + taken
+    if _DOTTED.search(text):
+        spans = [(base + p[0], base + p[1]) for base, parts, _ in runs for p in parts] + taken
         for m in _TITLED.finditer(text):
             a, e = m.span(1)
             if folded(m.group(1)) not in _AFTER and not any(x < e and a < y for x, y in spans):
@@ -367,11 +465,8 @@ def word_tokens(text: str, lexicon: Lexicon, taken: list[tuple[int, int]]) -> li
                 t.keys = _keys(t.text)
                 lone.append([t])
                 shared.update(t.keys)
-    for tokens in rest if shared else ():
-        if not all(shared.isdisjoint(_keys(t.text)) for t in tokens if not t.initial):
-            hopeful.append(tokens)
-            for t in tokens:
-                t.keys = () if t.initial else _keys(t.text)
+    if shared:
+        hopeful += [_nodes(base, parts) for base, parts in rest if any(not shared.isdisjoint(p[7]) for p in parts)]
     out = sorted(hopeful + lone, key=lambda tokens: tokens[0].a)
     for i, tokens in enumerate(out):
         for t in tokens:
@@ -383,8 +478,19 @@ _LAST_WORD = re.compile(rf"({_W}+)\W{{1,2}}$")
 _NEXT_WORD = re.compile(rf" ({_W}+)")
 
 
+#: of the characters of ASCII those that are not of words
+_MARKS = "".join(c for c in map(chr, range(128)) if not (c.isalnum() or c == "_"))
+
+
 def _word_before(text: str, a: int) -> str:
-    m = _LAST_WORD.search(text, max(0, a - 24), a)
+    window = text[max(0, a - 24) : a]
+    if window.isascii():
+        # the same as the pattern: one or two marks, which a line end may follow
+        held = window.rstrip(_MARKS)
+        if not 0 < len(window) - len(held) < (4 if window[-1] == "\n" else 3):
+            return ""
+        return held[len(held.rstrip(string.ascii_letters)) :].lower()
+    m = _LAST_WORD.search(window)
     return folded(m.group(1)) if m else ""
 
 
@@ -431,20 +537,29 @@ def word_features(text: str, tokens: list[Token], fitting: bool = False) -> None
             far = words[i] in _TITLES
             form = (((initial[i + 1] * 5 + s0) * 2 + initial[i]) * 5 + s1) * 2 + initial[i + 2]
             (own, bin_), p, q = bins[i + 2], bins[i + 1][0], bins[i + 3][0]
-            found = [
-                hash(x) % _FEATURES
-                for x in (
-                    (1, 0), (2, form), (3, title, far, form), (4, place, s0, s1), (5, opens and not i, closes and i == n - 1, min(n, 5), own), (6, bin_), (7, bin_, n == 1), (8, p, s0, own), (9, own, s1, q), (10, p, s0, own, s1, q),
-                    (11, _code(cue) if p in _WEAK else 1), (12, _code(follow) if q in _WEAK else 1), (13, title, own, q, s1), (14, far, p, own, s0), (15, place, own), (16, lower, own), (17, q, bin_, s1, title), (18, p, bin_, s0, far),
-                    (19, bins[i][0], p, own), (20, p, own, _code(words[i + 2]) if own in (_FIRST_BIN, _FIRST_BIN + 1) else 0), (21, title == 2 or far, own, q, s1, p),
-                )
-            ]
+            word = words[i + 2] if own in (_FIRST_BIN, _FIRST_BIN + 1) else None
+            found = _word_hashes(
+                form, s0, s1, title, far, place, opens and not i, closes and i == n - 1, min(n, 5), lower, bins[i][0], p, own, bin_, q, cue if p in _WEAK else None, follow if q in _WEAK else None, word
+            )
             if blind:
                 t.blind = found
             else:
                 t.features = found
 
 
+@lru_cache(1 << 14)
+def _word_hashes(form, s0, s1, title, far, place, first, last, n, lower, pp, p, own, bin_, q, cue, follow, word) -> list[int]:
+    """The features of a word; the list is shared and must not be changed."""
+    return [
+        hash(x) % _FEATURES
+        for x in (
+            (1, 0), (2, form), (3, title, far, form), (4, place, s0, s1), (5, first, last, n, own), (6, bin_), (7, bin_, n == 1), (8, p, s0, own), (9, own, s1, q), (10, p, s0, own, s1, q),
+            (11, 1 if cue is None else _code(cue)), (12, 1 if follow is None else _code(follow)), (13, title, own, q, s1), (14, far, p, own, s0), (15, place, own), (16, lower, own), (17, q, bin_, s1, title), (18, p, bin_, s0, far),
+            (19, pp, p, own), (20, p, own, 0 if word is None else _code(word)), (21, title == 2 or far, own, q, s1, p),
+        )
+    ]
+
+
 def _separator(text: str, a: Token | None, b: Token | None) -> int:
     """0 none, 1 a blank, 2 a comma, 3 a line end; 4: next to each other in a contact block."""
     if a is None or b is None:
@@ -480,14 +595,15 @@ def tokens_of(text: str, lexicon: Lexicon, fitting: bool = False) -> tuple[list[
         t = Token(a, e, text[a:e], (_O, _EMAIL))
         t.features, t.keys = _indices(["mb", f"m{'@' in t.text}"]), ("@" + re.sub(r"\W", "", t.text).lower(),)
         out.append(t)
-    if _STREET_HINT.search(text):
-        for a, e in addresses(text):
+    groups = digit_groups(text)
+    if groups:
+        for a, e in addresses(text, groups):
             if not any(x < e and a < y for x, y in taken):
                 taken.append((a, e))
                 t = Token(a, e, text[a:e], (_O, _ADDRESS))
                 t.features, t.keys = _indices(["hb", f"hc{bool(_CAPITAL.search(t.text))}{text.islower()}"]), ("#" + folded(t.text),)
                 out.append(t)
-        for a, e in numbers(text, taken):
+        for a, e in numbers(text, taken, groups):
             taken.append((a, e))
             t = Token(a, e, text[a:e], (_O, _PHONE, _ID))
             number_features(text, t, fitting)
@@ -589,14 +705,26 @@ def _name_at(text: str, tokens: list, i: int, bonus: float) -> tuple[int, float]
     return end, total
 
 
-def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of number candidates."""
-    out = []
-    for m in NUMBER.finditer(text):
-        a, e = m.span()
-        digits = sum(c.isdigit() for c in m.group())
-        if 7 <= digits <= 18 and not _DATE.fullmatch(m.group()) and not any(x < e and a < y for x, y in taken):
-            out.append((a, e))
+def numbers(text: str, taken: list[tuple[int, int]], groups: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Spans of number candidates; groups are the text's digit_groups.
+
+    Brackets, a letter and an extension put at most 15 characters between two digits of a number, and at most
+    three stand before its first digit and after its last. So only stretches of seven digits or more are searched.
+    """
+    groups = digit_groups(text) if groups is None else groups
+    out, i = [], 0
+    while i < len(groups):
+        first, last = groups[i]
+        digits = last - first
+        i += 1
+        while i < len(groups) and groups[i][0] - last <= 16:
+            digits += groups[i][1] - groups[i][0]
+            last = groups[i][1]
+            i += 1
+        for m in NUMBER.finditer(text, max(0, first - 3), last + 16) if digits >= 7 else ():
+            a, e = m.span()
+            if e - a >= 7 and 7 <= sum(map(str.isdigit, m.group())) <= 18 and not _DATE.fullmatch(m.group()) and not any(x < e and a < y for x, y in taken):
+                out.append((a, e))
     return out
 
 
@@ -631,10 +759,10 @@ class Graph:
     def add(self, text: str, tokens: list[Token]) -> None:
         first = len(self.index)
         last: dict[str, int] = {}
+        self.index += [t.features for t in tokens]
+        self.blind += [t.blind or t.features for t in tokens]
+        self.allowed += [t.allowed for t in tokens]
         for i, t in enumerate(tokens, first):
-            self.index.append(t.features)
-            self.blind.append(t.blind or t.features)
-            self.allowed.append(t.allowed)
             if i > first:
                 kind = _separator(text, tokens[i - first - 1], t)
                 if kind:
@@ -648,11 +776,13 @@ class Graph:
     def arrays(self, blind: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(feature index, first feature of each token, mask of labels, edges)."""
         rows = self.blind if blind else self.index
-        mask = np.full((len(rows), _K), -1e3)
-        for labels in set(self.allowed):
-            mask[np.ix_([i for i, x in enumerate(self.allowed) if x == labels], labels)] = 0.0
+        kinds = {labels: i for i, labels in enumerate(dict.fromkeys(self.allowed))}
+        masks = np.full((len(kinds), _K), -1e3)
+        for labels, i in kinds.items():
+            masks[i, list(labels)] = 0.0
+        mask = masks[np.fromiter(map(kinds.__getitem__, self.allowed), np.int64, len(rows))]
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        index = np.fromiter((i for row in rows for i in row), np.int64, int(sizes.sum()))
+        index = np.array(list(chain.from_iterable(rows)), np.int64)
         return index, np.cumsum(sizes) - sizes, mask, np.array(self.edges, np.int64).reshape(-1, 3)
 
 
@@ -718,14 +848,15 @@ class Field:
         pot = np.exp(pot)
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))]).astype(np.int64)
         message = np.zeros((len(src), scores.shape[1]))
+        # every score is the first to be added to its cell, then the messages by edge
+        cells = np.concatenate([np.arange(scores.size), (dst[:, None] * scores.shape[1] + np.arange(scores.shape[1])).reshape(-1)])
         belief = scores.copy()
         for _ in range(rounds if len(src) else 0):
             cavity = belief[src] - message[back]
             cavity = np.exp(cavity - cavity.max(1, keepdims=True))
             new = np.log(np.einsum("ej,ejk->ek", cavity, pot) + 1e-300)
             message = 0.3 * message + 0.7 * (new - new.max(1, keepdims=True))
-            belief = scores.copy()
-            np.add.at(belief, dst, message)
+            belief = np.bincount(cells, np.concatenate([scores.reshape(-1), message.reshape(-1)])).reshape(scores.shape)
         belief -= belief.max(1, keepdims=True)
         return belief - np.log(np.exp(belief).sum(1, keepdims=True))
 

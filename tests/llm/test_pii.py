@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -30,6 +31,42 @@ def test_forms(tagger):
     }
 
 
+ODD = [
+    "ada.b@post.example, x@y.example@z.example (at) b_c [ AT ] d.example; é@ä.example e&#64;f.example g%40h.example i＠j.example k @ l.example @m.example ..n@o.example",
+    "ada at post dot example and at at dot dot dot example, b at c. com; p {at} q dot example",
+    "(+1) (212) AB-555-0134-A, extension 5, 1 (212) 555 0134 12 3456 78901 2 345, A-1234567B AB-1234567 x1234567 1234567@ +44 (0)20 7946 0958x12/ 2019-01-02 1234567890123456789",
+    "1" + " " * 16 + "23456 7" + " " * 17 + "8901234, １２３４５６７, 12 ²34567",
+]
+
+
+def test_candidates_are_those_of_the_plain_patterns():
+    rng = random.Random(4)
+    signs = ["@", " at ", " dot ", "(at)", "[ AT ]", "{at} ", "&#64;", "%40", "＠", "ada", "b.c", "é", ".", "_", "-", "+", "\xa0", "\n", ", ", "(", ")", " ", "12", "555", "0134", "7946 ", "AB-", "A", " ext. ", "extension ", "/", "１"]
+    for t in ODD + ["".join(rng.choices(signs, k=rng.randint(3, 30))) for _ in range(4000)]:
+        if any(h in t for h in pii._EMAIL_HINTS):
+            assert pii.emails(t) == [m.span() for m in pii.EMAIL.finditer(t)], t
+        spans = [m.span() for m in pii.NUMBER.finditer(t) if 7 <= sum(c.isdigit() for c in m.group()) <= 18 and not pii._DATE.fullmatch(m.group())]
+        assert pii.numbers(t, []) == spans, t
+        word = [pii._LAST_WORD.search(t, max(0, a - 24), a) for a in range(len(t) + 1)]
+        assert [pii._word_before(t, a) for a in range(len(t) + 1)] == [pii.folded(m.group(1)) if m else "" for m in word], t
+
+
+def test_candidates_cost_less_than_the_plain_patterns():
+    """The patterns try every character; candidates may stand only at few of them."""
+    t = "The keeper of the lanterns wrote 12 letters in 2019, as the ledger of the harbour says. " * 2000 + "Call (212) 555-0134 or mail ada.b@post.example, please."
+
+    def least(f):
+        out = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            out.append(time.process_time() - start)
+        return min(out)
+
+    assert least(lambda: pii.emails(t)) < 0.5 * least(lambda: list(pii.EMAIL.finditer(t))) and len(pii.emails(t)) == 1
+    assert least(lambda: pii.numbers(t, [])) < 0.8 * least(lambda: list(pii.NUMBER.finditer(t))) and len(pii.numbers(t, [])) == 1
+
+
 def _planted(n, rng):
     """Held-out documents: an unheard-of name after a title, and bare mentions of it elsewhere. [(text, spans of bare mentions)]"""
     word = lambda: "".join(rng.choice("bdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(2, 3))).capitalize() + rng.choice(["", "n", "k", "s"])
